@@ -70,4 +70,14 @@ hits AS (
 SELECT u.page_id, u.host, u.path, hits.rule, coalesce(hits.verdict, 'allow') AS verdict FROM u LEFT JOIN hits ON u.page_id = hits.page_id AND r = 1
 """
 
-ORACLES = {"op1_quality_rules": OP1, "op4_url_filters": OP4}
+OP7 = rf"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+l AS (SELECT doc_id, k, parts[k] AS line FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS k FROM d)),
+x AS (SELECT doc_id, k, line, {_LOWER.format("regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')")} AS key FROM l),
+f AS (SELECT doc_id, k, line, length(key) >= 10 AND doc_id > min(doc_id) OVER (PARTITION BY key) AS gone FROM x)
+SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256
+FROM f GROUP BY doc_id
+"""
+
+ORACLES = {"op7_line_dedup": OP7, "op1_quality_rules": OP1, "op4_url_filters": OP4}
