@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmura.llm import linedup, pii, quality, sql, tokens, urls
+from murmura.llm import jaccard, linedup, pii, quality, sql, tokens, urls
 from murmura.llm.common import table
 
 URL_RULES = (
@@ -34,6 +34,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.nullif("ord", F.lit(jaccard.NO_ID)).alias("doc_id"), "n_shingles", "component_id")
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"), with_text=False)
 
