@@ -80,4 +80,42 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS
 FROM f GROUP BY doc_id
 """
 
-ORACLES = {"op7_line_dedup": OP7, "op1_quality_rules": OP1, "op4_url_filters": OP4}
+#: All windows: any that passes shares four tokens in a row, so diagonals come from a join on those.
+OP2 = r"""
+WITH d AS (SELECT doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), ' ') AS h FROM documents),
+b AS (SELECT item_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), ' ') AS ih FROM benchmark),
+dg AS (SELECT doc_id, i, h[i:i+3] AS g FROM (SELECT doc_id, h, unnest(range(1, len(h) - 2)) AS i FROM d WHERE len(h) >= 4)),
+bg AS (SELECT item_id, j, ih[j:j+3] AS g FROM (SELECT item_id, ih, unnest(range(1, len(ih) - 2)) AS j FROM b WHERE len(ih) >= 13)),
+dia AS (SELECT DISTINCT doc_id, item_id, i - j AS k FROM dg JOIN bg USING (g)),
+win AS (SELECT doc_id, item_id, k, unnest(range(greatest(1, 1 - k), least(len(ih), len(h) - k) - 11)) AS s, h, ih FROM dia JOIN d USING (doc_id) JOIN b USING (item_id)),
+m AS (SELECT doc_id, item_id, list_sum(list_transform(range(0, 13), lambda o: CASE WHEN ih[s + o] = h[s + k + o] THEN 1 ELSE 0 END)) AS n FROM win)
+SELECT doc_id, item_id, count(*)::BIGINT AS n_windows, max(n)::BIGINT AS best_matches FROM m WHERE n >= 11 GROUP BY ALL
+"""
+
+OP9 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+q AS (SELECT page_id, strlen(body) AS n, sha1(body) AS h, max(page_id) OVER (PARTITION BY body) AS first FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, 5 * (i // 4)::INT + 1, 5))::BIGINT >> (5 * (3 - i % 4))) & 31)::INT + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM q
+"""
+
+#: Links by counting shared shingles, then reachability by repeated minimum.
+OP8 = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{WORD}') AS ws FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, ws[i:i+4] AS s FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)
+    UNION ALL SELECT doc_id, ws FROM w WHERE len(ws) BETWEEN 1 AND 4)
+),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+k AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM k JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * i >= 80 * (x.n + y.n - i)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.root = e.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)
+"""
+
+ORACLES = {"op2_benchmark_decontamination": OP2, "op8_ngram_jaccard_join": OP8, "op9_warc": OP9, "op7_line_dedup": OP7, "op1_quality_rules": OP1, "op4_url_filters": OP4}
