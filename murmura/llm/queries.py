@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmura.llm import decontam, jaccard, linedup, pii, quality, sql, tokens, urls, warc
+from murmura.llm import decontam, jaccard, linedup, pii, quality, spiece, sql, tokens, urls, warc
 from murmura.llm.common import table
 
 URL_RULES = (
@@ -33,6 +33,10 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spiece.encode_column(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linedup.dedup_lines(table(spark, sf_dir, "documents"))
     return found.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))

@@ -24,7 +24,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that splits a text before merging, as the vocabulary's own encoder has it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Lengths to a block of the two-level suffix sums.
-BLOCK = 4096
+BLOCK = 256
 
 _encoders: dict[bytes, object] = {}
 
