@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmura.llm import decontam, jaccard, linedup, pii, quality, spiece, sql, tokens, urls, warc
+from murmura.llm import decontam, jaccard, langid, linedup, pii, quality, spiece, sql, tokens, urls, warc
 from murmura.llm.common import table
 
 URL_RULES = (
@@ -37,6 +37,12 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spiece.encode_column(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = langid.fit(docs.filter(~langid.held_out(F.col("doc_id"))))
+    return langid.predict(docs, net).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linedup.dedup_lines(table(spark, sf_dir, "documents"))
     return found.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
