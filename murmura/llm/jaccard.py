@@ -23,7 +23,8 @@ Shingle hashes, classes and groups are taken as equal by 64-bit, 128-bit and
 
 Defined results: a null or empty text has an empty set and is linked with nothing;
 with fewer than five words the whole sequence is the one shingle; rows with equal
-texts are of one component, ids may repeat; a null id counts as one above all
+texts are of one component; rows that repeat an id are one node, compared by the
+greatest of their sets in array order where their texts differ; a null id counts as one above all
 others and is returned as null; other columns aren't read.
 """
 
@@ -223,7 +224,7 @@ class Join:
         self.step += 1
         pairs = self.kept(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
         ids = pairs.select(F.explode(F.array("a", "b")).alias("ord")).distinct()
-        sets = self.kept(_sets_of(self.docs, ids).dropDuplicates(["ord"]), "whole")
+        sets = self.kept(_sets_of(self.docs, ids).groupBy("ord").agg(F.max("set").alias("set")), "whole")
         both = pairs.join(sets.select(F.col("ord").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("ord").alias("b"), F.col("set").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
         linked = both.select("a", "b", common.alias("i"), (F.size("x") + F.size("y") - common).alias("u")).filter(F.col("i") * 100 >= F.col("u") * self.percent)
@@ -264,7 +265,7 @@ class Join:
             first = prefix_size(len(u), percent)
             return ordered(u, counts.value)[first : first + index_size(len(u), percent)]
 
-        sets = _sets_of(self.docs, apart.select(F.col("rep").alias("ord")).distinct(), following).dropDuplicates(["ord"])
+        sets = _sets_of(self.docs, apart.select(F.col("rep").alias("ord")).distinct(), following).groupBy("ord").agg(F.max("set").alias("set"))
         t = apart.join(sets.select(F.col("ord").alias("rep"), F.explode("set").alias("token")), "rep")
         i, j = (t.select("g", "token", F.col("rep").alias(x), F.col("comp").alias(f"{x}_comp")) for x in "ab")
         return i.join(j, ["g", "token"]).filter("a < b AND a_comp <> b_comp").select("a", "b").distinct()
@@ -301,3 +302,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     reps = j.with_comp(j.classes.select("c1", "c2", "n", "rep"), "rep", "component").select("c1", "c2", "n", "component")
     out = j.members.join(reps, ["c1", "c2", "n"], "left")
     return out.select("ord", F.col("n").alias("n_shingles"), F.coalesce("component", "ord").alias("component_id"))
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """The rows whose id is the smallest of its component, with all their columns.
+
+    Of exact copies under one id, all rows stay: nothing tells them apart.
+    """
+    gone = near_duplicates(df, id_col, text_col, percent).filter("component_id < ord").select(F.col("ord").alias("murmura_gone")).distinct()
+    return df.join(gone, F.coalesce(df[id_col].cast("bigint"), F.lit(NO_ID)) == gone["murmura_gone"], "left_anti")
