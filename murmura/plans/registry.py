@@ -20,9 +20,15 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+def _load() -> None:
+    from murmura.plans import analytics, models  # noqa: F401  their queries register themselves
+
+
 def queries() -> dict[str, Callable]:
+    _load()
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return ORACLES
