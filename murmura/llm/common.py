@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,3 +38,10 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(ROOT))
     sc.addPyFile(str(path))
     sc._murmura_shipped = True
+
+
+def parts(batches: Iterator, rows: int = 512) -> Iterator:
+    """Batches cut to ``rows``: what a worker unpacks at a time, whatever batch size the session has set."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from murmura.llm.common import parts
+
 UNDETERMINED = "und"
 PAD = 256  # before a text's start and after its end
 
@@ -245,7 +247,7 @@ def predict(df: DataFrame, net: Network | None, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for b in batches:
+        for b in parts(batches):
             texts = b.column(1).to_pylist()
             known = [i for i, t in enumerate(texts) if t and has_letter(t)] if model else []
             langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)

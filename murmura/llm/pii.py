@@ -27,6 +27,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from murmura.llm.common import parts
+
 #: In order of ties.
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "iban", "ssn")
@@ -176,7 +178,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", policy:
     kind = dict(df.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             texts = b.column(1).to_pylist()
             found = [find_spans(t, policy) for t in texts]
             base = [[x for x in f if x[1] in BASE_KINDS] for f in found]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from murmura.llm.common import BLANKS
+from murmura.llm.common import BLANKS, parts
 
 SYMBOLS = "#*$%&|<>"
 
@@ -161,7 +161,7 @@ def assess(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = LineJudge(rules)
-        for b in batches:
+        for b in parts(batches):
             rows = [judge_text(t, judge) for t in b.column(1).to_pylist()]
             cols = [pa.array([r[i] for r in rows], ARROW[t.simpleString()]) for i, (_, t) in enumerate(fields)]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=names)
@@ -180,7 +180,7 @@ def clean_documents(df: DataFrame, text_col: str = "text", rules: LineRules | No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = LineJudge(rules)
         at = names.index(text_col)
-        for b in batches:
+        for b in parts(batches):
             rows = [judge_text(t, judge) for t in b.column(at).to_pylist()]
             cols = list(b.columns)
             cols[at] = pa.array([r[10] for r in rows], cols[at].type)

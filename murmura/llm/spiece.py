@@ -38,6 +38,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from murmura.llm.common import parts
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Segments that a Python worker remembers.
@@ -243,7 +245,7 @@ def encode_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value  # made once in each Python worker, with its memo
-        for b in batches:
+        for b in parts(batches):
             flat, ends, same = array("i"), array("i", [0]), []
             for t in b.column(1).to_pylist():
                 ids = m.encode(t)
@@ -264,7 +266,7 @@ def decode_column(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", m
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value  # made once in each Python worker, with its memo
-        for b in batches:
+        for b in parts(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([m.decode(x or ()) for x in b.column(1).to_pylist()], pa.large_string())], names=["doc_id", "text"])
 
     return df.select(df[id_col].alias("doc_id"), df[ids_col].alias("ids")).mapInArrow(run, f"doc_id {kind}, text string")

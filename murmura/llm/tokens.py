@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from murmura.llm.common import parts
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that splits a text before merging, as the vocabulary's own encoder has it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -52,7 +54,7 @@ def length_histogram(df: DataFrame, text_col: str = "text", vocabulary: str = VO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, counts = encoder(ranks.value), Counter()
-        for b in batches:
+        for b in parts(batches):
             counts.update(len(enc.encode_ordinary(t)) if t else 0 for t in b.column(0).to_pylist())
         if counts:
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["length", "n_docs"])

@@ -17,6 +17,8 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from murmura.llm.common import parts
+
 #: Entries that a trie may hold: at some 200 bytes each it stays under 200 MB.
 MAX_RULES = 1_000_000
 
@@ -102,7 +104,7 @@ def judge_urls(df: DataFrame, rules: Sequence[tuple[str, str, str]], id_col: str
     kind = dict(df.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches, 4096):
             split = [split_url(u) for u in b.column(1).to_pylist()]
             hits = [trie.find(*x) if x[0] else None for x in split]
             yield pa.RecordBatch.from_arrays(
