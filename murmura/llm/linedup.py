@@ -27,12 +27,14 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmura.llm.bloom import Bloom, mix
-from murmura.llm.common import BLANKS
+from murmura.llm.bloom import Bloom, masks, mix
+from murmura.llm.common import BLANKS, parts
 from murmura.session import shared_dir
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -45,24 +47,37 @@ NO_ID = (1 << 63) - 1
 HELD = 1 << 21
 
 
-def line_key(line: Column) -> Column:
-    return F.translate(F.btrim(line, F.lit(BLANKS)), UPPER, LOWER)
+def keys_of(text: str, least_chars: int) -> dict[bytes, None]:
+    """The distinct keys of a text's lines that are long enough, as UTF-8.
+
+    Of bytes, lower() changes A-Z alone and strip() takes the six blanks alone.
+    """
+    out = {}
+    for line in text.encode("utf-8", "surrogatepass").lower().split(b"\n"):
+        key = line.strip()
+        if len(key) >= least_chars and (len(key) >= 4 * least_chars or len(key.decode("utf-8", "surrogatepass")) >= least_chars):
+            out[key] = None
+    return out
 
 
 def key_of(line: str, table: dict[int, int] = str.maketrans(UPPER, LOWER)) -> str:  # noqa: B006
     return line.strip(BLANKS).translate(table)
 
 
+def hashes_of(keys) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh64_intdigest, keys), np.uint64, len(keys))
+
+
 def _slices(mixed: np.ndarray, n: int) -> np.ndarray:
     return ((mixed >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
 
 
-def _partials(n_slices: int):
-    """Step 1 on (ord, hash) rows: the distinct hashes of a task, and those it saw in two documents, by slice."""
+def _partials(n_slices: int, least_chars: int):
+    """Step 1 on (ord, text) rows: the distinct hashes of a task, and those it saw in two documents, by slice."""
 
     def handed(docs: list, hashes: list) -> Iterator[pa.RecordBatch]:
         pairs = np.empty((sum(map(len, docs)),), dtype=[("h", np.uint64), ("d", np.int64)])
-        pairs["h"], pairs["d"] = mix(np.concatenate(hashes).view(np.uint64)), np.concatenate(docs)
+        pairs["h"], pairs["d"] = mix(np.concatenate(hashes)), np.concatenate(docs)
         pairs = np.unique(pairs)
         h, first, count = np.unique(pairs["h"], return_index=True, return_counts=True)
         for twice, keys in ((False, h), (True, h[count > 1])):
@@ -76,10 +91,12 @@ def _partials(n_slices: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, hashes, held = [], [], 0
-        for b in batches:
-            docs.append(b.column(0).to_numpy())
-            hashes.append(b.column(1).to_numpy())
-            held += b.num_rows
+        for b in parts(batches):
+            for ord_, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                h = hashes_of(keys_of(text, least_chars))
+                docs.append(np.full(len(h), ord_, np.int64))
+                hashes.append(h)
+                held += len(h)
             if held >= HELD:
                 yield from handed(docs, hashes)
                 docs, hashes, held = [], [], 0
@@ -93,10 +110,10 @@ def _filters(most_words: int):
     """Step 2: a slice's twice-seen filter from the partials of all tasks."""
 
     def run(t: pa.Table) -> pa.Table:
-        parts = t.column("keys").to_pylist()
-        once = Bloom.sized(sum(len(p) // 8 for p in parts))
+        given = t.column("keys").to_pylist()
+        once = Bloom.sized(sum(len(p) // 8 for p in given))
         twice = Bloom(np.zeros_like(once.words))
-        for p, seen in zip(parts, t.column("twice").to_pylist(), strict=True):
+        for p, seen in zip(given, t.column("twice").to_pylist(), strict=True):
             keys = np.frombuffer(p, np.uint64)
             if seen:
                 twice.add(keys)
@@ -119,9 +136,7 @@ class Suspects:
         self.words = np.concatenate([np.frombuffer(found.get(i, b""), np.uint64) for i in range(n_slices)])
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        from murmura.llm.bloom import masks
-
-        mixed = mix(hashes.view(np.uint64))
+        mixed = mix(hashes)
         s = _slices(mixed, self.n)
         size = self.sizes[s]
         at = self.starts[s] + (mixed & (np.maximum(size, 1) - 1).astype(np.uint64)).astype(np.int64)
@@ -132,11 +147,11 @@ class Suspects:
         return out
 
 
-def build_filters(lines: DataFrame, n_lines: int) -> Suspects:
-    """Steps 1 to 3 on (ord, hash) rows."""
+def build_filters(docs: DataFrame, n_lines: int, least_chars: int) -> Suspects:
+    """Steps 1 to 3 on (ord, text) rows."""
     n = max(1, -(-n_lines // SLICE_LINES))
     found = (
-        lines.mapInArrow(_partials(n), "slice bigint, twice boolean, keys binary")
+        docs.mapInArrow(_partials(n, least_chars), "slice bigint, twice boolean, keys binary")
         .groupBy("slice")
         .applyInArrow(_filters(max(1, MAX_FILTER_BYTES // 8 // n)), "slice bigint, words binary")
     )
@@ -147,48 +162,47 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """One row per input row: ``row`` (the input row as a struct), ``kept`` (its remaining text), ``n_lines`` and ``n_dropped``."""
     spark = df.sparkSession
     docs = df.select(F.struct("*").alias("row"), F.coalesce(df[id_col].cast("bigint"), F.lit(NO_ID)).alias("ord"), F.coalesce(df[text_col], F.lit("")).alias("text"))
-    split = F.split("text", "\n")
-    keys = docs.select("ord", F.explode(split).alias("line")).select("ord", line_key(F.col("line")).alias("key")).filter(F.char_length("key") >= least_chars)
-    lines = keys.select("ord", F.xxhash64("key").alias("hash"))
+    text = docs.select("ord", "text")
     n_lines = docs.agg(F.sum(F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 0
-    shared = spark.sparkContext.broadcast(build_filters(lines, n_lines))  # at most MAX_FILTER_BYTES
+    shared = spark.sparkContext.broadcast(build_filters(text, n_lines, least_chars))  # at most MAX_FILTER_BYTES
 
     def suspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if len(b):
-                yield b.select([0, 1]).filter(pa.array(shared.value.has(b.column(2).to_numpy())))
+        for b in parts(batches):
+            ids, keys = [], []
+            for ord_, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own = keys_of(t, least_chars)
+                ids += [ord_] * len(own)
+                keys += own
+            hit = pa.array(shared.value.has(hashes_of(keys)), pa.bool_())
+            found = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], names=["ord", "key"])
+            yield found.filter(hit)
 
     path = f"{shared_dir(spark)}/murmura-lines-{uuid.uuid4().hex}"
-    keys.select("ord", "key", F.xxhash64("key").alias("hash")).mapInArrow(suspect, "ord bigint, key string").write.parquet(path)
+    text.mapInArrow(suspect, "ord bigint, key binary").write.parquet(path)
     suspects = spark.read.parquet(path)
     repeats = suspects.groupBy("key").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).filter("first < last")
     losses = suspects.join(repeats, "key").filter("ord > first").groupBy("ord").agg(F.collect_set("key").alias("drop"))
 
-    hashes = F.transform(split, lambda x: F.xxhash64(line_key(x)))
-
     @F.pandas_udf("boolean")
-    def suspicious(h):
-        import pandas as pd
-
-        if not len(h):
-            return pd.Series([], dtype=bool)
-        sizes = h.map(len).to_numpy()
-        hit = shared.value.has(np.concatenate(h.to_list()).astype(np.int64))
-        return pd.Series(np.add.reduceat(hit, np.concatenate([[0], np.cumsum(sizes)[:-1]])) > 0)
-
-    flagged = docs.withColumn("suspicious", suspicious(hashes))
-    clear = flagged.filter("NOT suspicious").select("row", F.col("text").alias("kept"), F.size(split).cast("bigint").alias("n_lines"), F.lit(0).cast("bigint").alias("n_dropped"))
+    def suspicious(texts):
+        keys = [keys_of(t, least_chars) for t in texts]
+        hit = shared.value.has(hashes_of([k for own in keys for k in own]))
+        ends = np.cumsum([len(own) for own in keys])
+        return pd.Series([bool(hit[e - len(own) : e].any()) for own, e in zip(keys, ends, strict=True)], dtype=bool)
+
+    flagged = docs.withColumn("suspicious", suspicious("text"))
+    clear = flagged.filter("NOT suspicious").select("row", F.col("text").alias("kept"), F.size(F.split("text", "\n")).cast("bigint").alias("n_lines"), F.lit(0).cast("bigint").alias("n_dropped"))
     others = flagged.filter("suspicious").select("row", "ord", "text").join(losses, "ord", "left").select("row", "text", "drop")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             kept, n, dropped = [], [], []
             for text, drop in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                parts, gone = text.split("\n"), set(drop or ())
-                left = [x for x in parts if key_of(x) not in gone] if gone else parts
+                lines, gone = text.split("\n"), {k.decode("utf-8", "surrogatepass") for k in drop or ()}
+                left = [x for x in lines if key_of(x) not in gone] if gone else lines
                 kept.append("\n".join(left) if gone else text)
-                n.append(len(parts))
-                dropped.append(len(parts) - len(left))
+                n.append(len(lines))
+                dropped.append(len(lines) - len(left))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.large_string()), pa.array(n, pa.int64()), pa.array(dropped, pa.int64())], names=["row", "kept", "n_lines", "n_dropped"])
 
     return clear.unionByName(others.mapInArrow(rebuild, clear.schema))
