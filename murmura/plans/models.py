@@ -97,3 +97,29 @@ def discovery_selections(spark, sf_dir):
     b = discovery.gather(views.bags(spark, sf_dir), views.segments(spark, sf_dir))
     rows = [(name, i, b.ids[p].item()) for name, f in discovery.METHODS.items() for i, p in enumerate(f(b, 4))]
     return spark.createDataFrame(rows, "method string, place int, bag_id bigint")
+
+
+def _signals(spark, sf_dir):
+    """A rising tone over faint noise for each bag, its pitch from the first vector: recordings of half a second."""
+    s = views.segments(spark, sf_dir).filter("segment_id = 0")
+    pitch = 600 + F.floor(F.abs(F.get("features", F.lit(0))) * 4000)
+    t = F.sequence(F.lit(0), F.lit(7999))
+    tone = F.transform(t, lambda i: F.when((i > 2000) & (i < 5500), 0.5 * F.sin(i * (pitch + i * 0.3) * (2 * 3.141592653589793 / 16000))).otherwise(0.002 * F.sin(i * i * 0.37)).cast("float"))
+    return s.select(F.concat(F.lit("rec"), F.col("bag_id").cast("string")).alias("path"), F.lit(16000).alias("sample_rate"), tone.alias("samples"))
+
+
+@query("spectrogram_images")
+def spectrogram_images(spark, sf_dir):
+    """Noise-filtered spectrogram images of made-up recordings."""
+    from murmura.operators import audio
+
+    return audio.spectrograms(_signals(spark, sf_dir), whiten=True).select("path", "w", "h", F.sha2("data", 256).alias("sha256"))
+
+
+@query("segment_table")
+def segment_table(spark, sf_dir):
+    """Segments of those images, cut at half of full brightness, with their 38 features."""
+    from murmura.operators import audio
+
+    images = audio.spectrograms(_signals(spark, sf_dir))
+    return audio.segment_table(images, audio.masks(images, 0.35)).select("path", "segment_id", "rect.*", F.size("features").alias("n_features"))
