@@ -42,6 +42,7 @@ class Settings:
     per_language: int = 400
     train_window: int = 64
     epochs: int = 8
+    least_steps: int = 120
     batch: int = 128
     rate: float = 0.02
     seed: int = 7
@@ -148,7 +149,7 @@ class Network:
         groups = [self.cells[0].p, self.cells[1].p, self.out]
         m, v = ([{n: np.zeros_like(a) for n, a in g.items()} for g in groups] for _ in range(2))
         step, loss = 0, 0.0
-        for _ in range(s.epochs):
+        for _ in range(max(s.epochs, -(-s.least_steps // -(-len(y) // s.batch)))):
             order, losses = rng.permutation(len(y)), []
             for i in range(0, len(y), s.batch):
                 own = order[i : i + s.batch]

@@ -184,8 +184,8 @@ def clean_documents(df: DataFrame, text_col: str = "text", rules: LineRules | No
             rows = [judge_text(t, judge) for t in b.column(at).to_pylist()]
             cols = list(b.columns)
             cols[at] = pa.array([r[10] for r in rows], cols[at].type)
-            if "n_chars" in names:
-                i = names.index("n_chars")
+            i = names.index("n_chars") if "n_chars" in names else -1
+            if i >= 0 and pa.types.is_integer(cols[i].type):
                 cols[i] = pa.array([len(r[10]) for r in rows], cols[i].type)
             yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array([r[6] for r in rows], pa.bool_()))
 
