@@ -27,7 +27,7 @@ from murmura.llm.common import BLANKS, parts
 
 SYMBOLS = "#*$%&|<>"
 
-#: Phrases of site furniture and licence notices, matched without case.
+#: Phrases of site furniture, matched without case. Licence notices are left in: they say what may be done with a text.
 BOILERPLATE = (
     "all rights reserved",
     "cookie policy",
@@ -41,8 +41,6 @@ BOILERPLATE = (
     "lorem ipsum",
     "powered by",
     "copyright (c)",
-    "licensed under",
-    "released under the",
 )
 
 
