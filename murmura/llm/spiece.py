@@ -42,8 +42,10 @@ from murmura.llm.common import parts
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Segments that a Python worker remembers.
-MEMO = 400_000
+#: Segments that a Python worker remembers: those of the last one to two fillings of a table of this size.
+MEMO = 500_000
+#: Characters of a long text to a stretch that is cut into segments at a time.
+STRETCH = 1 << 16
 #: Compatible pairs that a Python worker remembers.
 PAIRS = 1_000_000
 #: Piece types of the model format; what an unknown character costs below the lowest score.
@@ -54,7 +56,7 @@ UNKNOWN_PENALTY = 10.0
 class Model:
     """A vocabulary: (piece, score, type) by id, and whether it merges."""
 
-    def __init__(self, pieces: list[tuple[str, float, int]], bpe: bool, dummy_prefix: bool = True):
+    def __init__(self, pieces: list[tuple[str, float, int]], bpe: bool, dummy_prefix: bool = True, reachable: set[str] | None = None):
         self.pieces, self.bpe, self.dummy_prefix = pieces, bpe, dummy_prefix
         self.ids = {p: i for i, (p, _, t) in enumerate(pieces) if t in (NORMAL, USER)}
         self.score = {p: s for p, s, t in pieces if t in (NORMAL, USER)}
@@ -62,20 +64,22 @@ class Model:
         self.bytes = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(pieces) if t == BYTE}
         self.longest = max(map(len, self.ids), default=1)
         self.unknown_score = min(self.score.values(), default=0.0) - UNKNOWN_PENALTY
-        self.ends: dict = {}  # a trie of reversed pieces; None marks an end
-        for p in self.ids:
+        self.reachable = {p for p in self.ids if not bpe or self.merged(p) == [p]} if reachable is None else reachable
+        self.ends: list = [{}, None]  # a trie of reversed pieces: [following nodes, the piece that ends here]
+        for p in self.reachable:
             node = self.ends
             for c in reversed(p):
-                node = node.setdefault(c, {})
-            node[None] = p
+                node = node[0].setdefault(c, [{}, None])
+            node[1] = p
+        self.inner = {a + b for p in self.ids for a, b in zip(p, p[1:], strict=False)}  # neighbours that some piece spans
         chars = {c for p in self.ids for c in p}
         alone = "".join(c for c in "\n\t\r" if c not in chars)
         marked = all(MARK not in p.lstrip(MARK) for p in self.ids)
         self.segments = re.compile(f"[{alone}]|{MARK}*[^{MARK}{alone}]+|{MARK}+" if alone else f"{MARK}*[^{MARK}]+|{MARK}+") if marked else re.compile(r"(?s).+")
         self.table = [self._decoded(p, t) for p, _, t in pieces]
-        self.memo: dict[str, array] = {}
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
 
     @classmethod
     def load(cls, path: str = MODEL) -> Model:
@@ -88,7 +92,7 @@ class Model:
         return cls(pieces, bpe=_merges(m))
 
     def __reduce__(self):
-        return Model, (self.pieces, self.bpe, self.dummy_prefix)
+        return Model, (self.pieces, self.bpe, self.dummy_prefix, self.reachable)
 
     @staticmethod
     def _decoded(piece: str, kind: int) -> bytes:
@@ -120,12 +124,6 @@ class Model:
             found = self.pairs[key] = self.merged(left + right) == [left, right]
         return found
 
-    def reachable(self, piece: str) -> bool:
-        found = self.whole.get(piece)
-        if found is None:
-            found = self.whole[piece] = self.merged(piece) == [piece]
-        return found
-
     # -- the trellis
 
     def arcs(self, s: str, i: int, low: int) -> list[str]:
@@ -133,11 +131,11 @@ class Model:
         node, out, j = self.ends, [], i
         while j > low:
             j -= 1
-            node = node.get(s[j])
+            node = node[0].get(s[j])
             if node is None:
                 break
-            if None in node:
-                out.append(node[None])
+            if node[1] is not None:
+                out.append(node[1])
         if not out or len(out[0]) != 1:
             out.insert(0, s[i - 1])
         return out
@@ -146,17 +144,19 @@ class Model:
         """The pieces of a segment, as soon as they are certain."""
         last: dict[int, str] = {}  # the best arc into each position that may still be needed
         best: dict[int, float] = {0: 0.0}
-        done, n, longest = 0, len(s), self.longest
+        done, n, longest, pairs = 0, len(s), self.longest, self.pairs
         for i in range(1, n + 1):
+            found = self.arcs(s, i, max(i - longest, done))
             if self.bpe:
-                for p in reversed(self.arcs(s, i, max(0, i - longest, done))):
+                while found:
+                    p = found.pop()
                     j = i - len(p)
-                    if (len(p) == 1 or self.reachable(p)) and (j == 0 or self.compatible(last[j], p)):
+                    if j == 0 or not found or pairs.get((last[j], p)) or self.compatible(last[j], p):
                         last[i] = p
                         break
             else:
                 top = None
-                for p in self.arcs(s, i, max(0, i - longest, done)):
+                for p in found:
                     v = best[i - len(p)] + self.score.get(p, self.unknown_score)
                     if top is None or v > top:
                         top, last[i] = v, p
@@ -171,6 +171,33 @@ class Model:
                     done = b
         yield from self.back(last, n, done)
 
+    def short(self, s: str) -> list[str]:
+        """``stream`` for a BPE segment too short for any commitment before its end."""
+        first, pairs, last = self.ends[0], self.pairs, [""] * (len(s) + 1)
+        for i in range(1, len(s) + 1):
+            j, found = i - 1, []
+            node = first.get(s[j])
+            while node is not None:
+                if node[1] is not None:
+                    found.append(node[1])
+                if not j:
+                    break
+                j -= 1
+                node = node[0].get(s[j])
+            while found:
+                p = found.pop()
+                k = i - len(p)
+                if not k or not found:
+                    break
+                key = (last[k], p)
+                fits = pairs.get(key)
+                if fits if fits is not None else self.compatible(*key):
+                    break
+            else:
+                p = s[i - 1]
+            last[i] = p
+        return self.back(last, len(s), 0)
+
     def met(self, last: dict[int, str], i: int, done: int) -> int:
         """The last boundary that the paths back from all survivors share."""
         common: set[int] | None = None
@@ -201,29 +228,45 @@ class Model:
         raw = piece.encode("utf-8", "replace") if not "\ud800" <= piece <= "\udfff" else "�".encode()
         return [self.bytes[b] for b in raw] if self.bytes else [self.unknown]
 
-    def segment_ids(self, s: str) -> array:
-        found = self.memo.get(s)
+    def segment_ids(self, s: str) -> bytes:
+        """The ids of a segment, as 32-bit words; from the memo, or by searching it between boundaries that no piece spans."""
+        found = self.memo.get(s) or self.older.get(s)
         if found is None:
-            found = array("i")
-            for p in self.stream(s):
-                found.extend(self.piece_ids(p))
-            if len(s) <= 64:
-                if len(self.memo) >= MEMO:
-                    self.memo.clear()
-                self.memo[s] = found
+            cuts = [i for i in range(1, len(s)) if s[i - 1 : i + 1] not in self.inner]
+            if cuts:
+                found = b"".join(self.segment_ids(s[a:b]) for a, b in zip([0, *cuts], [*cuts, len(s)], strict=True))
+                if len(cuts) > 1 or len(s) - cuts[0] > 1:
+                    return found  # its parts are remembered; a word with one mark after it is worth its own entry
+            else:
+                found = array("i", [i for p in (self.short(s) if self.bpe and len(s) < 64 else self.stream(s)) for i in self.piece_ids(p)]).tobytes()
+        if len(s) <= 64:
+            if len(self.memo) >= MEMO:
+                self.older, self.memo = self.memo, {}
+            self.memo[s] = found
         return found
 
     def encode(self, text: str | None) -> array:
         out = array("i")
         if not text:
             return out
-        memo, add = self.memo, out.extend
         marked = (MARK if self.dummy_prefix else "") + text.replace(" ", MARK)
-        for m in self.segments.finditer(marked):
-            s = m.group()
-            add(memo.get(s) or self.segment_ids(s))
+        at, n = 0, len(marked)
+        while at < n:
+            end = self.boundary(marked, at + STRETCH) if n - at > 2 * STRETCH else n
+            parts = self.segments.findall(marked, at, end)
+            found = list(map(self.memo.get, parts))
+            if None in found:
+                found = [f if f is not None else self.segment_ids(p) for f, p in zip(found, parts, strict=True)]
+            out.frombytes(b"".join(found))
+            at = end
         return out
 
+    def boundary(self, s: str, i: int) -> int:
+        """The first place from ``i`` on that no piece spans, or the end."""
+        while i < len(s) and s[i - 1 : i + 1] in self.inner:
+            i += 1
+        return i
+
     def decode(self, ids) -> str:
         text = b"".join(map(self.table.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
