@@ -30,6 +30,8 @@ others and is returned as null; other columns aren't read.
 
 from __future__ import annotations
 
+import gc
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -39,6 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from murmura.llm.common import BLANKS, parts
 from murmura.llm.components import components
 from murmura.session import cut, shared_dir
 
@@ -47,21 +50,14 @@ PERCENT = 80
 NO_ID = (1 << 63) - 1
 SKETCH_BITS = 20
 SLICES = 16
-#: Word hashes that a Python worker remembers.
-WORDS_HELD = 400_000
 #: Odd multipliers of the words in a shingle.
 FACTORS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS_HELD:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_words = _Words()
+#: A random word for each byte value, and an odd one for each place in a word.
+_BYTES = np.random.default_rng(20240501).integers(0, 1 << 64, 256, np.uint64)
+_PLACES = np.random.default_rng(20240502).integers(0, 1 << 63, 4096, np.uint64) * np.uint64(2) + np.uint64(1)
+_BLANK = np.isin(np.arange(256), np.frombuffer(BLANKS.encode(), np.uint8))
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -71,18 +67,36 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def word_hashes(data: bytes) -> np.ndarray:
+    """A hash of each word: its bytes' random words, weighted by place and summed."""
+    b = np.frombuffer(data, np.uint8)
+    at = np.flatnonzero(~_BLANK[b])
+    if not len(at):
+        return np.empty(0, np.uint64)
+    starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1] + 1]))
+    sizes = np.diff(np.append(starts, len(at)))
+    place = np.arange(len(at)) - np.repeat(starts, sizes)
+    value = _BYTES[b[at]] * _PLACES[place % len(_PLACES)]
+    if sizes.max() > len(_PLACES):  # the places start anew, turned by the round
+        value *= (place // len(_PLACES)).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    return _mixed(np.add.reduceat(value, starts) + sizes.astype(np.uint64))
+
+
+def distinct(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
+
+
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     """The sorted distinct shingle hashes of a whole text."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: only A-Z change, only the six blanks split
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    data = (text or "").encode("utf-8", "surrogatepass").lower()  # of bytes only A-Z change
+    h = word_hashes(data)
     if len(h) < width:
-        return _mixed(np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=len(words))], np.uint64))
+        return _mixed(np.array([xxhash.xxh64_intdigest(b" ".join(data.split()), seed=len(h))], np.uint64)) if len(h) else h
     total = h[: len(h) - width + 1] * FACTORS[0]
     for i in range(1, width):
         total += h[i : len(h) - width + 1 + i] * FACTORS[i]
-    return np.unique(_mixed(total))
+    return distinct(_mixed(total))
 
 
 def prefix_size(n: int, percent: int = PERCENT) -> int:
@@ -106,7 +120,7 @@ def _sketch(df: DataFrame) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
-        for b in batches:
+        for b in parts(batches):
             found = np.concatenate([np.empty(0, np.uint64), *map(shingles, b.column(0).to_pylist())])
             total += np.bincount((found & np.uint64(size - 1)).astype(np.int64), minlength=size)
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int64()), pa.array([np.minimum(total[i * part : (i + 1) * part], 0xFFFFFFFF).astype(np.uint32).tobytes() for i in range(SLICES)], pa.binary())], names=["slice", "counts"])
@@ -138,7 +152,7 @@ def _described(counts, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, given = counts.value, set()
-        for b in batches:
+        for b in parts(batches):
             ids, texts = b.column(0), b.column(1).to_pylist()
             n, cls, grp, pre = [], [], [], []
             for t in texts:
@@ -159,27 +173,27 @@ def _described(counts, percent: int):
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, take=None) -> DataFrame:
-    """(ord, set) of the documents in ``ids``: a bitmap of fixed size keeps the others' texts from the work, an exact join follows.
+    """(ord, set) of the documents in ``ids``, and of a few others.
 
-    ``take``: what to keep of a set, else all of it.
+    A bitmap of 16 bits to an id, 16 MB at most, keeps the other texts from the
+    work; joins on ``ord`` leave out what it lets through. ``take``: what to keep of
+    a set, else all of it. Rows that repeat an id give one set.
     """
-    bits = 22
-    word = F.shiftrightunsigned(F.pmod(F.xxhash64("ord"), F.lit(1 << bits)), 6)
-    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(ord), {1 << bits}) & 63 as int))")
-    found = ids.select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bits = min(27, max(16, math.ceil(math.log2(16 * ids.count() + 1))))
+    place = F.pmod(F.xxhash64("ord"), F.lit(1 << bits))
+    found = ids.select(F.shiftrightunsigned(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(ord), {1 << bits}) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     words = np.zeros(1 << (bits - 6), np.uint64)
     words[found.column("w").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
-    shared = docs.sparkSession.sparkContext.broadcast(words)  # 512 KB
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h = b.column(2).to_numpy()
             b = b.filter(pa.array((shared.value[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1) == 1))
-            if len(b):
+            for b in parts([b]):
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([(take(u) if take else u).view(np.int64) for u in map(shingles, b.column(1).to_pylist())], pa.list_(pa.int64()))], names=["ord", "set"])
 
-    hashed = docs.select("ord", "text", F.pmod(F.xxhash64("ord"), F.lit(1 << bits)).alias("h"))
-    return hashed.mapInArrow(run, "ord bigint, set array<bigint>").join(ids, "ord", "left_semi")
+    return docs.select("ord", "text", place.alias("h")).mapInArrow(run, "ord bigint, set array<bigint>")
 
 
 class Join:
@@ -196,6 +210,8 @@ class Join:
         self.step += 1
         path = f"{self.home}/{self.step}-{name}"
         df.write.parquet(path)
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of finished steps
         return self.spark.read.parquet(path)
 
     def describe(self) -> None:
@@ -208,8 +224,8 @@ class Join:
         p = self.percent
         tokens = every.filter("prefix IS NOT NULL").select("g1", "g2", "n", F.posexplode("prefix").alias("pos", "token")).select("g1", "g2", F.col("n").cast("int").alias("n"), F.col("pos").cast("int").alias("pos"), "token")
         same = Window.partitionBy("token")
-        tokens = tokens.withColumn("lo", F.min("g1").over(same)).withColumn("hi", F.max("g1").over(same)).filter("lo < hi")
-        tokens = tokens.join(groups, ["g1", "g2"]).select("token", "g", "n", "pos").distinct()
+        tokens = tokens.withColumn("lo", F.min("g1").over(same)).withColumn("hi", F.max("g1").over(same)).filter("lo < hi").dropDuplicates(["token", "g1", "g2"])
+        tokens = tokens.join(groups, ["g1", "g2"]).select("token", "g", "n", "pos")
         index = F.col("n") - F.ceil(F.col("n") * (2 * p) / (100 + p)) + 1
         self.tokens = self.kept(tokens.withColumn("small", F.col("pos") < index), "tokens")
         self.groups = self.kept(groups.filter("size > 1"), "groups")
@@ -224,7 +240,7 @@ class Join:
         self.step += 1
         pairs = self.kept(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
         ids = pairs.select(F.explode(F.array("a", "b")).alias("ord")).distinct()
-        sets = self.kept(_sets_of(self.docs, ids).groupBy("ord").agg(F.max("set").alias("set")), "whole")
+        sets = self.kept(_sets_of(self.docs, ids), "whole").groupBy("ord").agg(F.max("set").alias("set"))
         both = pairs.join(sets.select(F.col("ord").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("ord").alias("b"), F.col("set").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
         linked = both.select("a", "b", common.alias("i"), (F.size("x") + F.size("y") - common).alias("u")).filter(F.col("i") * 100 >= F.col("u") * self.percent)
@@ -238,19 +254,38 @@ class Join:
         c = self.comp.select(F.col("node").alias(node), F.col("component").alias(name))
         return df.join(c, node, "left").withColumn(name, F.coalesce(name, node))
 
-    def stars(self) -> None:
-        """One pivot of each shingle, size band and component against the shingle's first pivot; the first class of each group against the others."""
-        band = F.floor(F.log("n") / F.log(F.lit(100 / self.percent)))
-        t = self.with_comp(self.tokens, "g").withColumn("band", band)
-        t = t.union(t.withColumn("band", F.col("band") + 1))  # neighbouring bands meet too
-        heads = t.groupBy("token", "band", "comp").agg(F.min(F.struct("g", "n")).alias("head"))
-        pivots = heads.groupBy("token", "band").agg(F.min("head").alias("pivot"), F.count("*").alias("k")).filter("k > 1")
-        near = F.least("head.n", "pivot.n") * 100 >= F.greatest("head.n", "pivot.n") * self.percent
-        pairs = heads.join(pivots, ["token", "band"]).filter(near).select(F.col("pivot.g").alias("a"), F.col("head.g").alias("b"))
+    def stars(self, salts: tuple[int, ...] = (0,), offset: float = 0.0) -> None:
+        """In each shingle's groups of like size, all others against members of the largest component.
+
+        ``salts`` members of it are tried, each chosen by a hash, so that a group that
+        misses the threshold with one may still link by another. Bands of size are
+        twice as wide as a link allows; a round with them shifted by half meets the
+        pairs that one without separates. Pairs that share too few shingles here are
+        left to ``rest``.
+        """
+        band = F.floor(F.log("n") / (2 * math.log(100 / self.percent)) + offset)
+        t = self.with_comp(self.tokens.select("token", "g", "n", "pos"), "g").withColumn("band", band).repartition("token", "band")
+        same, own = Window.partitionBy("token", "band"), Window.partitionBy("token", "band", "comp")
+        t = t.withColumn("k", F.count("*").over(own)).withColumn("big", F.max(F.struct("k", (-F.col("comp")).alias("c"))).over(same))
+        inside = F.col("comp") == -F.col("big.c")
+        tried = [F.min(F.when(inside, F.struct(F.xxhash64("g", F.lit(x)).alias("h"), "g", "n", "pos"))).over(same) for x in salts]
+        met = t.withColumn("tried", F.array(*tried)).filter(~inside).select("g", "n", "pos", F.explode("tried").alias("pivot")).filter(self.near("pos", "pivot.pos", "n", "pivot.n"))
+        pairs = met.groupBy(F.col("pivot.g").alias("a"), F.col("g").alias("b")).agg(
+            F.count("*").alias("k"), F.max("pivot.pos").alias("i"), F.max("pos").alias("j"), F.first("pivot.n").alias("x_n"), F.first("n").alias("y_n")
+        )
+        pairs = pairs.filter(f"least(x_n, y_n) * 100 >= greatest(x_n, y_n) * {self.percent} AND {self.enough()}").select("a", "b")
         if self.comp is None:
             pairs = pairs.union(self.members_of_groups().select(F.col("g").alias("a"), F.col("rep").alias("b")))
         self.verify(pairs)
 
+    def near(self, i: str, j: str, x_n: str, y_n: str) -> str:
+        """Whether one shared shingle at places i and j leaves room for the overlap that a link takes: what stands before it can match only before it, what follows only behind."""
+        return f"(least({i}, {j}) + 1 + least({x_n} - 1 - {i}, {y_n} - 1 - {j})) * {100 + self.percent} >= ({x_n} + {y_n}) * {self.percent}"
+
+    def enough(self) -> str:
+        """Whether k shared prefix shingles, the last at places i and j, leave room for the overlap that a link takes."""
+        return f"(k + least(x_n - 1 - i, y_n - 1 - j)) * {100 + self.percent} >= (x_n + y_n) * {self.percent}"
+
     def apart(self) -> DataFrame:
         """(g, rep, comp) of the groups whose classes are not all in one component."""
         inside = self.with_comp(self.members_of_groups(), "rep")
@@ -275,13 +310,14 @@ class Join:
         apart = self.apart()
         t = self.with_comp(self.tokens, "g").join(apart.select("g", F.lit(True).alias("open")).distinct(), "g", "left")
         t = t.withColumn("comp", F.when(F.col("open"), -1 - F.col("g")).otherwise(F.col("comp"))).drop("open")  # a group that is apart may meet any
-        mixed = t.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
-        t = self.kept(t.join(mixed, "token", "left_semi"), "mixed")
+        same = Window.partitionBy("token")
+        t = t.withColumn("lo", F.min("comp").over(same)).withColumn("hi", F.max("comp").over(same)).filter("lo < hi").drop("lo", "hi")
+        t = self.kept(t, "mixed")
         x = t.filter("small").select("token", *(F.col(c).alias(f"x_{c}") for c in ("g", "n", "pos", "comp")))
         y = t.select("token", *(F.col(c).alias(f"y_{c}") for c in ("g", "n", "pos", "comp")))
-        met = x.join(y, "token").filter(f"x_comp <> y_comp AND (x_n < y_n OR x_n = y_n AND x_g < y_g) AND x_n * 100 >= y_n * {self.percent}")
+        met = x.join(y, "token").filter(f"x_comp <> y_comp AND (x_n < y_n OR x_n = y_n AND x_g < y_g) AND x_n * 100 >= y_n * {self.percent} AND {self.near('x_pos', 'y_pos', 'x_n', 'y_n')}")
         met = met.groupBy("x_g", "y_g").agg(F.count("*").alias("k"), F.max("x_pos").alias("i"), F.max("y_pos").alias("j"), F.first("x_n").alias("x_n"), F.first("y_n").alias("y_n"))
-        met = met.filter(f"(k + least(x_n - 1 - i, y_n - 1 - j)) * {100 + self.percent} >= (x_n + y_n) * {self.percent}")
+        met = met.filter(self.enough())
         pairs = met.select(F.col("x_g").alias("a"), F.col("y_g").alias("b"))
         many = self.members_of_groups()
         for end in ("a", "b"):  # expand groups to their classes
@@ -297,7 +333,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     j = Join(docs, percent)
     j.describe()
     j.stars()
-    j.stars()
+    j.stars(salts=(1, 2, 3), offset=0.5)
     j.rest()
     reps = j.with_comp(j.classes.select("c1", "c2", "n", "rep"), "rep", "component").select("c1", "c2", "n", "component")
     out = j.members.join(reps, ["c1", "c2", "n"], "left")
