@@ -180,7 +180,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     path = f"{shared_dir(spark)}/murmura-lines-{uuid.uuid4().hex}"
     text.mapInArrow(suspect, "ord bigint, key binary").write.parquet(path)
     suspects = spark.read.parquet(path)
-    repeats = suspects.groupBy("key").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).filter("first < last")
+    suspects.groupBy("key").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).filter("first < last").write.parquet(f"{path}-repeats")
+    repeats = spark.read.parquet(f"{path}-repeats")  # written, so that the join's sides are plain shuffles and a hot key can be split
     losses = suspects.join(repeats, "key").filter("ord > first").groupBy("ord").agg(F.collect_set("key").alias("drop"))
 
     @F.pandas_udf("boolean")
