@@ -4,8 +4,8 @@
    hash) is the global order: rare shingles first, so that passages shared by
    many documents stay out of prefixes.
 2. Each document's set gives a size, a class (its whole set) and a group (its
-   prefix and size). Equal sets become one class, represented by their smallest
-   id; classes of equal prefix and size become one group. Prefixes are emitted
+   prefix and size). Equal sets become one class, represented by one of its rows'
+   nodes; classes of equal prefix and size become one group. Prefixes are emitted
    once for a group and task, and prefix shingles that no second group has are
    dropped.
 3. Groups that share prefix shingles and pass the size and position bounds are
@@ -19,13 +19,15 @@
    and still every link between components is found.
 
 Shingle hashes, classes and groups are taken as equal by 64-bit, 128-bit and
-128-bit hashes of their content.
+128-bit hashes of their content. A row's node is a 63-bit hash of its id and text,
+so that rows that share an id, or have none, are told apart by their texts.
 
 Defined results: a null or empty text has an empty set and is linked with nothing;
 with fewer than five words the whole sequence is the one shingle; rows with equal
-texts are of one component; rows that repeat an id are one node, compared by the
-greatest of their sets in array order where their texts differ; a null id counts as one above all
-others and is returned as null; other columns aren't read.
+texts are of one component; rows that repeat an id are each compared by their own
+text, so that one may be a copy and another not; a component is named by its smallest
+id; a null id counts as one above all others and is returned as null; other columns
+aren't read.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmura.llm.common import BLANKS, parts
@@ -148,12 +150,12 @@ def ordered(u: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def _described(counts, percent: int):
-    """(ord, n, class, group, and the prefix where this task hasn't given that group's)."""
+    """(ord, node, n, class, group, and the prefix where this task hasn't given that group's)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, given = counts.value, set()
         for b in parts(batches):
-            ids, texts = b.column(0), b.column(1).to_pylist()
+            texts = b.column(2).to_pylist()
             n, cls, grp, pre = [], [], [], []
             for t in texts:
                 u = shingles(t)
@@ -165,35 +167,37 @@ def _described(counts, percent: int):
                 pre.append(p.view(np.int64) if len(p) and g not in given else None)
                 given.add(g)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(n, pa.int64()), *(pa.array([x[i] for x in y], pa.int64()) for y in (cls, grp) for i in (0, 1)), pa.array(pre, pa.list_(pa.int64()))],
-                names=["ord", "n", "c1", "c2", "g1", "g2", "prefix"],
+                [b.column(0), b.column(1), pa.array(n, pa.int64()), *(pa.array([x[i] for x in y], pa.int64()) for y in (cls, grp) for i in (0, 1)), pa.array(pre, pa.list_(pa.int64()))],
+                names=["ord", "node", "n", "c1", "c2", "g1", "g2", "prefix"],
             )
 
     return run
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, take=None) -> DataFrame:
-    """(ord, set) of the documents in ``ids``, and of a few others.
+    """(node, set) of the rows in ``ids``, and of a few others.
 
-    A bitmap of 16 bits to an id, 16 MB at most, keeps the other texts from the
-    work; joins on ``ord`` leave out what it lets through. ``take``: what to keep of
-    a set, else all of it. Rows that repeat an id give one set.
+    A bitmap of 16 bits to a node, 16 MB at most, keeps the other texts from the
+    work; joins on ``node`` leave out what it lets through. ``take``: what to keep of
+    a set, else all of it. Of rows that repeat a node a task gives one.
     """
     bits = min(27, max(16, math.ceil(math.log2(16 * ids.count() + 1))))
-    place = F.pmod(F.xxhash64("ord"), F.lit(1 << bits))
-    found = ids.select(F.shiftrightunsigned(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(ord), {1 << bits}) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    place = F.pmod(F.xxhash64("node"), F.lit(1 << bits))
+    found = ids.select(F.shiftrightunsigned(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(node), {1 << bits}) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     words = np.zeros(1 << (bits - 6), np.uint64)
     words[found.column("w").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = set()
         for b in batches:
             h = b.column(2).to_numpy()
             b = b.filter(pa.array((shared.value[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1) == 1))
+            b = b.filter(pa.array([not (x in given or given.add(x)) for x in b.column(0).to_pylist()], pa.bool_()))
             for b in parts([b]):
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([(take(u) if take else u).view(np.int64) for u in map(shingles, b.column(1).to_pylist())], pa.list_(pa.int64()))], names=["ord", "set"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([(take(u) if take else u).view(np.int64) for u in map(shingles, b.column(1).to_pylist())], pa.list_(pa.int64()))], names=["node", "set"])
 
-    return docs.select("ord", "text", place.alias("h")).mapInArrow(run, "ord bigint, set array<bigint>")
+    return docs.select("node", "text", place.alias("h")).mapInArrow(run, "node bigint, set array<bigint>")
 
 
 class Join:
@@ -216,10 +220,10 @@ class Join:
 
     def describe(self) -> None:
         counts = self.counts = self.spark.sparkContext.broadcast(_sketch(self.docs))  # 4 MB
-        schema = "ord bigint, n bigint, c1 bigint, c2 bigint, g1 bigint, g2 bigint, prefix array<bigint>"
-        every = self.kept(self.docs.select("ord", "text").mapInArrow(_described(counts, self.percent), schema), "sets")
-        self.members = every.select("ord", "n", "c1", "c2")
-        self.classes = self.kept(every.filter("n > 0").groupBy("c1", "c2", "n", "g1", "g2").agg(F.min("ord").alias("rep")), "classes")
+        schema = "ord bigint, node bigint, n bigint, c1 bigint, c2 bigint, g1 bigint, g2 bigint, prefix array<bigint>"
+        every = self.kept(self.docs.select("ord", "node", "text").mapInArrow(_described(counts, self.percent), schema), "sets")
+        self.members = every.select("ord", "node", "n", "c1", "c2")
+        self.classes = self.kept(every.filter("n > 0").groupBy("c1", "c2", "n", "g1", "g2").agg(F.min("node").alias("rep"), F.min("ord").alias("least")), "classes")
         groups = self.classes.groupBy("g1", "g2").agg(F.min("rep").alias("g"), F.count("*").alias("size"))
         p = self.percent
         tokens = every.filter("prefix IS NOT NULL").select("g1", "g2", "n", F.posexplode("prefix").alias("pos", "token")).select("g1", "g2", F.col("n").cast("int").alias("n"), F.col("pos").cast("int").alias("pos"), "token")
@@ -239,9 +243,9 @@ class Join:
         """Add the links among (a, b) pairs of class representatives."""
         self.step += 1
         pairs = self.kept(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("ord")).distinct()
-        sets = self.kept(_sets_of(self.docs, ids), "whole").groupBy("ord").agg(F.max("set").alias("set"))
-        both = pairs.join(sets.select(F.col("ord").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("ord").alias("b"), F.col("set").alias("y")), "b")
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        sets = self.kept(_sets_of(self.docs, ids), "whole").groupBy("node").agg(F.max("set").alias("set"))
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
         linked = both.select("a", "b", common.alias("i"), (F.size("x") + F.size("y") - common).alias("u")).filter(F.col("i") * 100 >= F.col("u") * self.percent)
         found = self.kept(linked.select("a", "b"), "links")
@@ -300,8 +304,8 @@ class Join:
             first = prefix_size(len(u), percent)
             return ordered(u, counts.value)[first : first + index_size(len(u), percent)]
 
-        sets = _sets_of(self.docs, apart.select(F.col("rep").alias("ord")).distinct(), following).groupBy("ord").agg(F.max("set").alias("set"))
-        t = apart.join(sets.select(F.col("ord").alias("rep"), F.explode("set").alias("token")), "rep")
+        sets = _sets_of(self.docs, apart.select(F.col("rep").alias("node")).distinct(), following).groupBy("node").agg(F.max("set").alias("set"))
+        t = apart.join(sets.select(F.col("node").alias("rep"), F.explode("set").alias("token")), "rep")
         i, j = (t.select("g", "token", F.col("rep").alias(x), F.col("comp").alias(f"{x}_comp")) for x in "ab")
         return i.join(j, ["g", "token"]).filter("a < b AND a_comp <> b_comp").select("a", "b").distinct()
 
@@ -327,23 +331,39 @@ class Join:
         self.verify(pairs)
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """(ord, n_shingles, component_id) for each input row; ``ord`` is the id, or 2**63 - 1 for none."""
-    docs = df.select(F.coalesce(df[id_col].cast("bigint"), F.lit(NO_ID)).alias("ord"), df[text_col].alias("text"))
+def _keyed(df: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
+    """(ord, node) of a row."""
+    ord_ = F.coalesce(df[id_col].cast("bigint"), F.lit(NO_ID))
+    return ord_, F.shiftrightunsigned(F.xxhash64(ord_, df[text_col]), 1)
+
+
+def _components_of(df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """(ord, node, n_shingles, component_id) for each input row."""
+    ord_, node = _keyed(df, id_col, text_col)
+    docs = df.select(ord_.alias("ord"), node.alias("node"), df[text_col].alias("text"))
     j = Join(docs, percent)
     j.describe()
     j.stars()
     j.stars(salts=(1, 2, 3), offset=0.5)
     j.rest()
-    reps = j.with_comp(j.classes.select("c1", "c2", "n", "rep"), "rep", "component").select("c1", "c2", "n", "component")
+    least = j.comp.join(j.classes.select(F.col("rep").alias("node"), "least"), "node").groupBy("component").agg(F.min("least").alias("component_id"))
+    linked = j.comp.join(least, "component").select(F.col("node").alias("rep"), "component_id")
+    reps = j.classes.join(linked, "rep", "left").select("c1", "c2", "n", F.coalesce("component_id", "least").alias("component_id"))
     out = j.members.join(reps, ["c1", "c2", "n"], "left")
-    return out.select("ord", F.col("n").alias("n_shingles"), F.coalesce("component", "ord").alias("component_id"))
+    return out.select("ord", "node", F.col("n").alias("n_shingles"), F.coalesce("component_id", "ord").alias("component_id"))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """(ord, n_shingles, component_id) for each input row; ``ord`` is the id, or 2**63 - 1 for none."""
+    return _components_of(df, id_col, text_col, percent).drop("node")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The rows whose id is the smallest of its component, with all their columns.
+    """The rows whose id is the smallest of their own text's component, with all their columns.
 
-    Of exact copies under one id, all rows stay: nothing tells them apart.
+    Of a component's rows under its smallest id, or all without one, all stay: nothing
+    tells them apart.
     """
-    gone = near_duplicates(df, id_col, text_col, percent).filter("component_id < ord").select(F.col("ord").alias("murmura_gone")).distinct()
-    return df.join(gone, F.coalesce(df[id_col].cast("bigint"), F.lit(NO_ID)) == gone["murmura_gone"], "left_anti")
+    gone = _components_of(df, id_col, text_col, percent).filter("component_id < ord").select(F.col("ord").alias("murmura_gone"), F.col("node").alias("murmura_node")).distinct()
+    ord_, node = _keyed(df, id_col, text_col)
+    return df.join(gone, (ord_ == gone["murmura_gone"]) & (node == gone["murmura_node"]), "left_anti")

@@ -272,6 +272,21 @@ def test_jaccard_edges(odd, none):
     assert kept.columns == odd.columns and kept.count() == odd.count() - 1
 
 
+def test_jaccard_tells_rows_without_an_own_id_apart(spark):
+    """Of rows that share an id or have none, one is a copy, one a near copy and one unique."""
+    text = lambda x: " ".join(f"{x}{i}" for i in range(40))
+    near = lambda x: text(x) + " end"
+    data = [(3, text("a")), (5, text("b")), (None, text("a")), (None, near("b")), (None, text("c")), (None, text("d")), (None, near("d")), (7, text("a")), (7, text("e")), (7, near("f")), (9, text("f")), (-2, text("g")), (8, near("g")), (None, "")]
+    none = jaccard.NO_ID
+    want = [3, 5, 3, 5, none, none, none, 3, 7, 7, 7, -2, -2, none]
+    df = spark.createDataFrame(data, "doc_id bigint, text string").repartition(3)
+    sizes = [36 + t.endswith("end") if t else 0 for _, t in data]
+    got = sorted((r.ord, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect())
+    assert got == sorted((none if i is None else i, n, c) for (i, _), n, c in zip(data, sizes, want, strict=True))
+    kept = sorted(((r.doc_id, r.text) for r in jaccard.one_of_each(df).collect()), key=str)
+    assert kept == sorted((x for x, c in zip(data, want, strict=True) if c == (none if x[0] is None else x[0])), key=str)
+
+
 def test_word_hashes():
     a = "Über  ein\tWort\nx" + " " + "y" * 9000 + " " + "y" * 9001
     h = jaccard.word_hashes(a.encode().lower())
