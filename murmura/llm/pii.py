@@ -39,13 +39,17 @@ AT_DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])")
+#: What an account number can reach at most; ``account_end`` cuts it.
+IBAN = re.compile(r"(?=(?<![A-Z0-9])([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+))")
 SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
-#: Length of an account number by country.
+#: Length of an account number by country; others are tried from 15 to 34.
 IBAN_LENGTHS = {
-    "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22,
-    "IS": 26, "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SI": 19, "SK": 24, "SM": 27,
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27,
+    "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22,
+    "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19,
+    "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31,
+    "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
 }
 
 #: Words that speak for a kind, and words that speak against any.
@@ -77,9 +81,29 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def mod97(iban: str) -> bool:
-    s = iban[4:] + iban[:4]
-    return int("".join(str(int(c, 36)) for c in s)) % 97 == 1
+def mod97_lengths(s: str) -> list[int]:
+    """The lengths from 15 on at which a start of ``s`` is a sound account number, by one running remainder."""
+    head = int("".join(str(int(c, 36)) for c in s[:4]))  # of six digits
+    found, rest = [], 0
+    for i, c in enumerate(s[4:], 5):
+        v = int(c, 36)
+        rest = (rest * (10 if v < 10 else 100) + v) % 97
+        if i >= 15 and (rest * 1_000_000 + head) % 97 == 1:
+            found.append(i)
+    return found
+
+
+def account_end(text: str, start: int, reach: str) -> int | None:
+    """Where the account number that starts here ends, or None: at its country's length, or at the longest that is sound where the country isn't listed."""
+    length = IBAN_LENGTHS.get(reach[:2])
+    places = [i for i, c in enumerate(reach, start + 1) if c != " "]
+    if length and length > len(places):
+        return None
+    for n in reversed(mod97_lengths(reach.replace(" ", "")[:length])):
+        follows = text[places[n - 1] : places[n - 1] + 1]
+        if n == (length or n) and not (follows.isascii() and follows.isalnum()):
+            return places[n - 1]
+    return None
 
 
 def digits(s: str) -> str:
@@ -120,10 +144,11 @@ def proposals(text: str) -> Iterator[tuple[int, str, int]]:
         for m in PHONE.finditer(text):
             if 9 <= len(digits(m.group())) <= 15:
                 yield m.start(), "phone", m.end()
+    last = 0
     for m in IBAN.finditer(text):
-        compact = m.group().replace(" ", "")
-        if len(compact) == IBAN_LENGTHS.get(compact[:2]) and mod97(compact):
-            yield m.start(), "iban", m.end()
+        if m.start() >= last and (end := account_end(text, m.start(), m.group(1))):
+            yield m.start(), "iban", end
+            last = end
     if "-" in text:
         for m in SSN.finditer(text):
             area, group, serial = m.group().split("-")

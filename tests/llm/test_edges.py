@@ -365,6 +365,42 @@ def test_personal_data(odd, none):
     assert a[3] > b[3]
 
 
+DE, GB, AE, SA, BR = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "AE07 0331 2345 6789 0123 456", "SA03 8000 0000 6080 1016 7519", "BR18 0036 0305 0000 1000 9795 493C 1"
+
+
+@pytest.mark.parametrize("behind", ["", ";", " Please pay", " I am", " 2024", " A", " 7 days", " 2024 AND MORE 123", ", next"])
+@pytest.mark.parametrize("number", [DE, GB, AE, SA, BR])
+def test_account_numbers_end_by_country(number, behind):
+    for n in (number, number.replace(" ", "")):
+        text = f"IBAN {n}{behind}"
+        assert [(s, e) for s, k, e, _ in pii.find_spans(text) if k == "iban"] == [(5, 5 + len(n))]
+
+
+def test_account_numbers_side_by_side():
+    for a in (DE, GB, AE, SA, BR):
+        for b in (DE, GB, AE, SA, BR):
+            for gap in (" ", "\n", "/"):
+                text = a.replace(" ", "") + gap + b
+                assert [text[s:e] for s, k, e, _ in pii.find_spans(text) if k == "iban"] == [a.replace(" ", ""), b]
+    for text in (DE[:-1] + "1 Please", DE + "a", DE.replace(" ", "") + "X", DE[:-3] + " Please"):
+        assert not [x for x in pii.find_spans(text) if x[1] == "iban"]
+
+
+def test_account_numbers_of_unlisted_countries():
+    for n in (15, 23, 34):
+        rest = ("5" * 30)[: n - 4]
+        number = next(x for x in (f"ZZ{k:02}{rest}" for k in range(2, 99)) if pii.mod97_lengths(x)[-1:] == [n])
+        assert [(s, e) for s, k, e, _ in pii.find_spans(f"IBAN {number} Please") if k == "iban"] == [(5, 5 + n)]
+
+
+def test_account_numbers_take_long_runs():
+    import time
+
+    began = time.time()
+    pii.find_spans("AA00 " * 60_000)
+    assert time.time() - began < 10
+
+
 @pytest.mark.parametrize("text", ["a" * 300_000, "1" * 300_000, "1." * 100_000, "+" * 100_000, "+1" + " " * 200_000, "@" * 100_000, "A0" * 100_000, "a@" * 100_000, "DE00" + "A1 " * 60_000])
 def test_personal_data_takes_long_runs(text):
     import time
