@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -27,13 +29,16 @@ def get_session(app: str = "murmura", master: str = "local[*]", shuffle_partitio
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is what ``spark.checkpoint.dir`` names. Where that is unset, as in
-    tests on one machine, a temporary folder becomes the checkpoint folder.
+    It is what ``spark.checkpoint.dir`` names. Where that is unset and the master
+    is local, as in tests, a temporary folder becomes the checkpoint folder; on a
+    cluster no local folder will do, so there it has to be set.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="murmura-checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     elif not spark.sparkContext.getCheckpointDir():
@@ -45,3 +50,25 @@ def cut(df):
     """``df`` read back from the checkpoint folder: its lineage ends there."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate results, in whichever file system it is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """While this lasts, Spark drops the shuffle files of a query when the query has ended.
+
+    For work of many steps, each of which writes its result: else the files stay
+    until the driver happens to collect its garbage.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
