@@ -1,38 +1,47 @@
 """Grouped prefix join: documents whose shingle sets have a Jaccard similarity of 0.8 or more.
 
 1. A sketch counts shingles by hash bucket over all documents. (bucket count,
-   hash) is the global order: rare shingles first, so that passages shared by
-   many documents stay out of prefixes.
+   hash) is the global order: passages shared by many documents come last and so
+   stay out of prefixes. Its size is fixed: on a large corpus it tells only what
+   stands out from the mean of its buckets, which is what matters.
 2. Each document's set gives a size, a class (its whole set) and a group (its
    prefix and size). Equal sets become one class, represented by one of its rows'
    nodes; classes of equal prefix and size become one group. Prefixes are emitted
    once for a group and task, and prefix shingles that no second group has are
    dropped.
-3. Groups that share prefix shingles and pass the size and position bounds are
-   candidates. They are expanded to classes, and a pair of classes is verified on
-   whole sets.
-4. Links are found in rounds. Star rounds compare one pivot of a shingle's groups
-   (and of a group's classes) with the others, which is linear. Components so far
-   are then closed, and the last round compares only what is still in different
-   components. Pairs inside a component need no look: they can't change it.
-   Hence a group of thousands of copies costs about one comparison for each copy,
-   and still every link between components is found.
-
-Shingle hashes, classes and groups are taken as equal by 64-bit, 128-bit and
-128-bit hashes of their content. A row's node is a 63-bit hash of its id and text,
-so that rows that share an id, or have none, are told apart by their texts.
+3. Two groups are candidates where they share a prefix shingle that can be the
+   first one that they share: what follows it in either set must leave room for the
+   overlap that a link takes. Candidates are expanded to classes, and a pair of
+   classes is verified on whole sets.
+4. Links are found in rounds. In a star round each shingle has a pivot, the member
+   of its largest component with the fewest shingles before it, which is the one
+   nearest to what its copies have in common; all others are compared with pivots
+   only, which is linear. Groups whose classes didn't all come together are then
+   treated as step 2 treats documents, by the shingles that follow the prefix they
+   share. While what is still in different components would make many more pairs
+   than there are rows, further star rounds follow, with other pivots. The last round
+   compares all that is left. Pairs inside a component need no look: they can't
+   change it. Hence a group of thousands of copies costs about one comparison for
+   each copy, and still every link between components is found.
+
+Shingle hashes are of 64 bits, classes and groups of 128; candidates meet by the
+first 64 bits of a group, which can only lose a link between two groups that share
+these by chance. A row's node is a 63-bit hash of its id and text, so that rows that
+share an id, or have none, are told apart by their texts.
+
+A shingle that the sketch finds hot is taken as shared without a look; any other
+one has a bounded number of rows, so that no window gathers a hot key. Joins on
+shingles and nodes are plain sort-merge joins, which adaptive execution splits.
 
 Defined results: a null or empty text has an empty set and is linked with nothing;
 with fewer than five words the whole sequence is the one shingle; rows with equal
 texts are of one component; rows that repeat an id are each compared by their own
 text, so that one may be a copy and another not; a component is named by its smallest
-id; a null id counts as one above all others and is returned as null; other columns
-aren't read.
+id; a null id counts as one above all others, 2**63 - 1; other columns aren't read.
 """
 
 from __future__ import annotations
 
-import gc
 import math
 import uuid
 from collections.abc import Iterator
@@ -45,13 +54,18 @@ from pyspark.sql import functions as F
 
 from murmura.llm.common import BLANKS, parts
 from murmura.llm.components import components
-from murmura.session import cut, shared_dir
+from murmura.session import remove, shared_dir, tidy_shuffles
 
 WIDTH = 5
 PERCENT = 80
 NO_ID = (1 << 63) - 1
 SKETCH_BITS = 20
 SLICES = 16
+#: Bucket counts this far above the mean make a shingle hot.
+HOT = 10_000
+#: Pairs for each row from which on further star rounds come before the last one, and how many at most.
+CROWD = 4
+ROUNDS = 3
 #: Odd multipliers of the words in a shingle.
 FACTORS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
@@ -149,14 +163,21 @@ def ordered(u: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return u[np.argsort(c, kind="stable")]
 
 
+def hot_count(counts: np.ndarray) -> int:
+    """From which bucket count on a shingle is hot: well above the mean, which other shingles account for."""
+    mean = float(counts.mean()) if len(counts) else 0.0
+    return int(mean + 6 * math.sqrt(mean)) + HOT
+
+
 def _described(counts, percent: int):
-    """(ord, node, n, class, group, and the prefix where this task hasn't given that group's)."""
+    """(ord, node, n, class, group, and where this task hasn't given that group's: the prefix, and how many of it aren't hot)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, given = counts.value, set()
+        limit = hot_count(table)
         for b in parts(batches):
             texts = b.column(2).to_pylist()
-            n, cls, grp, pre = [], [], [], []
+            n, cls, grp, cold, pre = [], [], [], [], []
             for t in texts:
                 u = shingles(t)
                 n.append(len(u))
@@ -164,11 +185,13 @@ def _described(counts, percent: int):
                 p = ordered(u, table)[: prefix_size(len(u), percent)] if len(u) >= 100 // (100 - percent) - 1 else u[:0]
                 g = _pair(xxhash.xxh128_digest(p.tobytes(), seed=len(u)) if len(p) else xxhash.xxh128_digest(u.tobytes()))
                 grp.append(g)
-                pre.append(p.view(np.int64) if len(p) and g not in given else None)
+                new = len(p) and g not in given
+                pre.append(p.view(np.int64) if new else None)
+                cold.append(int((table[(p & np.uint64(len(table) - 1)).astype(np.int64)] < limit).sum()) if new else None)
                 given.add(g)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(n, pa.int64()), *(pa.array([x[i] for x in y], pa.int64()) for y in (cls, grp) for i in (0, 1)), pa.array(pre, pa.list_(pa.int64()))],
-                names=["ord", "node", "n", "c1", "c2", "g1", "g2", "prefix"],
+                [b.column(0), b.column(1), pa.array(n, pa.int64()), *(pa.array([x[i] for x in y], pa.int64()) for y in (cls, grp) for i in (0, 1)), pa.array(cold, pa.int64()), pa.array(pre, pa.list_(pa.int64()))],
+                names=["ord", "node", "n", "c1", "c2", "g1", "g2", "cold", "prefix"],
             )
 
     return run
@@ -177,159 +200,197 @@ def _described(counts, percent: int):
 def _sets_of(docs: DataFrame, ids: DataFrame, take=None) -> DataFrame:
     """(node, set) of the rows in ``ids``, and of a few others.
 
-    A bitmap of 16 bits to a node, 16 MB at most, keeps the other texts from the
-    work; joins on ``node`` leave out what it lets through. ``take``: what to keep of
-    a set, else all of it. Of rows that repeat a node a task gives one.
+    A bitmap of 16 bits to a node, 64 MB at most, keeps most other texts from Python;
+    joins on ``node`` leave out what it lets through. ``take``: what to keep of a set,
+    else all of it. Of rows that repeat a node a task gives one.
     """
-    bits = min(27, max(16, math.ceil(math.log2(16 * ids.count() + 1))))
+    bits = min(29, max(16, math.ceil(math.log2(16 * ids.count() + 1))))
     place = F.pmod(F.xxhash64("node"), F.lit(1 << bits))
     found = ids.select(F.shiftrightunsigned(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(node), {1 << bits}) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     words = np.zeros(1 << (bits - 6), np.uint64)
     words[found.column("w").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
+    @F.arrow_udf("boolean")
+    def wanted(h: pa.Array) -> pa.Array:
+        h = h.to_numpy()
+        return pa.array((shared.value[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1) == 1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given = set()
         for b in batches:
-            h = b.column(2).to_numpy()
-            b = b.filter(pa.array((shared.value[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1) == 1))
             b = b.filter(pa.array([not (x in given or given.add(x)) for x in b.column(0).to_pylist()], pa.bool_()))
             for b in parts([b]):
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([(take(u) if take else u).view(np.int64) for u in map(shingles, b.column(1).to_pylist())], pa.list_(pa.int64()))], names=["node", "set"])
 
-    return docs.select("node", "text", place.alias("h")).mapInArrow(run, "node bigint, set array<bigint>")
+    return docs.filter(wanted(place)).select("node", "text").mapInArrow(run, "node bigint, set array<bigint>")
 
 
 class Join:
-    """The state of one run: texts, classes, prefixes, links so far."""
+    """The state of one run: texts, classes, prefix shingles, links so far.
+
+    A vertex ``v`` stands for a group, or for a class of a group whose classes are
+    compared one by one. ``before``: how many shingles vertices of one shingle share
+    in front of it, which is none but for such classes.
+    """
 
     def __init__(self, docs: DataFrame, percent: int):
         self.docs, self.percent, self.spark = docs, percent, docs.sparkSession
         self.home = f"{shared_dir(self.spark)}/murmura-jaccard-{uuid.uuid4().hex}"
-        self.links = None
-        self.comp = None
-        self.step = 0
+        self.links = self.comp = self.seen = None
+        self.step, self.paths = 0, {}
 
     def kept(self, df: DataFrame, name: str) -> DataFrame:
         self.step += 1
-        path = f"{self.home}/{self.step}-{name}"
-        df.write.parquet(path)
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of finished steps
-        return self.spark.read.parquet(path)
+        self.paths[name] = f"{self.home}/{self.step}-{name}"
+        df.write.parquet(self.paths[name])
+        return self.spark.read.parquet(self.paths[name])
+
+    def done_with(self, *names: str) -> None:
+        for name in names:
+            remove(self.spark, self.paths[name])
 
     def describe(self) -> None:
         counts = self.counts = self.spark.sparkContext.broadcast(_sketch(self.docs))  # 4 MB
-        schema = "ord bigint, node bigint, n bigint, c1 bigint, c2 bigint, g1 bigint, g2 bigint, prefix array<bigint>"
+        schema = "ord bigint, node bigint, n bigint, c1 bigint, c2 bigint, g1 bigint, g2 bigint, cold bigint, prefix array<bigint>"
         every = self.kept(self.docs.select("ord", "node", "text").mapInArrow(_described(counts, self.percent), schema), "sets")
-        self.members = every.select("ord", "node", "n", "c1", "c2")
+        self.members = self.kept(every.select("ord", "node", "n", "c1", "c2"), "members")
         self.classes = self.kept(every.filter("n > 0").groupBy("c1", "c2", "n", "g1", "g2").agg(F.min("node").alias("rep"), F.min("ord").alias("least")), "classes")
-        groups = self.classes.groupBy("g1", "g2").agg(F.min("rep").alias("g"), F.count("*").alias("size"))
-        p = self.percent
-        tokens = every.filter("prefix IS NOT NULL").select("g1", "g2", "n", F.posexplode("prefix").alias("pos", "token")).select("g1", "g2", F.col("n").cast("int").alias("n"), F.col("pos").cast("int").alias("pos"), "token")
+        self.vertices = self.classes.select(F.col("g1").alias("v"), "rep")
+        tokens = lambda df: df.select(F.col("g1").alias("v"), F.col("n").cast("int").alias("n"), "cold", F.posexplode("prefix").alias("pos", "token"))
         same = Window.partitionBy("token")
-        tokens = tokens.withColumn("lo", F.min("g1").over(same)).withColumn("hi", F.max("g1").over(same)).filter("lo < hi").dropDuplicates(["token", "g1", "g2"])
-        tokens = tokens.join(groups, ["g1", "g2"]).select("token", "g", "n", "pos")
-        index = F.col("n") - F.ceil(F.col("n") * (2 * p) / (100 + p)) + 1
-        self.tokens = self.kept(tokens.withColumn("small", F.col("pos") < index), "tokens")
-        self.groups = self.kept(groups.filter("size > 1"), "groups")
-
-    def members_of_groups(self) -> DataFrame:
-        """(g, rep, n): the classes of each group; most groups have one."""
-        many = self.classes.join(self.groups.select("g1", "g2", "g"), ["g1", "g2"]).select("g", "rep")
-        return many
+        cold = tokens(every.filter("cold > 0")).filter("pos < cold").drop("cold").withColumn("lo", F.min("v").over(same)).withColumn("hi", F.max("v").over(same)).filter("lo < hi").drop("lo", "hi")
+        hot = tokens(every.filter("cold < size(prefix)")).filter("pos >= cold").drop("cold")
+        self.tokens = self.kept(cold.dropDuplicates(["token", "v"]).union(hot.dropDuplicates(["token", "v"])), "tokens")
+        self.done_with("sets")
 
     def verify(self, pairs: DataFrame) -> None:
         """Add the links among (a, b) pairs of class representatives."""
-        self.step += 1
-        pairs = self.kept(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if self.seen is not None:
+            pairs = pairs.join(self.seen, ["a", "b"], "left_anti")
+        pairs = self.kept(pairs, "pairs")
+        self.seen = pairs if self.seen is None else self.seen.union(pairs)
         ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = self.kept(_sets_of(self.docs, ids), "whole").groupBy("node").agg(F.max("set").alias("set"))
+        whole = self.kept(_sets_of(self.docs, ids), "whole")
+        sets = whole.groupBy("node").agg(F.max("set").alias("set"))
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
         linked = both.select("a", "b", common.alias("i"), (F.size("x") + F.size("y") - common).alias("u")).filter(F.col("i") * 100 >= F.col("u") * self.percent)
         found = self.kept(linked.select("a", "b"), "links")
+        self.done_with("whole")
         self.links = found if self.links is None else self.links.union(found)
         self.comp = components(self.links)
 
     def with_comp(self, df: DataFrame, node: str, name: str = "comp") -> DataFrame:
-        if self.comp is None:
-            return df.withColumn(name, F.col(node))
         c = self.comp.select(F.col("node").alias(node), F.col("component").alias(name))
         return df.join(c, node, "left").withColumn(name, F.coalesce(name, node))
 
-    def stars(self, salts: tuple[int, ...] = (0,), offset: float = 0.0) -> None:
-        """In each shingle's groups of like size, all others against members of the largest component.
-
-        ``salts`` members of it are tried, each chosen by a hash, so that a group that
-        misses the threshold with one may still link by another. Bands of size are
-        twice as wide as a link allows; a round with them shifted by half meets the
-        pairs that one without separates. Pairs that share too few shingles here are
-        left to ``rest``.
-        """
-        band = F.floor(F.log("n") / (2 * math.log(100 / self.percent)) + offset)
-        t = self.with_comp(self.tokens.select("token", "g", "n", "pos"), "g").withColumn("band", band).repartition("token", "band")
-        same, own = Window.partitionBy("token", "band"), Window.partitionBy("token", "band", "comp")
-        t = t.withColumn("k", F.count("*").over(own)).withColumn("big", F.max(F.struct("k", (-F.col("comp")).alias("c"))).over(same))
-        inside = F.col("comp") == -F.col("big.c")
-        tried = [F.min(F.when(inside, F.struct(F.xxhash64("g", F.lit(x)).alias("h"), "g", "n", "pos"))).over(same) for x in salts]
-        met = t.withColumn("tried", F.array(*tried)).filter(~inside).select("g", "n", "pos", F.explode("tried").alias("pivot")).filter(self.near("pos", "pivot.pos", "n", "pivot.n"))
-        pairs = met.groupBy(F.col("pivot.g").alias("a"), F.col("g").alias("b")).agg(
-            F.count("*").alias("k"), F.max("pivot.pos").alias("i"), F.max("pos").alias("j"), F.first("pivot.n").alias("x_n"), F.first("n").alias("y_n")
-        )
-        pairs = pairs.filter(f"least(x_n, y_n) * 100 >= greatest(x_n, y_n) * {self.percent} AND {self.enough()}").select("a", "b")
-        if self.comp is None:
-            pairs = pairs.union(self.members_of_groups().select(F.col("g").alias("a"), F.col("rep").alias("b")))
-        self.verify(pairs)
-
-    def near(self, i: str, j: str, x_n: str, y_n: str) -> str:
-        """Whether one shared shingle at places i and j leaves room for the overlap that a link takes: what stands before it can match only before it, what follows only behind."""
-        return f"(least({i}, {j}) + 1 + least({x_n} - 1 - {i}, {y_n} - 1 - {j})) * {100 + self.percent} >= ({x_n} + {y_n}) * {self.percent}"
-
-    def enough(self) -> str:
-        """Whether k shared prefix shingles, the last at places i and j, leave room for the overlap that a link takes."""
-        return f"(k + least(x_n - 1 - i, y_n - 1 - j)) * {100 + self.percent} >= (x_n + y_n) * {self.percent}"
-
-    def apart(self) -> DataFrame:
-        """(g, rep, comp) of the groups whose classes are not all in one component."""
-        inside = self.with_comp(self.members_of_groups(), "rep")
-        split = inside.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("g")
-        return self.kept(inside.join(split, "g", "left_semi"), "apart")
-
-    def within(self, apart: DataFrame) -> DataFrame:
-        """Candidates inside groups: classes of equal size n that link share more than their prefix, so also one of the shingles that follow it."""
+    def band(self, offset: float) -> Column:
+        """Bands of size are twice as wide as a link allows; shifted by half they join the pairs that bands without a shift part."""
+        return F.floor(F.log("n") / (2 * math.log(100 / self.percent)) + offset)
+
+    def room(self, k: str, i: str, j: str, x_n: str, y_n: str, before: str) -> str:
+        """Whether k shared shingles up to places i and j, and those before, leave room for the overlap that a link takes."""
+        return f"({before} + {k} + least({x_n} - 1 - {i}, {y_n} - 1 - {j})) * {100 + self.percent} >= ({x_n} + {y_n}) * {self.percent} AND least({x_n}, {y_n}) * 100 >= greatest({x_n}, {y_n}) * {self.percent}"
+
+    def leads(self) -> DataFrame:
+        return self.vertices.groupBy("v").agg(F.min("rep").alias("rep"))
+
+    def expanded(self, pairs: DataFrame, reps: DataFrame) -> DataFrame:
+        """Pairs of vertices (a, b) as pairs of their representatives."""
+        for end in ("a", "b"):
+            pairs = pairs.join(reps.select(F.col("v").alias(end), F.col("rep").alias(f"{end}_rep")), end)
+        return pairs.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b"))
+
+    def first_stars(self) -> None:
+        """In each shingle's groups of like size, all others against the one that has it first; in each group, all classes against one."""
+        t = self.tokens.withColumn("band", self.band(0.0))
+        pivots = t.groupBy("token", "band").agg(F.min(F.struct("pos", "v", "n")).alias("p"), F.count("*").alias("k")).filter("k > 1").select("token", "band", *(F.col(f"p.{c}").alias(f"p_{c}") for c in ("pos", "v", "n")))
+        met = t.join(pivots, ["token", "band"]).filter(f"v <> p_v AND {self.room('1', 'pos', 'p_pos', 'n', 'p_n', '0')}")
+        leads = self.leads()
+        pairs = self.expanded(met.select(F.col("p_v").alias("a"), F.col("v").alias("b")).distinct(), leads)
+        inner = self.vertices.join(leads.select("v", F.col("rep").alias("a")), "v").select("a", F.col("rep").alias("b")).filter("a <> b")
+        self.verify(pairs.union(inner))
+
+    def mixed(self, t: DataFrame, name: str) -> DataFrame:
+        """The rows of shingles whose vertices are in more than one component, with ``comp``; a group whose own classes are in several may meet any."""
+        own = self.with_comp(self.vertices, "rep").groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        own = own.select("v", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(-1 - F.shiftrightunsigned("v", 1)).alias("comp"))
+        t = self.kept(t.join(own, "v"), "located")
+        open_ = t.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
+        out = self.kept(t.join(open_, "token", "left_semi"), name)
+        self.done_with("located")
+        return out
+
+    def apart(self) -> DataFrame | None:
+        """Vertices for the classes of groups whose classes are in several components, by the shingles that follow their common prefix."""
+        inside = self.with_comp(self.vertices, "rep")
+        split = inside.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("v")
+        inside = self.kept(self.vertices.join(split, "v", "left_semi"), "apart")
+        if inside.isEmpty():
+            return None
         percent, counts = self.percent, self.counts
 
         def following(u: np.ndarray) -> np.ndarray:
             first = prefix_size(len(u), percent)
-            return ordered(u, counts.value)[first : first + index_size(len(u), percent)]
-
-        sets = _sets_of(self.docs, apart.select(F.col("rep").alias("node")).distinct(), following).groupBy("node").agg(F.max("set").alias("set"))
-        t = apart.join(sets.select(F.col("node").alias("rep"), F.explode("set").alias("token")), "rep")
-        i, j = (t.select("g", "token", F.col("rep").alias(x), F.col("comp").alias(f"{x}_comp")) for x in "ab")
-        return i.join(j, ["g", "token"]).filter("a < b AND a_comp <> b_comp").select("a", "b").distinct()
-
-    def rest(self) -> None:
+            return np.concatenate([np.array([len(u), first], np.uint64), ordered(u, counts.value)[first : first + index_size(len(u), percent)]])
+
+        sets = _sets_of(self.docs, inside.select(F.col("rep").alias("node")).distinct(), following).groupBy("node").agg(F.max("set").alias("set"))
+        t = inside.join(sets.withColumnRenamed("node", "rep"), "rep").select(F.col("v").alias("g"), F.col("rep").alias("v"), *(F.element_at("set", i).cast("int").alias(c) for i, c in ((1, "n"), (2, "before"))), F.posexplode(F.slice("set", 3, F.size("set"))).alias("at", "token"))
+        self.vertices = self.vertices.union(inside.select(F.col("rep").alias("v"), "rep"))
+        return t.select("v", "n", (F.col("before") + F.col("at")).alias("pos"), F.xxhash64("g", "token").alias("token"), "before")
+
+    def crowded(self, t: DataFrame) -> bool:
+        """Whether comparing all that meet in a shingle and are in different components would take many more rows than there are."""
+        t = t.filter(self.room("1", "pos", "0", "n", "n", "before"))
+        each = t.groupBy("token", "comp").agg(F.count("*").cast("double").alias("k")).groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("own"))
+        met = each.agg(F.sum((F.col("k") * F.col("k") - F.col("own")) / 2).alias("pairs"), F.sum("k").alias("rows")).first()
+        return bool(met.rows) and met.pairs > CROWD * met.rows
+
+    def more_stars(self, t: DataFrame, salts: tuple[int, ...], offset: float) -> None:
+        """In each shingle's vertices of like size, all outside its largest component against members of it.
+
+        The member that has the shingle first and one for each salt are tried; bands are
+        shifted against those of the first stars. What shares too little here is left to
+        ``rest``.
+        """
+        t = t.withColumn("band", self.band(offset))
+        row = ("v", "n", "pos")
+        tried = F.array(F.min(F.struct(F.col("pos").cast("bigint").alias("h"), *row)), *(F.min(F.struct(F.xxhash64("v", F.lit(x)).alias("h"), *row)) for x in salts))
+        each = t.groupBy("token", "band", "comp").agg(F.count("*").alias("k"), tried.alias("tried"))
+        big = each.groupBy("token", "band").agg(F.max_by(F.struct("comp", "tried"), F.struct("k", -F.col("comp"))).alias("big"), F.count("*").alias("comps")).filter("comps > 1")
+        met = t.join(big.select("token", "band", "big"), ["token", "band"]).filter("comp <> big.comp").select(*row, "before", F.explode(F.array_distinct(F.transform("big.tried", lambda x: x.dropFields("h")))).alias("p")).filter(self.room("1", "pos", "p.pos", "n", "p.n", "before"))
+        self.verify(self.expanded(met.select(F.col("p.v").alias("a"), F.col("v").alias("b")).distinct(), self.leads()))
+
+    def rest(self, t: DataFrame) -> None:
         """All candidates whose ends are still in different components."""
-        apart = self.apart()
-        t = self.with_comp(self.tokens, "g").join(apart.select("g", F.lit(True).alias("open")).distinct(), "g", "left")
-        t = t.withColumn("comp", F.when(F.col("open"), -1 - F.col("g")).otherwise(F.col("comp"))).drop("open")  # a group that is apart may meet any
-        same = Window.partitionBy("token")
-        t = t.withColumn("lo", F.min("comp").over(same)).withColumn("hi", F.max("comp").over(same)).filter("lo < hi").drop("lo", "hi")
-        t = self.kept(t, "mixed")
-        x = t.filter("small").select("token", *(F.col(c).alias(f"x_{c}") for c in ("g", "n", "pos", "comp")))
-        y = t.select("token", *(F.col(c).alias(f"y_{c}") for c in ("g", "n", "pos", "comp")))
-        met = x.join(y, "token").filter(f"x_comp <> y_comp AND (x_n < y_n OR x_n = y_n AND x_g < y_g) AND x_n * 100 >= y_n * {self.percent} AND {self.near('x_pos', 'y_pos', 'x_n', 'y_n')}")
-        met = met.groupBy("x_g", "y_g").agg(F.count("*").alias("k"), F.max("x_pos").alias("i"), F.max("y_pos").alias("j"), F.first("x_n").alias("x_n"), F.first("y_n").alias("y_n"))
-        met = met.filter(self.enough())
-        pairs = met.select(F.col("x_g").alias("a"), F.col("y_g").alias("b"))
-        many = self.members_of_groups()
-        for end in ("a", "b"):  # expand groups to their classes
-            pairs = pairs.join(many.select(F.col("g").alias(end), "rep"), end, "left").withColumn(end, F.coalesce("rep", end)).drop("rep")
-        pairs = pairs.union(self.within(apart))
+        x = t.filter(self.room("1", "pos", "0", "n", "n", "before")).select("token", "before", *(F.col(c).alias(f"x_{c}") for c in ("v", "n", "pos", "comp")))
+        y = t.select("token", *(F.col(c).alias(f"y_{c}") for c in ("v", "n", "pos", "comp")))
+        met = x.join(y, "token").filter(f"x_comp <> y_comp AND (x_n < y_n OR x_n = y_n AND x_v < y_v) AND {self.room('1', 'x_pos', 'y_pos', 'x_n', 'y_n', 'before')}")
+        met = met.groupBy("x_v", "y_v").agg(F.count("*").alias("k"), F.max("x_pos").alias("i"), F.max("y_pos").alias("j"), F.first("x_n").alias("x_n"), F.first("y_n").alias("y_n"), F.max("before").alias("before"))
+        met = met.filter(self.room("k", "i", "j", "x_n", "y_n", "before"))
+        pairs = self.expanded(met.select(F.col("x_v").alias("a"), F.col("y_v").alias("b")), self.vertices)
         pairs = self.with_comp(self.with_comp(pairs, "a", "ca"), "b", "cb").filter("ca <> cb").select("a", "b")
         self.verify(pairs)
 
+    def run(self) -> None:
+        with tidy_shuffles(self.spark):
+            self.describe()
+            self.first_stars()
+            following = self.apart()
+            t = self.tokens.withColumn("before", F.lit(0))
+            t = t if following is None else t.unionByName(following)
+            t = self.mixed(t, "round-0")
+            self.done_with("tokens")
+            for i in range(1, ROUNDS + 1):
+                if not self.crowded(t):
+                    break
+                self.more_stars(t, salts=(2 * i, 2 * i + 1), offset=i / (ROUNDS + 1))
+                t = self.mixed(t.drop("comp"), f"round-{i}")
+                self.done_with(f"round-{i - 1}")
+            self.rest(t)
+
 
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
     """(ord, node) of a row."""
@@ -342,10 +403,7 @@ def _components_of(df: DataFrame, id_col: str, text_col: str, percent: int) -> D
     ord_, node = _keyed(df, id_col, text_col)
     docs = df.select(ord_.alias("ord"), node.alias("node"), df[text_col].alias("text"))
     j = Join(docs, percent)
-    j.describe()
-    j.stars()
-    j.stars(salts=(1, 2, 3), offset=0.5)
-    j.rest()
+    j.run()
     least = j.comp.join(j.classes.select(F.col("rep").alias("node"), "least"), "node").groupBy("component").agg(F.min("least").alias("component_id"))
     linked = j.comp.join(least, "component").select(F.col("node").alias("rep"), "component_id")
     reps = j.classes.join(linked, "rep", "left").select("c1", "c2", "n", F.coalesce("component_id", "least").alias("component_id"))

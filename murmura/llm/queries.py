@@ -50,7 +50,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard.near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select(F.nullif("ord", F.lit(jaccard.NO_ID)).alias("doc_id"), "n_shingles", "component_id")
+    return found.select(F.nullif("ord", F.lit(jaccard.NO_ID)).alias("doc_id"), "n_shingles", F.nullif("component_id", F.lit(jaccard.NO_ID)).alias("component_id"))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
