@@ -63,6 +63,8 @@ SKETCH_BITS = 20
 SLICES = 16
 #: Bucket counts this far above the mean make a shingle hot.
 HOT = 10_000
+#: Nodes whose texts are looked up by a broadcast join: some 50 MB.
+MAX_IDS = 1_000_000
 #: Pairs for each row from which on further star rounds come before the last one, and how many at most.
 CROWD = 4
 ROUNDS = 3
@@ -198,32 +200,35 @@ def _described(counts, percent: int):
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, take=None) -> DataFrame:
-    """(node, set) of the rows in ``ids``, and of a few others.
+    """(node, set) of the rows in ``ids``, and perhaps of a few others, which joins on ``node`` leave out.
 
-    A bitmap of 16 bits to a node, 64 MB at most, keeps most other texts from Python;
-    joins on ``node`` leave out what it lets through. ``take``: what to keep of a set,
-    else all of it. Of rows that repeat a node a task gives one.
+    Up to ``MAX_IDS`` nodes are broadcast. Of more, a bitmap of 16 bits to a node, 64 MB
+    at most, keeps most other texts from the work. ``take``: what to keep of a set, else
+    all of it. Of rows that repeat a node a task gives one.
     """
-    bits = min(29, max(16, math.ceil(math.log2(16 * ids.count() + 1))))
-    place = F.pmod(F.xxhash64("node"), F.lit(1 << bits))
-    found = ids.select(F.shiftrightunsigned(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(node), {1 << bits}) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    words = np.zeros(1 << (bits - 6), np.uint64)
-    words[found.column("w").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
-    shared = docs.sparkSession.sparkContext.broadcast(words)
-
-    @F.arrow_udf("boolean")
-    def wanted(h: pa.Array) -> pa.Array:
-        h = h.to_numpy()
-        return pa.array((shared.value[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1) == 1)
+    n, shared = ids.count(), None
+    if n <= MAX_IDS:
+        docs = docs.join(F.broadcast(ids), "node", "left_semi")
+    else:
+        bits = min(29, math.ceil(math.log2(16 * n + 1)))
+        place = F.pmod(F.xxhash64("node"), F.lit(1 << bits))
+        docs = docs.withColumn("place", place)
+        found = ids.select(F.shiftrightunsigned(place, 6).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(node), {1 << bits}) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+        words = np.zeros(1 << (bits - 6), np.uint64)
+        words[found.column("w").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
+        shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given = set()
         for b in batches:
+            if shared is not None:
+                h = b.column(2).to_numpy()
+                b = b.filter(pa.array((shared.value[h >> 6] >> (h & 63).astype(np.uint64)) & np.uint64(1) == 1))
             b = b.filter(pa.array([not (x in given or given.add(x)) for x in b.column(0).to_pylist()], pa.bool_()))
             for b in parts([b]):
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([(take(u) if take else u).view(np.int64) for u in map(shingles, b.column(1).to_pylist())], pa.list_(pa.int64()))], names=["node", "set"])
 
-    return docs.filter(wanted(place)).select("node", "text").mapInArrow(run, "node bigint, set array<bigint>")
+    return docs.select("node", "text", *([] if shared is None else ["place"])).mapInArrow(run, "node bigint, set array<bigint>")
 
 
 class Join:
