@@ -16,10 +16,14 @@ hits shuffle, combined by diagonal before they do.
 Items shorter than ``window`` count only as a whole and unchanged. Tokens are runs
 of letters and digits, lower-cased.
 
+Items are told apart by their tokens and get their ids back last, so ids need be
+neither unique nor there at all.
+
 Defined results: null and empty texts, and items without a token, match nothing;
-rows that share an id are judged each for itself and reported under the id; a null
-id is reported as null; repeated items are reported by each of their ids; other
-columns aren't read.
+rows that share an id are judged each for itself and reported together under the
+id, equal ones once; a null id, of a text or of an item, is reported as null; items
+of equal tokens are reported by each of their ids, an id that repeats one once;
+items of different tokens under one id add up; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -58,17 +62,22 @@ def seed(h: Column, at: Column, number: int, mask: tuple[int, ...]) -> Column:
     return F.when(at + max(mask) < F.size(h), F.xxhash64(F.lit(number), *(F.get(h, at + o) for o in mask)))
 
 
+def itemised(items: DataFrame, item_text: str) -> DataFrame:
+    """``items`` with the hashes ``ih`` of their tokens, and a hash ``item`` of these."""
+    return items.withColumn("ih", hashed(tokens(items[item_text]))).withColumn("item", F.xxhash64("ih"))
+
+
 def diagonals(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str, window: int, substitutions: int, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
-    """(doc_id, of, item_id, good) of each diagonal that overlaps: ``of`` is the text's hash, ``good`` the matches in each window that passes."""
+    """(doc_id, of, item, good) of each diagonal that overlaps: ``of`` is the text's hash, ``item`` that of the item's tokens, ``good`` the matches in each window that passes."""
     if not covers(masks, window, substitutions):
         raise ValueError("these masks miss some windows")
-    bench = items.select(items[item_id].alias("item_id"), tokens(items[item_text]).alias("words")).select("item_id", hashed(F.col("words")).alias("ih")).filter(F.size("ih") > 0)
+    bench = itemised(items, item_text).select("item", "ih").filter(F.size("ih") > 0).dropDuplicates(["item"])
     short = sorted(r[0] for r in bench.filter(F.size("ih") < window).select(F.size("ih")).distinct().collect())  # at most window - 1 lengths
-    long_seeds = bench.filter(F.size("ih") >= window).select("item_id", "ih", F.explode(F.sequence(F.lit(0), F.size("ih") - 1)).alias("j"))
-    long_seeds = long_seeds.select("item_id", "j", F.size("ih").alias("len"), F.explode(F.array_compact(F.array(*(seed(F.col("ih"), F.col("j"), k, m) for k, m in enumerate(masks))))).alias("key"))
+    long_seeds = bench.filter(F.size("ih") >= window).select("item", "ih", F.explode(F.sequence(F.lit(0), F.size("ih") - 1)).alias("j"))
+    long_seeds = long_seeds.select("item", "j", F.size("ih").alias("len"), F.explode(F.array_compact(F.array(*(seed(F.col("ih"), F.col("j"), k, m) for k, m in enumerate(masks))))).alias("key"))
     every = [(k, m) for k, m in enumerate(masks)] + [(len(masks) + n, tuple(range(n))) for n in short]
     short_key = F.coalesce(*(F.when(F.size("ih") == n, seed(F.col("ih"), F.lit(0), len(masks) + n, tuple(range(n)))) for n in short)) if short else F.lit(None).cast("bigint")
-    seeds = long_seeds.unionByName(bench.filter(F.size("ih") < window).select("item_id", F.lit(0).alias("j"), F.size("ih").alias("len"), short_key.alias("key")))
+    seeds = long_seeds.unionByName(bench.filter(F.size("ih") < window).select("item", F.lit(0).alias("j"), F.size("ih").alias("len"), short_key.alias("key")))
 
     texts = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col]).alias("of"), tokens(docs[text_col]).alias("words"))
     texts = texts.select("doc_id", "of", hashed(F.col("words")).alias("h")).filter(F.size("h") > 0)
@@ -78,25 +87,27 @@ def diagonals(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, ite
     blocks = max(1, -(-seeds.count() // MAX_SEEDS))
     met = None
     for b in range(blocks):
-        own = seeds.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
+        own = seeds.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
         hits = laid.join(F.broadcast(own), "key").withColumn("diagonal", F.col("i") - F.col("j"))
         start, end = F.greatest(F.col("diagonal"), F.lit(0)), F.least(F.col("diagonal") + F.col("len"), F.size("h"))
-        hits = hits.select("doc_id", "of", "item_id", "diagonal", F.slice("h", start + 1, end - start).alias("side"))
-        hits = hits.groupBy("doc_id", "of", "item_id", "diagonal").agg(F.first("side").alias("side"))
+        hits = hits.select("doc_id", "of", "item", "diagonal", F.slice("h", start + 1, end - start).alias("side"))
+        hits = hits.groupBy("doc_id", "of", "item", "diagonal").agg(F.first("side").alias("side"))
         met = hits if met is None else met.unionByName(hits)
-    met = met.join(bench, "item_id")
+    met = met.join(bench, "item")
     skipped = F.greatest(-F.col("diagonal"), F.lit(0))
     same = F.zip_with("side", F.slice("ih", skipped + 1, F.size("side")), lambda a, b: F.when(a == b, 1).otherwise(0))
-    met = met.select("doc_id", "of", "item_id", same.alias("same"), F.least(F.lit(window), F.size("ih")).alias("w"), F.when(F.size("ih") < window, 0).otherwise(substitutions).alias("s"))
+    met = met.select("doc_id", "of", "item", same.alias("same"), F.least(F.lit(window), F.size("ih")).alias("w"), F.when(F.size("ih") < window, 0).otherwise(substitutions).alias("s"))
     met = met.filter(F.size("same") >= F.col("w"))
     sums = F.transform(F.sequence(F.lit(1), F.size("same") - F.col("w") + 1), lambda p: F.aggregate(F.slice("same", p, F.col("w")), F.lit(0), lambda t, x: t + x))
-    return met.select("doc_id", "of", "item_id", F.filter(sums, lambda x: x >= F.col("w") - F.col("s")).alias("good")).filter(F.size("good") > 0)
+    return met.select("doc_id", "of", "item", F.filter(sums, lambda x: x >= F.col("w") - F.col("s")).alias("good")).filter(F.size("good") > 0)
 
 
 def find_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, substitutions: int = SUBSTITUTIONS, masks: tuple[tuple[int, ...], ...] = MASKS) -> DataFrame:
     """One row per (doc_id, item_id) that overlaps: n_windows that pass, best_matches in one of them."""
     met = diagonals(docs, items, id_col, text_col, item_id, item_text, window, substitutions, masks)
-    return met.groupBy("doc_id", "item_id").agg(F.sum(F.size("good")).cast("bigint").alias("n_windows"), F.max(F.array_max("good")).cast("bigint").alias("best_matches"))
+    found = met.groupBy("doc_id", "item").agg(F.sum(F.size("good")).cast("bigint").alias("n"), F.max(F.array_max("good")).cast("bigint").alias("best"))
+    names = itemised(items.select(items[item_id].alias("item_id"), items[item_text].alias("text")), "text").select("item_id", "item").distinct()
+    return found.join(names, "item").groupBy("doc_id", "item_id").agg(F.sum("n").alias("n_windows"), F.max("best").alias("best_matches"))
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, substitutions: int = SUBSTITUTIONS) -> DataFrame:

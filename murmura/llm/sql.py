@@ -82,12 +82,12 @@ FROM f GROUP BY doc_id
 
 #: All windows: any that passes shares four tokens in a row, so diagonals come from a join on those.
 OP2 = r"""
-WITH d AS (SELECT doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), ' ') AS h FROM documents),
-b AS (SELECT item_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), ' ') AS ih FROM benchmark),
-dg AS (SELECT doc_id, i, h[i:i+3] AS g FROM (SELECT doc_id, h, unnest(range(1, len(h) - 2)) AS i FROM d WHERE len(h) >= 4)),
-bg AS (SELECT item_id, j, ih[j:j+3] AS g FROM (SELECT item_id, ih, unnest(range(1, len(ih) - 2)) AS j FROM b WHERE len(ih) >= 13)),
-dia AS (SELECT DISTINCT doc_id, item_id, i - j AS k FROM dg JOIN bg USING (g)),
-win AS (SELECT doc_id, item_id, k, unnest(range(greatest(1, 1 - k), least(len(ih), len(h) - k) - 11)) AS s, h, ih FROM dia JOIN d USING (doc_id) JOIN b USING (item_id)),
+WITH d AS (SELECT DISTINCT doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), ' ') AS h FROM documents),
+b AS (SELECT DISTINCT item_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), ' ') AS ih FROM benchmark),
+dg AS (SELECT doc_id, h, i, h[i:i+3] AS g FROM (SELECT doc_id, h, unnest(range(1, len(h) - 2)) AS i FROM d WHERE len(h) >= 4)),
+bg AS (SELECT item_id, ih, j, ih[j:j+3] AS g FROM (SELECT item_id, ih, unnest(range(1, len(ih) - 2)) AS j FROM b WHERE len(ih) >= 13)),
+dia AS (SELECT DISTINCT doc_id, h, item_id, ih, i - j AS k FROM dg JOIN bg USING (g)),
+win AS (SELECT doc_id, item_id, k, unnest(range(greatest(1, 1 - k), least(len(ih), len(h) - k) - 11)) AS s, h, ih FROM dia),
 m AS (SELECT doc_id, item_id, list_sum(list_transform(range(0, 13), lambda o: CASE WHEN ih[s + o] = h[s + k + o] THEN 1 ELSE 0 END)) AS n FROM win)
 SELECT doc_id, item_id, count(*)::BIGINT AS n_windows, max(n)::BIGINT AS best_matches FROM m WHERE n >= 11 GROUP BY ALL
 """
