@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmura.llm.common import parts
+from murmura.session import cut
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pattern that splits a text before merging, as the vocabulary's own encoder has it.
@@ -67,8 +68,9 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
 
     Two levels: sums over blocks of lengths, few enough for one window, are
     added to the suffix sums inside each block, so that no task sorts all lengths.
+    Both read the histogram, which is written first: a few rows for many texts.
     """
-    h = histogram.withColumn("block", F.floor(F.col("length") / BLOCK))
+    h = cut(histogram).withColumn("block", F.floor(F.col("length") / BLOCK))
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(F.col("length") * F.col("n_docs")).alias("t"))
     after = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
