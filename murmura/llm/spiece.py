@@ -5,7 +5,9 @@ are the pieces that end there. Only positions that a piece can still start from
 survive, at most the longest piece's length of them, and each has one best arc
 back. Whenever the paths back from all survivors meet in one boundary, the pieces
 before it are committed and forgotten, so memory follows the longest piece and not
-the text.
+the text. Every segment, short or long, takes this one search; survivors are looked
+at each time as many characters have come in as the longest piece has, from two
+such lengths on, since before that the paths' common start is all that they share.
 
 What makes an arc best depends on the model:
 
@@ -23,7 +25,8 @@ bounded memo before it is searched.
 
 Defined results: a null or empty text has no ids and decodes to empty; characters
 without a piece become their UTF-8 bytes where the model has byte pieces, else the
-unknown id; lone surrogates are encoded as the replacement character; a word mark in the text
+unknown id; a model with a normaliser or with user-defined symbols is refused when it
+is loaded; lone surrogates are encoded as the replacement character; a word mark in the text
 is taken as a space; very long
 texts and very long words are streamed; each row is encoded for itself and other
 columns aren't read.
@@ -86,10 +89,23 @@ class Model:
         """From a model file that the driver can read; executors get the object."""
         import sentencepiece
 
-        m = sentencepiece.SentencePieceProcessor(model_file=path)
-        kinds = ((m.is_unknown, UNKNOWN), (m.is_control, CONTROL), (m.is_unused, UNUSED), (m.is_byte, BYTE))
-        pieces = [(m.id_to_piece(i), m.get_score(i), next((k for f, k in kinds if f(i)), NORMAL)) for i in range(m.get_piece_size())]
-        return cls(pieces, bpe=_merges(m))
+        return cls.of_proto(sentencepiece.SentencePieceProcessor(model_file=path).serialized_model_proto())
+
+    @classmethod
+    def of_proto(cls, data: bytes) -> Model:
+        """From a serialised model; one whose texts would have to be changed or cut otherwise first is refused."""
+        from sentencepiece import sentencepiece_model_pb2 as pb
+
+        proto = pb.ModelProto()
+        proto.ParseFromString(data)
+        rules, kind = proto.normalizer_spec, proto.trainer_spec.model_type
+        if rules.precompiled_charsmap or rules.remove_extra_whitespaces or not rules.escape_whitespaces:
+            raise ValueError("the model normalises its texts: only an identity normaliser that keeps all spaces is supported")
+        if kind not in (pb.TrainerSpec.BPE, pb.TrainerSpec.UNIGRAM) or proto.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError("only unigram and BPE models with leading word marks are supported")
+        if any(x.type == USER for x in proto.pieces):
+            raise ValueError("models with user-defined symbols are not supported")
+        return cls([(x.piece, x.score, x.type) for x in proto.pieces], bpe=kind == pb.TrainerSpec.BPE, dummy_prefix=rules.add_dummy_prefix)
 
     def __reduce__(self):
         return Model, (self.pieces, self.bpe, self.dummy_prefix, self.reachable)
@@ -126,95 +142,76 @@ class Model:
 
     # -- the trellis
 
-    def arcs(self, s: str, i: int, low: int) -> list[str]:
-        """The pieces that end at ``i`` and start at ``low`` or later, the shortest first; a single character always counts."""
-        node, out, j = self.ends, [], i
-        while j > low:
-            j -= 1
-            node = node[0].get(s[j])
-            if node is None:
-                break
-            if node[1] is not None:
-                out.append(node[1])
-        if not out or len(out[0]) != 1:
-            out.insert(0, s[i - 1])
-        return out
+    def stream(self, s: str) -> Iterator[list[str]]:
+        """The pieces of a segment, as soon as they are certain.
 
-    def stream(self, s: str) -> Iterator[str]:
-        """The pieces of a segment, as soon as they are certain."""
-        last: dict[int, str] = {}  # the best arc into each position that may still be needed
-        best: dict[int, float] = {0: 0.0}
-        done, n, longest, pairs = 0, len(s), self.longest, self.pairs
-        for i in range(1, n + 1):
-            found = self.arcs(s, i, max(i - longest, done))
-            if self.bpe:
-                while found:
-                    p = found.pop()
-                    j = i - len(p)
-                    if j == 0 or not found or pairs.get((last[j], p)) or self.compatible(last[j], p):
-                        last[i] = p
-                        break
-            else:
-                top = None
-                for p in found:
-                    v = best[i - len(p)] + self.score.get(p, self.unknown_score)
-                    if top is None or v > top:
-                        top, last[i] = v, p
-                best[i] = top
-            if i % 64 == 0 and i < n:
-                b = self.met(last, i, done)
-                if b > done:
-                    yield from self.back(last, b, done)
-                    for k in range(done, b):  # what ends at the boundary itself stays, as the left neighbour of what follows
-                        last.pop(k, None)
-                        best.pop(k, None)
-                    done = b
-        yield from self.back(last, n, done)
-
-    def short(self, s: str) -> list[str]:
-        """``stream`` for a BPE segment too short for any commitment before its end."""
-        first, pairs, last = self.ends[0], self.pairs, [""] * (len(s) + 1)
+        Positions are counted from the last commitment on; ``last`` and ``best`` hold
+        the best arc into each and its sum, for those not yet committed.
+        """
+        first, pairs, score = self.ends[0], self.pairs, self.score
+        last: list[str] = [""]
+        best = [0.0]
+        done, check = 0, 2 * self.longest
         for i in range(1, len(s) + 1):
             j, found = i - 1, []
             node = first.get(s[j])
-            while node is not None:
+            while node is not None:  # the pieces that end here, the shortest first
                 if node[1] is not None:
                     found.append(node[1])
-                if not j:
+                if j == done:
                     break
                 j -= 1
                 node = node[0].get(s[j])
-            while found:
-                p = found.pop()
-                k = i - len(p)
-                if not k or not found:
-                    break
-                key = (last[k], p)
-                fits = pairs.get(key)
-                if fits if fits is not None else self.compatible(*key):
-                    break
+            if not found or len(found[0]) != 1:
+                found.insert(0, s[i - 1])  # a single character always counts
+            if self.bpe:
+                while found:
+                    p = found.pop()
+                    k = i - len(p)
+                    if not k or not found:
+                        break
+                    key = (last[k - done], p)
+                    fits = pairs.get(key)
+                    if fits if fits is not None else self.compatible(*key):
+                        break
+                last.append(p)
             else:
-                p = s[i - 1]
-            last[i] = p
-        return self.back(last, len(s), 0)
-
-    def met(self, last: dict[int, str], i: int, done: int) -> int:
-        """The last boundary that the paths back from all survivors share."""
+                top, p = None, ""
+                for x in found:
+                    v = best[i - len(x) - done] + score.get(x, self.unknown_score)
+                    if top is None or v > top:
+                        top, p = v, x
+                last.append(p)
+                best.append(top)
+            if i - done == check:
+                at = self.met(last)
+                if at:
+                    yield self.back(last, at)
+                    del last[:at], best[: at if not self.bpe else 0]  # what ends at the boundary stays, as the left neighbour of what follows
+                    done += at
+                    check = 2 * self.longest
+                else:
+                    check += self.longest
+        yield self.back(last, len(s) - done)
+
+    def met(self, last: list[str]) -> int:
+        """The last boundary that the paths back from all survivors share; 0 if none but the committed one."""
+        end = len(last) - 1
         common: set[int] | None = None
-        for j in range(max(done, i - self.longest + 1), i + 1):
-            path, k = set(), j
-            while k > done:
+        for k in range(max(0, end - self.longest + 1), end + 1):
+            path = set()
+            while k > 0:
                 path.add(k)
                 k -= len(last[k])
             common = path if common is None else common & path
             if not common:
-                return done
+                return 0
         return max(common)
 
     @staticmethod
-    def back(last: dict[int, str], i: int, done: int) -> list[str]:
+    def back(last: list[str], i: int) -> list[str]:
         out = []
-        while i > done:
+        while i > 0:
             out.append(last[i])
             i -= len(last[i])
         return out[::-1]
@@ -238,7 +235,7 @@ class Model:
                 if len(cuts) > 1 or len(s) - cuts[0] > 1:
                     return found  # its parts are remembered; a word with one mark after it is worth its own entry
             else:
-                found = array("i", [i for p in (self.short(s) if self.bpe and len(s) < 64 else self.stream(s)) for i in self.piece_ids(p)]).tobytes()
+                found = array("i", [i for pieces in self.stream(s) for p in pieces for i in self.piece_ids(p)]).tobytes()
         if len(s) <= 64:
             if len(self.memo) >= MEMO:
                 self.older, self.memo = self.memo, {}
@@ -272,15 +269,6 @@ class Model:
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
-def _merges(m) -> bool:
-    """Whether the processor's model merges: its proto says so in the trainer's model type."""
-    from sentencepiece import sentencepiece_model_pb2 as pb
-
-    proto = pb.ModelProto()
-    proto.ParseFromString(m.serialized_model_proto())
-    return proto.trainer_spec.model_type == pb.TrainerSpec.BPE
-
-
 def encode_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
     """(doc_id, n_ids, ids, round_trip) for each input row: the ids, and whether they decode to the text again."""
     kind = dict(df.dtypes)[id_col]
