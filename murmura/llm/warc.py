@@ -4,7 +4,9 @@ An archive is two tables in a folder. ``payloads`` holds every distinct payload
 once, addressed by its SHA-256. ``records`` holds the exact header bytes of every
 record, its HTTP head and the digest of its payload. Original records come back
 by joining the two; a payload is read back only if its bytes still give the digest
-that addresses it.
+that addresses it. What is said of a record when the archive is read (its type, what
+it refers to, its lengths and digest) is taken from the bytes of the rebuilt record,
+and a record whose header doesn't fit its own bytes stops the read.
 
 Of records with equal payloads of at least ``least_bytes``, the one with the
 largest id is a response and the others revisit it; smaller ones are all responses.
@@ -27,7 +29,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmura.session import shared_dir
+from murmura.session import shared_dir, tidy_shuffles
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
@@ -55,6 +57,11 @@ def _line(name: str, value: Column) -> Column:
 
 def write_archive(df: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, date: str = "1970-01-01T00:00:00Z") -> None:
     """Write the archive of a table of pages to a folder that all executors share."""
+    with tidy_shuffles(df.sparkSession):
+        _write_archive(df, path, id_col, url_col, payload_col, least_bytes, date)
+
+
+def _write_archive(df: DataFrame, path: str, id_col: str, url_col: str, payload_col: str, least_bytes: int, date: str) -> None:
     kind = dict(df.dtypes)[payload_col]
     payload = F.coalesce(df[payload_col] if kind == "binary" else F.encode(df[payload_col], "UTF-8"), F.lit(b""))
     base = df.select(df[id_col].alias("page_id"), df[url_col].alias("url"), payload.alias("payload"))
@@ -73,7 +80,7 @@ def write_archive(df: DataFrame, path: str, id_col: str = "page_id", url_col: st
     revisit = (F.col("payload_bytes") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("first"))
     url = F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A"), r"[\x00-\x20\x7F]", "%20")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(CRLF + CRLF))
-    heads = heads.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("first")))
+    heads = heads.withColumn("record_type", F.when(revisit, "revisit").otherwise("response"))
     heads = heads.withColumn("http_head", http)
     length = F.octet_length("http_head") + F.when(revisit, 0).otherwise(F.col("payload_bytes"))
     header = F.concat(
@@ -89,7 +96,7 @@ def write_archive(df: DataFrame, path: str, id_col: str = "page_id", url_col: st
         _line("Content-Length", length.cast("string")),
         F.lit(CRLF),
     )
-    heads.select("page_id", "record_type", "refers_to", "digest", F.encode(header, "UTF-8").alias("header"), F.encode("http_head", "UTF-8").alias("http_head")).write.option("compression", "zstd").parquet(f"{path}/records")
+    heads.select("page_id", "digest", F.encode(header, "UTF-8").alias("header"), F.encode("http_head", "UTF-8").alias("http_head")).write.option("compression", "zstd").parquet(f"{path}/records")
 
 
 def payloads(spark: SparkSession, path: str) -> DataFrame:
@@ -99,20 +106,62 @@ def payloads(spark: SparkSession, path: str) -> DataFrame:
     return p.withColumn("payload", F.when(sound, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("payload does not match its digest: "), F.col("digest"))).cast("binary")))
 
 
+def _field(head: Column, name: str) -> Column:
+    """The value of a header line, or null where there is none."""
+    return F.nullif(F.regexp_extract(head, f"\\r\\n{name}: ([^\\r]*)", 1), F.lit(""))
+
+
+def parsed(records: DataFrame) -> DataFrame:
+    """``records`` with what the bytes of column ``record`` say: warc_type, record_id, refers_to_id, digest_line and block.
+
+    A record is read up to the length that its header states; what doesn't fit, or
+    doesn't end as a record does, stops the read.
+    """
+    head = F.substring_index(F.col("record").cast("string"), CRLF + CRLF, 1)
+    out = records.withColumn("head", head).withColumns({
+        "warc_type": _field(F.col("head"), "WARC-Type"),
+        "record_id": _field(F.col("head"), "WARC-Record-ID"),
+        "refers_to_id": _field(F.col("head"), "WARC-Refers-To"),
+        "digest_line": _field(F.col("head"), "WARC-Payload-Digest"),
+        "length": _field(F.col("head"), "Content-Length").cast("bigint"),
+    })
+    start = F.octet_length("head") + 4
+    sound = F.col("head").startswith("WARC/1.") & F.col("record_id").isNotNull() & (F.octet_length("record") == start + F.col("length") + 4) & F.col("warc_type").isin("response", "revisit") & (F.substring("record", -4, 4) == F.lit(b"\r\n\r\n"))
+    block = F.substring(F.col("record"), (start + 1).cast("int"), F.col("length").cast("int"))
+    return out.withColumn("block", F.when(F.coalesce(sound, F.lit(False)), block).otherwise(F.raise_error(F.concat(F.lit("not a sound record: "), "head")).cast("binary"))).drop("head", "length")
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, record_type, refers_to, payload, record): the original bytes of every record."""
-    r = spark.read.parquet(f"{path}/records").join(payloads(spark, path), "digest")
-    body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return r.select("page_id", "record_type", "refers_to", "payload", F.concat("header", "http_head", body, F.lit(b"\r\n\r\n")).alias("record"))
+    """(page_id, payload, payload_digest, record): the original bytes of every record, its full payload and that one's base 32 SHA-1.
+
+    Each payload is checked and hashed once, before the join.
+    """
+    p = payloads(spark, path).withColumn("payload_digest", base32_of_hex(F.sha1("payload")))
+    r = spark.read.parquet(f"{path}/records").join(p, "digest")
+    body = F.when(F.col("header").cast("string").contains(f"{CRLF}WARC-Type: revisit{CRLF}"), F.lit(b"")).otherwise(F.col("payload"))
+    return r.select("page_id", "payload", "payload_digest", F.concat("header", "http_head", body, F.lit(b"\r\n\r\n")).alias("record"))
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to), with sizes and digests taken from the payload bytes as stored.
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to), read from the rebuilt records.
 
-    Each payload is read and hashed once; only its figures are joined with the records.
+    A response's block must end in its payload, and the digest that any record
+    states must be that of the full payload. References are record ids; they become
+    page ids by a join with the responses.
     """
-    p = payloads(spark, path).select("digest", F.octet_length("payload").cast("bigint").alias("payload_bytes"), base32_of_hex(F.sha1("payload")).alias("payload_digest"))
-    return spark.read.parquet(f"{path}/records").join(p, "digest").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    r = parsed(read_records(spark, path))
+    size = F.octet_length("payload")
+    ends = (F.col("warc_type") == "revisit") | (F.expr("substring(block, octet_length(block) - octet_length(payload) + 1)") == F.col("payload"))
+    fits = ends & (F.col("digest_line") == F.concat(F.lit("sha1:"), "payload_digest")) & (F.col("refers_to_id").isNotNull() == (F.col("warc_type") == "revisit"))
+    kind = F.when(F.coalesce(fits, F.lit(False)), F.col("warc_type")).otherwise(F.raise_error(F.concat(F.lit("record does not match its payload: "), "record_id")))
+    index = r.select("page_id", size.cast("bigint").alias("payload_bytes"), "payload_digest", kind.alias("record_type"), "record_id", "refers_to_id")
+    index.write.parquet(f"{path}/index-{(name := uuid.uuid4().hex)}")
+    index = spark.read.parquet(f"{path}/index-{name}")
+    named = index.filter("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to")).dropDuplicates(["refers_to_id"])
+    revisits = index.filter("record_type = 'revisit'").join(named, "refers_to_id", "left")
+    known = F.when(F.col("refers_to").isNotNull(), F.col("refers_to")).otherwise(F.raise_error(F.concat(F.lit("nothing has the id that is referred to: "), "refers_to_id")).cast(dict(index.dtypes)["page_id"]))
+    columns = ("page_id", "payload_bytes", "payload_digest", "record_type")
+    return revisits.select(*columns, known.alias("refers_to")).unionByName(index.filter("record_type = 'response'").select(*columns).withColumn("refers_to", F.lit(None).cast(dict(index.dtypes)["page_id"])))
 
 
 def archive_path(spark: SparkSession) -> str:
