@@ -1,5 +1,8 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, for every operator."""
 
+import base64
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -56,6 +59,17 @@ def test_decontamination(spark, odd, none):
     assert left.columns == odd.columns and left.count() == odd.count() - 4
 
 
+def test_decontamination_by_content_of_items(spark):
+    """Null, repeated and shared item ids: each item counts by its own tokens, once."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(20)) for x in "abc")
+    item_rows = [(None, a), (1, b), (1, b), (2, b), (3, "some other words"), (3, c)]
+    items = spark.createDataFrame(item_rows, "item_id bigint, text string").repartition(3)
+    docs = spark.createDataFrame([(1, f"x y {a} z"), (2, b), (3, f"q {c}"), (None, a), (5, "clean"), (2, b)], "doc_id bigint, text string").repartition(3)
+    got = sorted(((r.doc_id, r.item_id, r.n_windows, r.best_matches) for r in decontam.find_overlaps(docs, items).collect()), key=str)
+    assert got == sorted([(1, None, 8, 13), (2, 1, 8, 13), (2, 2, 8, 13), (3, 3, 8, 13), (None, None, 8, 13)], key=str)
+    assert [r.doc_id for r in decontam.decontaminated(docs, items).collect()] == [5]
+
+
 def test_decontamination_tolerates_substitutions(spark):
     rng = np.random.default_rng(0)
     words = [f"w{i}" for i in range(5000)]
@@ -86,6 +100,8 @@ def test_tokens(odd, none):
     h = {r.length: r.n_docs for r in tokens.length_histogram(odd).collect()}
     assert sum(h.values()) == odd.count() and h[0] == 2
     assert tokens.suffix_sums(tokens.length_histogram(none)).count() == 0
+    plan = tokens.suffix_sums(tokens.length_histogram(odd))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan  # texts are encoded once, before the sums
 
 
 def test_urls(spark):
@@ -120,7 +136,7 @@ def test_streaming_keeps_a_bounded_window():
     s = "".join(rng.choice(list("abcdeghinorst"), 5000))  # one word without an end
     held = []
     real = m.met
-    m.met = lambda last, i, done: held.append(len(last)) or real(last, i, done)
+    m.met = lambda last: held.append(len(last)) or real(last)
     assert list(m.encode(s)) == sp.encode(s)
     assert max(held) < 400
     for _ in range(300):
@@ -324,13 +340,17 @@ def test_warc(spark, tmp_path):
     assert warc.payloads(spark, path).count() == 4
     got = sorted(((r.page_id or -1, r.record_type, r.refers_to, r.payload_bytes) for r in warc.read_index(spark, path).collect()), key=str)
     assert got == sorted([(1, "revisit", 2, 3), (2, "response", None, 3), (2, "response", None, 3), (3, "revisit", 4, 0), (4, "response", None, 0), (5, "response", None, 7), (-1, "response", None, 4)], key=str)
+    kinds = []
     for r in warc.read_records(spark, path).collect():
         head, _, body = bytes(r.record).partition(b"\r\n\r\n")
         fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
         block = body[:-4]
-        assert body.endswith(b"\r\n\r\n") and int(fields["Content-Length"]) == len(block) and fields["WARC-Type"] == r.record_type
-        assert "X" not in fields and ("WARC-Refers-To" in fields) == (r.record_type == "revisit")
-        assert block.endswith(bytes(r.payload)) or r.record_type == "revisit"
+        kinds.append((r.page_id or -1, fields["WARC-Type"]))
+        assert body.endswith(b"\r\n\r\n") and int(fields["Content-Length"]) == len(block)
+        assert "X" not in fields and ("WARC-Refers-To" in fields) == (fields["WARC-Type"] == "revisit")
+        assert block.endswith(bytes(r.payload)) or fields["WARC-Type"] == "revisit"
+        assert fields["WARC-Payload-Digest"] == "sha1:" + base64.b32encode(hashlib.sha1(bytes(r.payload)).digest()).decode()
+    assert sorted(kinds) == sorted((x[0], x[1]) for x in got)
     warc.write_archive(df, str(tmp_path / "b"), least_bytes=4)
     assert warc.read_index(spark, str(tmp_path / "b")).filter("record_type = 'revisit'").count() == 0
     warc.write_archive(df.limit(0), str(tmp_path / "c"))
@@ -346,9 +366,19 @@ def test_warc_damage_is_found(spark, tmp_path):
         warc.read_index(spark, str(tmp_path / "z")).collect()
 
 
-def test_base32(spark):
-    import base64
+@pytest.mark.parametrize("old, new", [("WARC-Type: revisit", "WARC-Type: response"), ("Content-Length: ", "Content-Length: 1"), ("sha1:", "sha1:A"), ("WARC/1.1", "WORC/1.1"), ("WARC-Refers-To: <urn:uuid:", "WARC-Refers-To: <urn:uuid:0"), ("WARC-Record-ID", "X-Record-ID")])
+def test_warc_false_headers_are_found(spark, tmp_path, old, new):
+    df = spark.createDataFrame([(1, "u", "one"), (2, "v", "one"), (3, "w", "two")], "page_id bigint, url string, html string")
+    warc.write_archive(df, str(tmp_path / "a"))
+    assert warc.read_index(spark, str(tmp_path / "a")).filter("refers_to = 2").count() == 1
+    spark.read.parquet(str(tmp_path / "a/payloads")).write.parquet(str(tmp_path / "z/payloads"))
+    header = F.replace(F.col("header").cast("string"), F.lit(old), F.lit(new)).cast("binary")
+    spark.read.parquet(str(tmp_path / "a/records")).withColumn("header", header).write.parquet(str(tmp_path / "z/records"))
+    with pytest.raises(Exception, match="not a sound record|does not match its payload|nothing has the id"):
+        warc.read_index(spark, str(tmp_path / "z")).collect()
 
+
+def test_base32(spark):
     data = [bytes([i] * 20) for i in (0, 7, 255)]
     got = spark.createDataFrame([(d.hex(),) for d in data], "h string").select(warc.base32_of_hex(F.col("h")).alias("b")).collect()
     assert [r.b for r in got] == [base64.b32encode(d).decode() for d in data]
@@ -408,3 +438,11 @@ def test_personal_data_takes_long_runs(text):
     began = time.time()
     pii.find_spans(text)
     assert time.time() - began < 10
+
+
+def test_jaccard_looks_texts_up_by_a_bitmap_too(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "MAX_IDS", 0)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join([*words[:30], "x", *words[30:]]), " ".join(words[::-1])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted((r.ord, r.component_id) for r in jaccard.near_duplicates(df).collect()) == [(0, 0), (1, 0), (2, 2)]
