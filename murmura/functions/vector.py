@@ -83,16 +83,26 @@ def distance(metric: str, a: Column | str, b: Column | str) -> Column:
     return METRICS[metric.upper()](a, b)
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once for a row and not at each of its uses inside a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _steps(v: Column) -> Column:
+    """Steps from the first place to the last; 1 for a single place, which is place 0."""
+    return F.greatest(F.size(v) - 1, F.lit(1))
+
+
 def relative_mean(f: Column | str) -> Column:
-    """Mean place in [0, 1] of a distribution over positions."""
+    """Mean place in [0, 1] of a distribution over positions; a single position is place 0."""
     v = vec(f)
-    return total(F.transform(v, lambda x, i: x * i / (F.size(v) - 1)))
+    return total(F.transform(v, lambda x, i: x * i / _steps(v)))
 
 
 def relative_central_moment(f: Column | str, k: int) -> Column:
-    """The k-th moment of place about its mean, not standardised."""
-    v, mean = vec(f), relative_mean(f)
-    return total(F.transform(v, lambda x, i: F.pow(i / (F.size(v) - 1) - mean, F.lit(float(k))) * x))
+    """The k-th moment of place about its mean, not standardised; 0 for a single position."""
+    v = vec(f)
+    return bound(relative_mean(f), lambda mean: total(F.transform(v, lambda x, i: F.pow(i / _steps(v) - mean, F.lit(float(k))) * x)))
 
 
 def argmax(v: Column | str) -> Column:
@@ -138,12 +148,13 @@ def filled(value: float, n: int) -> Column:
 
 
 def mean(v: Column | str) -> Column:
-    return total(v) / F.size(vec(v))
+    """Null for an empty array."""
+    return F.try_divide(total(v), F.size(vec(v)))
 
 
 def sample_variance(v: Column | str) -> Column:
-    m = mean(v)
-    return total(F.transform(vec(v), lambda x: (x - m) * (x - m))) / (F.size(vec(v)) - 1)
+    """Null for fewer than two elements."""
+    return bound(mean(v), lambda m: F.try_divide(total(F.transform(vec(v), lambda x: (x - m) * (x - m))), F.size(vec(v)) - 1))
 
 
 def joined(v: Column | str, sep: str = ",") -> Column:
@@ -185,15 +196,60 @@ def mat_scaled(m: Column | str, by: Column, divide: bool = False, compat: bool =
 
 
 def normalize_sum(m: Column | str) -> Column:
-    """Entries over their sum."""
-    s = F.aggregate(F.flatten(vec(m)), F.lit(0.0), lambda a, x: a + x)
-    return F.transform(vec(m), lambda row: F.transform(row, lambda x: x / s))
+    """Entries over their sum; as they are where the sum is 0."""
+    return bound(total(F.flatten(vec(m))), lambda s: F.transform(vec(m), lambda row: scaled(row, s)))
 
 
 def normalize_01(m: Column | str) -> Column:
-    """Entries brought linearly to [0, 1]."""
-    low, high = F.array_min(F.flatten(vec(m))), F.array_max(F.flatten(vec(m)))
-    return F.transform(vec(m), lambda row: F.transform(row, lambda x: (x - low) / (high - low)))
+    """Entries brought linearly to [0, 1]; zeros where all are equal."""
+    ends = F.struct(F.array_min(F.flatten(vec(m))).alias("low"), F.array_max(F.flatten(vec(m))).alias("high"))
+    return bound(ends, lambda e: F.transform(vec(m), lambda row: F.transform(row, lambda x: F.when(e["high"] > e["low"], (x - e["low"]) / (e["high"] - e["low"])).otherwise(0.0))))
+
+
+def zeros(rows: int, columns: int) -> Column:
+    return F.array_repeat(filled(0.0, columns), rows)
+
+
+def identity(n: int) -> Column:
+    return F.array(*(F.array(*(F.lit(float(i == j)) for j in range(n))) for i in range(n)))
+
+
+def swap_rows(m: Column | str, i: int, j: int) -> Column:
+    """Rows ``i`` and ``j`` (from 0) in each other's place."""
+    return F.transform(vec(m), lambda row, k: F.when(k == i, F.get(vec(m), F.lit(j))).when(k == j, F.get(vec(m), F.lit(i))).otherwise(row))
+
+
+def inverse(m: Column | str) -> Column:
+    """Of a 2x2 or 3x3 matrix, by its adjugate; null for a singular one and for other sizes."""
+    m = vec(m)
+    at = lambda i, j: F.get(F.get(m, F.lit(i)), F.lit(j))
+    minor = lambda i, j: at((i + 1) % 3, (j + 1) % 3) * at((i + 2) % 3, (j + 2) % 3) - at((i + 1) % 3, (j + 2) % 3) * at((i + 2) % 3, (j + 1) % 3)
+    two = F.array(F.array(at(1, 1), -at(0, 1)), F.array(-at(1, 0), at(0, 0)))
+    three = F.array(*(F.array(*(minor(j, i) for j in range(3))) for i in range(3)))
+    over = lambda a: bound(determinant(m), lambda d: F.when(d != 0, F.transform(a, lambda row: F.transform(row, lambda x: x / d))))
+    return F.when(F.size(m) == 2, over(two)).when(F.size(m) == 3, over(three))
+
+
+# -- random draws: they follow from a key and a seed, so that a lost task draws the same again
+
+
+def uniform_of(*key: Column | str, seed: int = 0) -> Column:
+    """In (0, 1), from a hash of the key."""
+    return (F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
+
+
+def gaussian_of(*key: Column | str, mean: float = 0.0, deviation: float = 1.0, seed: int = 0) -> Column:
+    """A normal draw, by the polar form of two uniform ones."""
+    u, v = uniform_of(*key, seed=2 * seed), uniform_of(*key, seed=2 * seed + 1)
+    return F.lit(mean) + F.lit(deviation) * F.sqrt(-2 * F.ln(u)) * F.cos(2 * F.pi() * v)
+
+
+def multinomial_of(weights: Column | str, *key: Column | str, seed: int = 0) -> Column:
+    """A position (from 0) drawn with a chance that follows its weight; null where no weight is above 0."""
+    w = F.transform(vec(weights), lambda x: F.greatest(x.cast("double"), F.lit(0.0)))
+    sums = F.aggregate(w, F.array().cast("array<double>"), lambda a, x: F.array_append(a, x + F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0))))
+    place = bound(sums, lambda s: F.size(F.filter(s, lambda x: x <= F.element_at(s, -1) * uniform_of(*key, seed=seed))))
+    return F.when(total(w) > 0, F.least(place, F.size(w) - 1))
 
 
 # -- complex numbers as struct<re, im>

@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmura.functions import vector as V
+from murmura.session import cut
+
+#: Up to so many dimensions each gets aggregates of its own; beyond, elements become rows first.
+WIDE = 160
 
 
 def attach(bags: DataFrame, other: DataFrame, key: str = "bag_id") -> DataFrame:
@@ -38,12 +42,14 @@ def rescaled(df: DataFrame, features: str = "features", strict: bool = False) ->
 
 def summary_features(bags: DataFrame, segments: DataFrame, dim: int) -> DataFrame:
     """(bag_id, features): the number of segments, then mean and population deviation by dimension; zeros for an empty bag."""
-    by = segments.select("bag_id", F.posexplode("features").alias("pos", "x")).groupBy("bag_id", "pos").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
-    flat = by.groupBy("bag_id").agg(F.array_sort(F.collect_list(F.struct("pos", "m", "s"))).alias("f"))  # dim entries to a bag
-    n = segments.groupBy("bag_id").agg(F.count("*").alias("n"))
-    pairs = F.flatten(F.transform("f", lambda x: F.array(x["m"], x["s"])))
-    out = bags.select("bag_id").join(n, "bag_id", "left").join(flat, "bag_id", "left")
-    return out.select("bag_id", F.concat(F.array(F.coalesce("n", F.lit(0)).cast("double")), F.coalesce(pairs, V.filled(0.0, 2 * dim))).alias("features"))
+    if dim <= WIDE:
+        pairs = F.array(*(f(F.get("features", F.lit(i)).cast("double")) for i in range(dim) for f in (F.avg, F.stddev_pop)))
+        found = segments.groupBy("bag_id").agg(F.count("*").alias("n"), pairs.alias("f"))
+    else:
+        by = segments.select("bag_id", F.posexplode("features").alias("pos", "x")).groupBy("bag_id", "pos").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"), F.count("*").alias("n"))
+        found = by.groupBy("bag_id").agg(F.max("n").alias("n"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m", "s"))), lambda x: F.array(x["m"], x["s"]))).alias("f"))  # dim entries to a bag
+    out = bags.select("bag_id").join(found, "bag_id", "left")
+    return out.select("bag_id", F.concat(F.array(F.coalesce("n", F.lit(0)).cast("double")), F.coalesce("f", V.filled(0.0, 2 * dim))).alias("features"))
 
 
 # -- k-means codebooks: centers are lists of lists on the driver, k x d numbers
@@ -66,17 +72,23 @@ def nearest(df: DataFrame, centers: list[list[float]], features: str = "features
 def lloyd(df: DataFrame, centers: list[list[float]], iterations: int = 100, features: str = "features", digits: int | None = None) -> tuple[list[list[float]], int]:
     """(centers, rounds): until the mean distance stays the same. A center without members becomes the zero vector.
 
-    Each round is one aggregation to k x d numbers; nothing else comes to the driver.
+    The vectors are written once, so that a round reads them and not what they were
+    made from. Each round is one aggregation to k x d numbers; nothing else comes to
+    the driver.
     """
     k, d, before, rounds = len(centers), len(centers[0]), None, 0
+    df = cut(df.select(features))
     for rounds in range(1, iterations + 1):
         near = nearest(df, centers, features, digits)
-        sums = near.select("cluster", "distance", F.posexplode(features).alias("pos", "x")).groupBy("cluster", "pos").agg(F.avg("x").alias("m"), F.sum(F.when(F.col("pos") == 0, F.col("distance"))).alias("t"), F.count("*").alias("n")).collect()
+        own = near.groupBy("cluster").agg(F.sum("distance").alias("t"), F.count("*").alias("n"), *([F.array(*(F.avg(F.get(features, F.lit(i))) for i in range(d))).alias("m")] if d <= WIDE else []))
+        rows = {r.cluster: r.asDict() for r in own.collect()}
+        if d > WIDE:
+            for r in near.select("cluster", F.posexplode(features).alias("pos", "x")).groupBy("cluster", "pos").agg(F.avg("x").alias("m")).collect():
+                rows[r.cluster].setdefault("m", [0.0] * d)[r.pos] = r.m
         new, total, n = [[0.0] * d for _ in range(k)], 0.0, 0
-        for r in sums:
-            new[r.cluster][r.pos] = round(r.m, digits) if digits is not None else r.m
-            if r.pos == 0:
-                total, n = total + r.t, n + r.n
+        for c, r in rows.items():
+            new[c] = [round(x, digits) if digits is not None else x for x in r["m"]]
+            total, n = total + r["t"], n + r["n"]
         centers, mean = new, total / max(1, n)
         if mean == before:
             break
@@ -155,15 +167,20 @@ def without_rare(bags: DataFrame, dropped: tuple[int, ...] = (21, 22, 23, 24, 26
 def compact_ids(df: DataFrame, key: str, name: str) -> DataFrame:
     """The input with ``name``: its place from 0 in key order, without a window over all rows.
 
-    Rows are sorted by range; a partition's numbers follow from the sizes of those before it.
     """
-    from murmura.session import cut
+    return running_total(df, [key], F.lit(1).cast("bigint"), name).withColumn(name, F.col(name) - 1)
+
 
-    ordered = cut(df.orderBy(key).withColumn("part_", F.spark_partition_id()))
-    sizes = ordered.groupBy("part_").agg(F.count("*").alias("n_"))  # as many as partitions
+def running_total(df: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
+    """The input with ``name``: the sum of ``value`` over all rows up to and including each, without a window over all rows.
+
+    Rows are sorted by range; a partition's sums start from the total of those before it.
+    """
+    ordered = cut(df.withColumn("value_", value).orderBy(*order).withColumn("part_", F.spark_partition_id()))
+    sizes = ordered.groupBy("part_").agg(F.sum("value_").alias("n_"))  # as many as partitions
     before = sizes.select("part_", F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"))
-    inside = F.row_number().over(Window.partitionBy("part_").orderBy(key))
-    return ordered.join(F.broadcast(before), "part_").withColumn(name, F.col("before_") + inside - 1).drop("part_", "before_")
+    inside = F.sum("value_").over(Window.partitionBy("part_").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return ordered.join(F.broadcast(before), "part_").withColumn(name, F.col("before_") + inside).drop("part_", "before_", "value_")
 
 
 def remapped_labels(bags: DataFrame, classes: DataFrame, codes: str = "codes") -> DataFrame:

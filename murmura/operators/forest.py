@@ -102,6 +102,28 @@ def best_split(x: np.ndarray, y: np.ndarray, features: np.ndarray, num_classes:
     return found
 
 
+def best_splits(spark: SparkSession, x: np.ndarray, y: np.ndarray, num_classes: int) -> DataFrame:
+    """(feature, threshold, gini): the best split of each feature that has one, a feature to a row of the work that tasks share."""
+    verify(x, y, num_classes)
+    check_size(x)
+    shared = spark.sparkContext.broadcast((x, y))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        a, b = shared.value
+        hot = np.eye(num_classes)[b]
+        for batch in batches:
+            rows = []
+            for f in batch["id"]:
+                if split := best_split(a, b, np.array([f]), num_classes):
+                    less = a[:, split[0]] < split[1]
+                    sides = np.stack([hot[less].sum(0), hot[~less].sum(0)])
+                    rows.append((*split, float((sides.sum(1) * gini(sides)).sum() / len(b))))
+            yield pd.DataFrame(rows, columns=["feature", "threshold", "gini"]).astype({"feature": "int32", "threshold": float, "gini": float})
+
+    width = max(1, min(x.shape[1], spark.sparkContext.defaultParallelism))
+    return spark.range(0, x.shape[1], 1, width).mapInPandas(run, "feature int, threshold double, gini double")
+
+
 def grow(x: np.ndarray, y: np.ndarray, num_classes: int, rng: np.random.Generator, max_depth: int = 15, leaf: str = "majority", mtry: int | None = None) -> Tree:
     """A tree on rows as they are; each node looks at ``mtry`` features chosen at random."""
     mtry = mtry or int(math.log2(x.shape[1])) + 1
@@ -141,6 +163,11 @@ def verify(x: np.ndarray, y: np.ndarray, num_classes: int) -> list[int]:
     return [c for c in range(num_classes) if not (y == c).any()]
 
 
+def check_size(x: np.ndarray) -> None:
+    if x.nbytes > MAX_MATRIX_BYTES:
+        raise ValueError(f"a training matrix of {x.nbytes} bytes; sample it to {MAX_MATRIX_BYTES}")
+
+
 def train_local(x: np.ndarray, y: np.ndarray, num_classes: int, trees: int, seed: int = 0, **options) -> Forest:
     """A forest grown in this process: what one task does, and what the per-class models nest."""
     verify(x, y, num_classes)
@@ -158,8 +185,7 @@ def train(spark: SparkSession, x: np.ndarray, y: np.ndarray, num_classes: int, t
     import pickle
 
     verify(x, y, num_classes)
-    if x.nbytes > MAX_MATRIX_BYTES:
-        raise ValueError(f"a training matrix of {x.nbytes} bytes; sample it to {MAX_MATRIX_BYTES}")
+    check_size(x)
     shared = spark.sparkContext.broadcast((x, y))
     balanced = options.pop("balanced", False)
 

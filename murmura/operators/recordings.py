@@ -6,9 +6,11 @@ every one of them, by a left join from a short generated calendar.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from murmura.operators.bags import running_total
+
 #: Codes that are no species, in label reports.
 SKIPPED_CODES = ("UNWA", "UNTH", "UNKN", *(f"UNKN{i}" for i in range(1, 38)))
 
@@ -71,14 +73,19 @@ def rain_ranking(df: DataFrame, probability: str = "rain_probability", name: str
     return df.orderBy(F.desc(probability), F.desc(name))
 
 
+def _shuffled(key: list[str], seed: int) -> Column:
+    """Digits that stand in no order of the key: an MD5 of key and seed."""
+    return F.md5(F.concat_ws("-", *(F.col(c).cast("string") for c in key), F.lit(str(seed))))
+
+
 def random_rows(df: DataFrame, k: int, key: list[str], seed: int = 0) -> DataFrame:
     """``k`` rows in an order that a hash of key and seed gives: random, and the same in every run."""
-    return df.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(k)
+    return df.orderBy(_shuffled(key, seed), *key).limit(k)
 
 
 def halves(df: DataFrame, key: list[str], seed: int = 0) -> DataFrame:
     """The input with ``half`` 0 or 1: by the parity of a hash of the key, so about equal and without a sort."""
-    return df.withColumn("half", F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(2)).cast("int"))
+    return df.withColumn("half", (F.instr(F.lit("13579bdf"), F.right(_shuffled(key, seed), F.lit(1))) > 0).cast("int"))
 
 
 def reordered(order: DataFrame, labels: DataFrame, key: str = "filename") -> DataFrame:
@@ -89,13 +96,13 @@ def reordered(order: DataFrame, labels: DataFrame, key: str = "filename") -> Dat
 def discovery_curve(df: DataFrame, order: list[str], labels: str = "labels") -> DataFrame:
     """(…, n_known): distinct labels seen up to and including each row; rows without a label count.
 
-    Each label counts at its first row, so the running sum is over one number a row.
+    Each label counts at its first row, so the running sum is over one number a row; it
+    is made range by range, so no task sorts all rows.
     """
     first = df.select(F.explode(labels).alias("label"), F.struct(*order).alias("at")).groupBy("label").agg(F.min("at").alias("at"))
     new = first.groupBy("at").agg(F.count("*").alias("new"))
     out = df.withColumn("at", F.struct(*order)).join(new, "at", "left")
-    w = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return out.withColumn("n_known", F.sum(F.coalesce("new", F.lit(0))).over(w)).drop("at", "new")
+    return running_total(out, order, F.coalesce("new", F.lit(0)), "n_known").drop("at", "new")
 
 
 def code_counts(selections: DataFrame, codes: str = "codes", skipped: tuple[str, ...] = SKIPPED_CODES) -> DataFrame:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from murmura.functions import scalar, signal, strings
+from murmura.functions import image, scalar, signal, strings
 from murmura.functions import vector as V
 from murmura.operators import bags as B
 from murmura.operators import multilabel as M
@@ -96,11 +96,12 @@ def segments_per_hour_by_cluster(spark, sf_dir):
 
 @query(
     "segments_per_day_by_site",
-    f"WITH {views.RECORDINGS} SELECT s.site, s.cluster, d::INT AS day, count(event_id)::BIGINT AS n FROM (SELECT DISTINCT site, cluster FROM rec) s CROSS JOIN range(40) g(d) LEFT JOIN rec ON rec.site = s.site AND rec.cluster = s.cluster AND date_diff('day', DATE '2024-01-01', ts::DATE) = d GROUP BY ALL",
+    f"WITH {views.RECORDINGS} SELECT s.site, s.cluster, d::INT AS day, count(event_id)::BIGINT AS n FROM (SELECT DISTINCT site, cluster FROM rec) s CROSS JOIN (SELECT unnest(range(0, date_diff('day', min(ts::DATE), max(ts::DATE)) + 1)) AS d, min(ts::DATE) AS first FROM rec) g LEFT JOIN rec ON rec.site = s.site AND rec.cluster = s.cluster AND date_diff('day', first, ts::DATE) = d GROUP BY ALL",
 )
 def segments_per_day_by_site(spark, sf_dir):
     r = views.recordings(spark, sf_dir)
-    return R.per_day_by_site(r, r.select("site", "cluster"), "2024-01-01", 40, by=["cluster"])
+    first, days = r.select(F.to_date("ts").alias("d")).agg(F.min("d"), F.datediff(F.max("d"), F.min("d")) + 1).first()
+    return R.per_day_by_site(r, r.select("site", "cluster"), str(first), days or 0, by=["cluster"])
 
 
 @query("recording_coverage_counts", f"WITH {views.RECORDINGS}, k AS (SELECT 'hour' AS kind, hour(ts)::VARCHAR AS key FROM rec UNION ALL SELECT 'date', month(ts) || '/' || day(ts) || '/' || strftime(ts, '%y') FROM rec UNION ALL SELECT 'site', site::VARCHAR FROM rec) SELECT kind, key, count(*)::BIGINT AS n FROM k GROUP BY ALL")
@@ -113,12 +114,11 @@ def distinct_stamps(spark, sf_dir):
     return R.stamps(views.recordings(spark, sf_dir))
 
 
-@query("presence_matrix", f"WITH {views.RECORDINGS}, d AS (SELECT DISTINCT ts::DATE AS date FROM rec WHERE ts::DATE < (SELECT min(ts::DATE) + 7 FROM rec)) SELECT s.site, d.date, h::INT AS hour, count(event_id) > 0 AS present FROM (SELECT DISTINCT site FROM rec) s CROSS JOIN d CROSS JOIN range(24) g(h) LEFT JOIN rec ON rec.site = s.site AND ts::DATE = d.date AND hour(ts) = h GROUP BY ALL")
+@query("presence_matrix", f"WITH {views.RECORDINGS}, d AS (SELECT unnest(generate_series(min(ts::DATE), max(ts::DATE), INTERVAL 1 DAY))::DATE AS date FROM rec) SELECT s.site, d.date, h::INT AS hour, count(event_id) > 0 AS present FROM (SELECT DISTINCT site FROM rec) s CROSS JOIN d CROSS JOIN range(24) g(h) LEFT JOIN rec ON rec.site = s.site AND ts::DATE = d.date AND hour(ts) = h GROUP BY ALL")
 def presence_matrix(spark, sf_dir):
     r = views.recordings(spark, sf_dir)
-    days = r.select(F.to_date("ts").alias("date"))
-    week = days.distinct().crossJoin(F.broadcast(days.agg(F.min("date").alias("first")))).filter("date < first + INTERVAL 7 DAYS").select("date")
-    return R.presence(r, r.select("site").distinct(), week)
+    days = r.select(F.to_date("ts").alias("d")).agg(F.sequence(F.min("d"), F.max("d")).alias("d")).select(F.explode("d").alias("date"))
+    return R.presence(r, r.select("site").distinct(), days)
 
 
 @query("dawn_filter", f"WITH {views.RECORDINGS} SELECT event_id, site, hour(ts)::INT AS hour FROM rec WHERE hour(ts) BETWEEN 5 AND 8")
@@ -126,7 +126,7 @@ def dawn_filter(spark, sf_dir):
     return R.dawn(views.recordings(spark, sf_dir)).select("event_id", "site", F.hour("ts").alias("hour"))
 
 
-@query("random_dawn_sample")
+@query("random_dawn_sample", f"WITH {views.RECORDINGS} SELECT event_id, site FROM rec WHERE hour(ts) BETWEEN 5 AND 8 ORDER BY md5(event_id || '-0'), event_id LIMIT 20")
 def random_dawn_sample(spark, sf_dir):
     return R.random_rows(R.dawn(views.recordings(spark, sf_dir)), 20, ["event_id"]).select("event_id", "site")
 
@@ -177,11 +177,12 @@ def class_counts(spark, sf_dir):
     return B.class_counts(views.bags(spark, sf_dir), 12)
 
 
-@query("selection_histogram_join", f"WITH {views.SEGMENTS} SELECT coalesce(a.class, b.class) AS class, coalesce(a.n, 0)::BIGINT AS first, coalesce(b.n, 0)::BIGINT AS second FROM (SELECT label::VARCHAR AS class, count(*) AS n FROM seg WHERE bag_id < 4 GROUP BY ALL) a FULL JOIN (SELECT label::VARCHAR AS class, count(*) AS n FROM seg WHERE bag_id BETWEEN 4 AND 8 GROUP BY ALL) b ON a.class = b.class")
+@query("selection_histogram_join", f"WITH {views.SEGMENTS} SELECT coalesce(a.class, b.class) AS class, coalesce(a.n, 0)::BIGINT AS first, coalesce(b.n, 0)::BIGINT AS second FROM (SELECT label::VARCHAR AS class, count(*) AS n FROM seg WHERE bag_id % 2 = 0 GROUP BY ALL) a FULL JOIN (SELECT label::VARCHAR AS class, count(*) AS n FROM seg WHERE bag_id % 2 <> 0 GROUP BY ALL) b ON a.class = b.class")
 def selection_histogram_join(spark, sf_dir):
+    """Classes in two selections that share out all bags: those of even number and the others."""
     s = views.segments(spark, sf_dir).select("bag_id", F.col("label").cast("string").alias("class"))
     own = lambda cond: s.filter(cond).groupBy("class").count()
-    return B.selection_histograms({"first": own("bag_id < 4"), "second": own("bag_id BETWEEN 4 AND 8")})
+    return B.selection_histograms({"first": own("bag_id % 2 = 0"), "second": own("bag_id % 2 <> 0")})
 
 
 @query("first_seen_discovery_curve", f"WITH {views.BAGS}, f AS (SELECT y, min(bag_id) AS since FROM (SELECT bag_id, unnest(labels) AS y FROM bags) GROUP BY y) SELECT bag_id, (SELECT count(*) FROM f WHERE since <= bag_id)::BIGINT AS n_known FROM bags")
@@ -222,7 +223,7 @@ def sample_submission(spark, sf_dir):
     return R.sample_submission(views.bags(spark, sf_dir), 10)
 
 
-@query("train_test_split")
+@query("train_test_split", f"WITH {views.BAGS} SELECT bag_id, contains('13579bdf', right(md5(bag_id || '-0'), 1))::INT AS half FROM bags")
 def train_test_split(spark, sf_dir):
     return R.halves(views.bags(spark, sf_dir).select("bag_id"), ["bag_id"])
 
@@ -268,12 +269,18 @@ def nearest_neighbor_distance(spark, sf_dir):
 
 # -- vectors
 
-_PDF = f"WITH {views.SEGMENTS}, p AS (SELECT bag_id, segment_id, list_transform(features, lambda x: abs(x) + 0.001) AS v FROM seg), q AS (SELECT bag_id, segment_id, list_transform(v, lambda x: x / list_sum(v)) AS p FROM p), e AS (SELECT x.bag_id, x.p AS p, y.p AS q FROM q x JOIN q y ON x.bag_id = y.bag_id AND x.segment_id = 0 AND y.segment_id = 1)"
+_PDF = f"WITH {views.SEGMENTS}, p AS (SELECT bag_id, segment_id, list_transform(features, lambda x: abs(x) + 0.001) AS v FROM seg), q AS (SELECT bag_id, segment_id, list_transform(v, lambda x: x / list_sum(v)) AS p FROM p)"
+_NEXT = f"{_PDF}, e AS (SELECT x.bag_id, x.segment_id, x.p AS p, y.p AS q FROM q x JOIN q y ON x.bag_id = y.bag_id AND y.segment_id = x.segment_id + 1)"
 
 
 def _pdfs(spark, sf_dir):
-    s = views.segments(spark, sf_dir).select("bag_id", "segment_id", V.to_pdf(F.transform("features", lambda x: F.abs(x) + 0.001)).alias("p"))
-    return s.filter("segment_id = 0").select("bag_id", "p").join(s.filter("segment_id = 1").select("bag_id", F.col("p").alias("q")), "bag_id")
+    return views.segments(spark, sf_dir).select("bag_id", "segment_id", V.to_pdf(F.transform("features", lambda x: F.abs(x) + 0.001)).alias("p"))
+
+
+def _neighbours(spark, sf_dir):
+    """Each segment's distribution with that of the next one of its bag."""
+    w = Window.partitionBy("bag_id").orderBy("segment_id")
+    return _pdfs(spark, sf_dir).withColumn("q", F.lead("p").over(w)).filter("q IS NOT NULL")
 
 
 for _name, _f, _sql in (
@@ -282,13 +289,13 @@ for _name, _f, _sql in (
     ("dist_hellinger", V.hellinger, "pow(sqrt(z[1]) - sqrt(z[2]), 2)"),
     ("dist_kl", V.kullback_leibler, "z[1] * ln(z[1] / z[2])"),
 ):
-    query(_name, f"{_PDF} SELECT bag_id, round(list_sum(list_transform(list_zip(p, q), lambda z: {_sql})), 6) AS distance FROM e")(lambda spark, sf_dir, f=_f: _pdfs(spark, sf_dir).select("bag_id", r6(f("p", "q")).alias("distance")))
+    query(_name, f"{_NEXT} SELECT bag_id, segment_id, round(list_sum(list_transform(list_zip(p, q), lambda z: {_sql})), 6) AS distance FROM e")(lambda spark, sf_dir, f=_f: _neighbours(spark, sf_dir).select("bag_id", "segment_id", r6(f("p", "q")).alias("distance")))
 
 
-@query("gini_and_moments", f"{_PDF}, m AS (SELECT bag_id, p, list_sum(list_transform(range(0, 64), lambda i: p[i + 1] * i / 63)) AS mu FROM e) SELECT bag_id, round(1 - list_sum(list_transform(p, lambda x: x * x)), 6) AS gini, round(mu, 6) AS mean, round(list_sum(list_transform(range(0, 64), lambda i: pow(i / 63 - mu, 2) * p[i + 1])), 6) AS variance, round(list_sum(list_transform(range(0, 64), lambda i: pow(i / 63 - mu, 3) * p[i + 1])), 6) AS skewness, round(list_sum(list_transform(range(0, 64), lambda i: pow(i / 63 - mu, 4) * p[i + 1])), 6) AS kurtosis FROM m")
+@query("gini_and_moments", f"{_PDF}, m AS (SELECT bag_id, segment_id, p, list_sum(list_transform(range(0, 64), lambda i: p[i + 1] * i / 63)) AS mu FROM q) SELECT bag_id, segment_id, round(1 - list_sum(list_transform(p, lambda x: x * x)), 6) AS gini, round(mu, 6) AS mean, round(list_sum(list_transform(range(0, 64), lambda i: pow(i / 63 - mu, 2) * p[i + 1])), 6) AS variance, round(list_sum(list_transform(range(0, 64), lambda i: pow(i / 63 - mu, 3) * p[i + 1])), 6) AS skewness, round(list_sum(list_transform(range(0, 64), lambda i: pow(i / 63 - mu, 4) * p[i + 1])), 6) AS kurtosis FROM m")
 def gini_and_moments(spark, sf_dir):
     moment = lambda k: r6(V.relative_central_moment("p", k))
-    return _pdfs(spark, sf_dir).select("bag_id", r6(V.gini("p")).alias("gini"), r6(V.relative_mean("p")).alias("mean"), moment(2).alias("variance"), moment(3).alias("skewness"), moment(4).alias("kurtosis"))
+    return _pdfs(spark, sf_dir).select("bag_id", "segment_id", r6(V.gini("p")).alias("gini"), r6(V.relative_mean("p")).alias("mean"), moment(2).alias("variance"), moment(3).alias("skewness"), moment(4).alias("kurtosis"))
 
 
 @query("argmax_and_norms", f"WITH {views.SEGMENTS} SELECT bag_id, segment_id, (list_position(features, list_max(features)) - 1)::INT AS top, (list_position(features, list_min(features)) - 1)::INT AS bottom, round(sqrt(list_sum(list_transform(features, lambda x: x * x))), 6) AS length, round(list_aggregate(features, 'var_samp'), 6) AS variance FROM seg")
@@ -310,28 +317,35 @@ def string_functions(spark, sf_dir):
     return d.select("doc_id", "source", F.array_join(strings.split_non_empty(s, "rc"), "-").alias("parts"), strings.to_int(F.substring("source", 4, 100)).alias("number"), strings.remove_char(s, "s").alias("removed"), strings.float_text(F.col("n_chars") / 7.0, 2).alias("cut"))
 
 
-@query("unit_conversions", "SELECT p_partkey, round(2595 * log10(1 + p_retailprice / 700), 6) AS mel, round(700 * (pow(10, p_size / 2595) - 1), 6) AS hz, round(p_size * 16000 / 512, 6) AS bin_hz, least(greatest(p_size - 10, 0), 20)::INT AS clamped FROM part")
+@query("unit_conversions", "SELECT p_partkey, round(2595 * log10(1 + p_retailprice / 700), 6) AS mel, round(700 * (pow(10, p_size / 2595) - 1), 6) AS hz, round(p_size * 16000 / 512, 6) AS bin_hz, least(greatest((p_size - 10) * 8, 0), 255)::INT AS clamped FROM part")
 def unit_conversions(spark, sf_dir):
     p = views.read(spark, sf_dir, "part")
-    return p.select("p_partkey", r6(scalar.mel(F.col("p_retailprice"))).alias("mel"), r6(scalar.mel_to_hz(F.col("p_size"))).alias("hz"), r6(scalar.bin_to_hz(F.col("p_size"), 0, 16000, 512)).alias("bin_hz"), F.least(F.greatest(F.col("p_size") - 10, F.lit(0)), F.lit(20)).alias("clamped"))
+    return p.select("p_partkey", r6(scalar.mel(F.col("p_retailprice"))).alias("mel"), r6(scalar.mel_to_hz(F.col("p_size"))).alias("hz"), r6(scalar.bin_to_hz(F.col("p_size"), 0, 16000, 512)).alias("bin_hz"), scalar.clamp255((F.col("p_size") - 10) * 8).alias("clamped"))
 
 
 # -- signals
 
 
-@query("uniform_blur", f"WITH {views.RECORDINGS}, o AS (SELECT user_id, event_id, value, row_number() OVER w AS i, count(*) OVER (PARTITION BY user_id) AS n, avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS m FROM rec WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT user_id, event_id, round(CASE WHEN i <= 2 OR i > n - 2 THEN value ELSE m END, 6) AS blurred FROM o")
+def _of_vectors(kind, f):
+    """A Column function from a function of one vector: the library's numpy functions run in Arrow batches."""
+
+    @F.pandas_udf(kind)
+    def run(v: pd.Series) -> pd.Series:
+        return pd.Series([f(np.asarray(x, float)) for x in v], dtype=object)
+
+    return run
+
+
+@query("uniform_blur", f"WITH {views.SEGMENTS} SELECT bag_id, segment_id, i::INT AS pos, round(CASE WHEN i < 2 OR i > 61 THEN features[i + 1] ELSE list_avg(features[i - 1:i + 3]) END, 6) AS blurred FROM (SELECT *, unnest(range(0, 64)) AS i FROM seg)")
 def uniform_blur(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    r = views.recordings(spark, sf_dir).withColumn("i", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("user_id")))
-    m = F.avg("value").over(w.rowsBetween(-2, 2))
-    return r.select("user_id", "event_id", r6(F.when((F.col("i") <= 2) | (F.col("i") > F.col("n") - 2), F.col("value")).otherwise(m)).alias("blurred"))
+    blurred = _of_vectors("array<double>", lambda x: signal.uniform_blur(x, 2))
+    return views.segments(spark, sf_dir).select("bag_id", "segment_id", F.posexplode(blurred("features")).alias("pos", "blurred")).withColumn("blurred", r6("blurred"))
 
 
 @query("frame_windows", f"WITH {views.SEGMENTS} SELECT bag_id, segment_id, s::INT AS start, round(list_sum(features[s + 1:s + 16]), 6) AS total FROM (SELECT *, unnest(range(0, 48, 4)) AS s FROM seg)")
 def frame_windows(spark, sf_dir):
-    seg = views.segments(spark, sf_dir)
-    starts = F.sequence(F.lit(0), F.size("features") - 16 - 1, F.lit(4))
-    return seg.select("bag_id", "segment_id", "features", F.explode(starts).alias("start")).select("bag_id", "segment_id", "start", r6(V.total(F.slice("features", F.col("start") + 1, F.lit(16)))).alias("total"))
+    frames = _of_vectors("array<struct<start:int,frame:array<double>>>", lambda x: [{"start": int(s), "frame": signal.extract_frame(x, s, 16)} for s in signal.frame_starts(len(x), 16, 4)])
+    return views.segments(spark, sf_dir).select("bag_id", "segment_id", F.explode(frames("features")).alias("f")).select("bag_id", "segment_id", "f.start", r6(V.total("f.frame")).alias("total"))
 
 
 @query("hamming_dft_magnitude", f"WITH {views.SEGMENTS}, w AS (SELECT bag_id, segment_id, i, features[i + 1] * (0.54 - 0.46 * cos(2 * pi() * i / 63)) AS x FROM (SELECT *, unnest(range(0, 64)) AS i FROM seg)), f AS (SELECT bag_id, segment_id, k, sum(x * cos(2 * pi() * k * i / 64)) AS re, sum(x * sin(2 * pi() * k * i / 64)) AS im, sum(x * CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END) AS ny FROM w CROSS JOIN range(32) g(k) GROUP BY ALL) SELECT bag_id, segment_id, k::INT AS bin, round(sqrt(re * re + CASE WHEN k = 0 THEN ny * ny ELSE im * im END), 6) AS magnitude FROM f")
@@ -343,51 +357,68 @@ def hamming_dft_magnitude(spark, sf_dir):
     return views.segments(spark, sf_dir).select("bag_id", "segment_id", F.posexplode(magnitudes("features")).alias("bin", "magnitude")).withColumn("magnitude", r6("magnitude"))
 
 
-# -- images: site by hour counts as rows and columns
+# -- images: one for each bag, 64 rows by 5 columns; a mask is what has half of full brightness
 
-_GRID = f"WITH {views.RECORDINGS}, px AS (SELECT site AS y, hour(ts) AS x, count(*) AS n FROM rec GROUP BY ALL), g AS (SELECT y, x, coalesce(n, 0) AS n FROM range(13) a(y) CROSS JOIN range(24) b(x) LEFT JOIN px USING (y, x)), lim AS (SELECT avg(n) AS t, max(n) AS m FROM g), mask AS (SELECT y, x, n, CASE WHEN n >= t THEN 255 ELSE 0 END AS v, n / m AS u FROM g, lim)"
 
+def _of_images(kind, f):
+    @F.pandas_udf(kind)
+    def run(columns: pd.Series) -> pd.Series:
+        return pd.Series([f(np.stack([np.asarray(c) for c in x], 1).astype(np.uint8)) for x in columns], dtype=object)
+
+    return run
 
-def _grid(spark, sf_dir):
-    r = views.recordings(spark, sf_dir)
-    n = r.groupBy(F.col("site").alias("y"), F.hour("ts").cast("bigint").alias("x")).agg(F.count("*").alias("n"))
-    g = spark.range(13).select(F.col("id").alias("y")).crossJoin(spark.range(24).select(F.col("id").alias("x"))).join(n, ["y", "x"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    lim = g.agg(F.avg("n").alias("t"), F.max("n").alias("m"))
-    return g.crossJoin(F.broadcast(lim)).select("y", "x", "n", F.when(F.col("n") >= F.col("t"), 255).otherwise(0).alias("v"), (F.col("n") / F.col("m")).alias("u"))
 
+def _mask(img):
+    return np.where(img >= 128, 255, 0).astype(np.uint8)
 
-@query("mask_area_perimeter", _GRID + " SELECT count(*) FILTER (a.v > 0)::BIGINT AS area, count(*) FILTER (coalesce(l.v, 0) <> a.v OR coalesce(t.v, 0) <> a.v OR coalesce(d.v, 0) <> a.v)::BIGINT AS perimeter FROM mask a LEFT JOIN mask l ON l.x = a.x - 1 AND l.y = a.y LEFT JOIN mask t ON t.x = a.x AND t.y = a.y - 1 LEFT JOIN mask d ON d.x = a.x - 1 AND d.y = a.y - 1")
+
+@query("mask_area_perimeter", f"WITH {views.IMAGES}, m AS (SELECT bag_id, x, y, (v >= 128)::INT AS v FROM px) SELECT a.bag_id, count(*) FILTER (a.v > 0)::BIGINT AS area, count(*) FILTER (coalesce(l.v, 0) <> a.v OR coalesce(t.v, 0) <> a.v OR coalesce(d.v, 0) <> a.v)::BIGINT AS perimeter FROM m a LEFT JOIN m l ON l.bag_id = a.bag_id AND l.x = a.x - 1 AND l.y = a.y LEFT JOIN m t ON t.bag_id = a.bag_id AND t.x = a.x AND t.y = a.y - 1 LEFT JOIN m d ON d.bag_id = a.bag_id AND d.x = a.x - 1 AND d.y = a.y - 1 GROUP BY a.bag_id")
 def mask_area_perimeter(spark, sf_dir):
-    m = _grid(spark, sf_dir)
-    row, col, diagonal = Window.partitionBy("y").orderBy("x"), Window.partitionBy("x").orderBy("y"), Window.partitionBy(F.col("x") - F.col("y")).orderBy("x")
-    near = [F.coalesce(F.lag("v").over(w), F.lit(0)) != F.col("v") for w in (row, col, diagonal)]
-    m = m.withColumn("edge", near[0] | near[1] | near[2])
-    return m.agg(F.sum(F.when(F.col("v") > 0, 1).otherwise(0)).alias("area"), F.sum(F.col("edge").cast("bigint")).alias("perimeter"))
+    both = _of_images("array<bigint>", lambda img: [image.mask_area(_mask(img)), image.mask_perimeter(_mask(img))])
+    return views.images(spark, sf_dir).select("bag_id", both("columns").alias("m")).select("bag_id", *(F.get("m", F.lit(i)).alias(c) for i, c in enumerate(("area", "perimeter"))))
+
+
+_PROFILES = ("freq_gini", "time_gini", "freq_mean", "time_mean", "freq_variance", "time_variance", "freq_skewness", "time_skewness", "freq_kurtosis", "time_kurtosis", "freq_top", "time_top", "mask_mean", "mask_std")
+
+
+def _profile_sql() -> str:
+    """Both profiles as lists, then the same figures for each."""
+    prof = lambda a, b: f"{a}s AS (SELECT bag_id, {b}, sum(u) AS s FROM un GROUP BY ALL), {a}p AS (SELECT bag_id, list(s ORDER BY {b}) AS l FROM {a}s GROUP BY bag_id), {a} AS (SELECT bag_id, list_transform(l, lambda z: z / list_sum(l)) AS p, len(l) - 1 AS n FROM {a}p), {a}m AS (SELECT *, list_sum(list_transform(range(0, n + 1), lambda i: p[i + 1] * i / n)) AS mu FROM {a})"
+    moment = lambda a, k: f"list_sum(list_transform(range(0, {a}m.n + 1), lambda i: pow(i / {a}m.n - {a}m.mu, {k}) * {a}m.p[i + 1]))"
+    one = lambda a: (f"1 - list_sum(list_transform({a}m.p, lambda z: z * z))", f"{a}m.mu", moment(a, 2), moment(a, 3), moment(a, 4), f"(list_position({a}m.p, list_max({a}m.p)) - 1) / {a}m.n")
+    figures = [x for pair in zip(one("f"), one("t"), strict=True) for x in pair] + ["coalesce(i.m, 0)", "coalesce(i.d, 0)"]
+    return f"WITH {views.IMAGES}, un AS (SELECT *, (v::FLOAT / 255::FLOAT)::DOUBLE AS u FROM px), {prof('f', 'y')}, {prof('t', 'x')}, i AS (SELECT bag_id, avg(u) AS m, stddev_pop(u) AS d FROM un WHERE v >= 128 GROUP BY bag_id) SELECT fm.bag_id, " + ", ".join(f"round({e}, 6) AS {c}" for c, e in zip(_PROFILES, figures, strict=True)) + " FROM fm JOIN tm USING (bag_id) LEFT JOIN i USING (bag_id)"
 
 
-@query("profile_features", _GRID + ", f AS (SELECT y, sum(u) AS s FROM mask GROUP BY y), t AS (SELECT x, sum(u) AS s FROM mask GROUP BY x), fp AS (SELECT y, s / (SELECT sum(s) FROM f) AS p FROM f), tp AS (SELECT x, s / (SELECT sum(s) FROM t) AS p FROM t) SELECT round((SELECT 1 - sum(p * p) FROM fp), 6) AS freq_gini, round((SELECT 1 - sum(p * p) FROM tp), 6) AS time_gini, round((SELECT sum(p * y / 12) FROM fp), 6) AS freq_mean, round((SELECT sum(p * x / 23) FROM tp), 6) AS time_mean, round((SELECT avg(u) FROM mask WHERE v > 0), 6) AS mask_mean, round((SELECT stddev_pop(u) FROM mask WHERE v > 0), 6) AS mask_std")
+@query("profile_features", _profile_sql())
 def profile_features(spark, sf_dir):
-    m = _grid(spark, sf_dir)
-    profile = lambda c: m.groupBy(c).agg(F.sum("u").alias("s")).agg(V.to_pdf(F.transform(F.array_sort(F.collect_list(F.struct(c, "s"))), lambda x: x["s"])).alias("p"))
-    f, t = profile("y").withColumnRenamed("p", "f"), profile("x").withColumnRenamed("p", "t")
-    inside = m.filter("v > 0").agg(r6(F.avg("u")).alias("mask_mean"), r6(F.stddev_pop("u")).alias("mask_std"))
-    return f.crossJoin(t).crossJoin(inside).select(r6(V.gini("f")).alias("freq_gini"), r6(V.gini("t")).alias("time_gini"), r6(V.relative_mean("f")).alias("freq_mean"), r6(V.relative_mean("t")).alias("time_mean"), "mask_mean", "mask_std")
+    figures = _of_images("array<double>", lambda img: image.profile_features(img, _mask(img)))
+    return views.images(spark, sf_dir).select("bag_id", figures("columns").alias("f")).select("bag_id", *(r6(F.get("f", F.lit(i))).alias(c) for i, c in enumerate(_PROFILES)))
 
 
-@query("whitening_filter", _GRID + ", e AS (SELECT x, row_number() OVER (ORDER BY round(avg(u * u), 9), x) AS r FROM mask GROUP BY x), s AS (SELECT y, sum(u * u) + 1e-11 AS s FROM mask JOIN e USING (x) WHERE r <= 5 GROUP BY y) SELECT y, x, round(least(u / sqrt(s), 1), 6) AS u FROM mask JOIN s USING (y)")
+@query("whitening_filter", f"WITH {views.IMAGES}, un AS (SELECT bag_id, x, y, v::FLOAT / 255::FLOAT AS u FROM px), e AS (SELECT bag_id, x, list_reduce(list(u * u ORDER BY y), lambda a, b: (a + b)::FLOAT) / 64::FLOAT AS e FROM un GROUP BY ALL), q AS (SELECT bag_id, x FROM (SELECT *, row_number() OVER (PARTITION BY bag_id ORDER BY e, x) AS r FROM e) WHERE r = 1), s AS (SELECT bag_id, y, sqrt((u * u + 1e-11::FLOAT)::DOUBLE)::FLOAT AS s FROM un JOIN q USING (bag_id, x)) SELECT bag_id, y::INT AS y, x, floor((least(u / s, 1::FLOAT) * 255::FLOAT)::DOUBLE)::INT AS v FROM un JOIN s USING (bag_id, y)")
 def whitening_filter(spark, sf_dir):
-    m = _grid(spark, sf_dir)
-    e = m.groupBy("x").agg(F.round(F.avg(F.col("u") * F.col("u")), 9).alias("e")).withColumn("r", F.row_number().over(Window.orderBy("e", "x")))  # as many as columns of the image
-    quiet = e.filter(F.col("r") <= 5)  # a fifth of 24, rounded up
-    s = m.join(F.broadcast(quiet.select("x")), "x").groupBy("y").agg((F.sum(F.col("u") * F.col("u")) + 1e-11).alias("s"))
-    return m.join(F.broadcast(s), "y").select("y", "x", r6(F.least(F.col("u") / F.sqrt("s"), F.lit(1.0))).alias("u"))
+    rows = _of_images("array<array<int>>", lambda img: [r.astype(np.int32) for r in signal.whitening_filter(img)])
+    out = views.images(spark, sf_dir).select("bag_id", F.posexplode(rows("columns")).alias("y", "r"))
+    return out.select("bag_id", "y", F.posexplode("r").alias("x", "v")).select("bag_id", "y", F.col("x").cast("bigint").alias("x"), "v")
 
 
 @query("spectrogram_normalizations", f"WITH {views.SEGMENTS}, v AS (SELECT bag_id, segment_id, i - 1 AS bin, abs(features[i]) AS x FROM (SELECT *, unnest(range(1, 65)) AS i FROM seg)) SELECT bag_id, segment_id, bin::INT AS bin, round(x / max(x) OVER (PARTITION BY bag_id), 6) AS unit, round(x / sum(x) OVER (PARTITION BY bag_id, segment_id), 6) AS pdf, round(greatest(0, x - avg(x) OVER (PARTITION BY bag_id, bin)), 6) AS over FROM v")
 def spectrogram_normalizations(spark, sf_dir):
-    v = views.segments(spark, sf_dir).select("bag_id", "segment_id", F.posexplode("features").alias("bin", "x")).withColumn("x", F.abs("x"))
-    over = lambda *k: Window.partitionBy(*k)
-    return v.select("bag_id", "segment_id", "bin", r6(F.col("x") / F.max("x").over(over("bag_id"))).alias("unit"), r6(F.col("x") / F.sum("x").over(over("bag_id", "segment_id"))).alias("pdf"), r6(F.greatest(F.lit(0.0), F.col("x") - F.avg("x").over(over("bag_id", "bin")))).alias("over"))
+    """A bag's vectors as the frames of a spectrogram."""
+    kinds = {"unit": signal.normalized_01, "pdf": signal.as_pdfs, "over": signal.minus_average}
+
+    @F.pandas_udf("array<struct<segment_id:bigint,bin:int,unit:double,pdf:double,over:double>>")
+    def normalised(frames: pd.Series) -> pd.Series:
+        out = []
+        for bag in frames:
+            s = np.abs(np.stack([np.asarray(f["features"], float) for f in bag]))
+            made = {k: f(s) for k, f in kinds.items()}
+            out.append([{"segment_id": f["segment_id"], "bin": j, **{k: m[i, j] for k, m in made.items()}} for i, f in enumerate(bag) for j in range(s.shape[1])])
+        return pd.Series(out, dtype=object)
+
+    bags = views.segments(spark, sf_dir).groupBy("bag_id").agg(F.array_sort(F.collect_list(F.struct("segment_id", "features"))).alias("frames"))  # five to a bag
+    return bags.select("bag_id", F.explode(normalised("frames")).alias("e")).select("bag_id", "e.segment_id", "e.bin", *(r6(f"e.{k}").alias(k) for k in kinds))
 
 
 # -- greedy selections

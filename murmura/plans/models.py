@@ -10,10 +10,8 @@ from murmura.plans.registry import query
 
 
 def _examples(spark, sf_dir):
-    """Bags with the mean of their vectors, up to 500 bags: what fits one training task."""
-    s = views.segments(spark, sf_dir)
-    by = s.select("bag_id", F.posexplode("features").alias("pos", "x")).groupBy("bag_id", "pos").agg(F.avg("x").alias("m"))
-    f = by.groupBy("bag_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda x: x["m"]).alias("features"))
+    """Bags with the mean of their vectors."""
+    f = views.segments(spark, sf_dir).groupBy("bag_id").agg(F.array(*(F.avg(F.get("features", F.lit(i))) for i in range(64))).alias("features"))
     return f.join(views.bags(spark, sf_dir), "bag_id").withColumn("labels", F.col("labels").cast("array<int>"))
 
 
@@ -25,18 +23,11 @@ g AS (SELECT f, (x + nx) / 2 AS t, (n * (1 - pow(p / n, 2) - pow((n - p) / n, 2)
 SELECT f::INT AS feature, round(t, 6) AS threshold, round(s, 6) AS gini FROM g ORDER BY round(s, 9), f, t LIMIT 1""",
 )
 def decision_stump(spark, sf_dir):
-    """The best first split of all features, by running counts over each feature's values."""
-    from pyspark.sql import Window
-
-    v = views.segments(spark, sf_dir).select("bag_id", "segment_id", (F.col("label") < 5).cast("int").alias("y"), F.posexplode("features").alias("f", "x"))
-    w = Window.partitionBy("f").orderBy("x", "bag_id", "segment_id")
-    run, whole = w.rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy("f")
-    o = v.select("f", "x", "y", F.lead("x").over(w).alias("nx"), F.lead("y").over(w).alias("ny"), F.count("*").over(run).alias("n"), F.sum("y").over(run).alias("p"), F.count("*").over(whole).alias("nn"), F.sum("y").over(whole).alias("pp"))
-    o = o.filter("nx - x >= 1e-6 AND y <> ny")
-    impurity = lambda p, n: n * (1 - F.pow(p / n, F.lit(2.0)) - F.pow((n - p) / n, F.lit(2.0)))
-    s = (impurity(F.col("p"), F.col("n")) + impurity(F.col("pp") - F.col("p"), F.col("nn") - F.col("n"))) / F.col("nn")
-    best = o.select(F.struct(F.round(s, 9).alias("k"), "f", ((F.col("x") + F.col("nx")) / 2).alias("t"), s.alias("s")).alias("b")).agg(F.min("b").alias("b"))
-    return best.select(F.col("b.f").alias("feature"), F.round("b.t", 6).alias("threshold"), F.round("b.s", 6).alias("gini"))
+    """The best first split of all features: each is searched by a task of its own."""
+    s = views.segments(spark, sf_dir).withColumn("y", (F.col("label") < 5).cast("int"))
+    x, y = forest.matrix(s, "features", "y", ["bag_id", "segment_id"])
+    best = forest.best_splits(spark, x, y, 2).select(F.struct(F.round("gini", 9).alias("k"), "feature", "threshold", "gini").alias("b")).agg(F.min("b").alias("b"))
+    return best.select("b.feature", F.round("b.threshold", 6).alias("threshold"), F.round("b.gini", 6).alias("gini"))
 
 
 @query("forest_oob")
@@ -100,12 +91,12 @@ def discovery_selections(spark, sf_dir):
 
 
 def _signals(spark, sf_dir):
-    """A rising tone over faint noise for each bag, its pitch from the first vector: recordings of half a second."""
-    s = views.segments(spark, sf_dir).filter("segment_id = 0")
+    """A rising tone over faint noise for each vector, which gives its pitch: recordings of half a second."""
+    s = views.segments(spark, sf_dir)
     pitch = 600 + F.floor(F.abs(F.get("features", F.lit(0))) * 4000)
     t = F.sequence(F.lit(0), F.lit(7999))
     tone = F.transform(t, lambda i: F.when((i > 2000) & (i < 5500), 0.5 * F.sin(i * (pitch + i * 0.3) * (2 * 3.141592653589793 / 16000))).otherwise(0.002 * F.sin(i * i * 0.37)).cast("float"))
-    return s.select(F.concat(F.lit("rec"), F.col("bag_id").cast("string")).alias("path"), F.lit(16000).alias("sample_rate"), tone.alias("samples"))
+    return s.select(F.concat_ws("-", F.lit("rec"), "bag_id", "segment_id").alias("path"), F.lit(16000).alias("sample_rate"), tone.alias("samples"))
 
 
 @query("spectrogram_images")

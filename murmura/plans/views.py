@@ -26,6 +26,16 @@ def bags(spark: SparkSession, sf_dir: str) -> DataFrame:
 BAGS = f"{SEGMENTS}, bags AS (SELECT bag_id, list_sort(list_distinct(list(label))) AS labels FROM seg GROUP BY bag_id)"
 
 
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grey image of 64 rows and 5 columns for each bag: sizes of its vectors' elements in thousandths, at most 255."""
+    px = F.transform("features", lambda x: F.least(F.floor(F.abs(x) * 1000), F.lit(255)).cast("int"))
+    columns = segments(spark, sf_dir).groupBy("bag_id").agg(F.array_sort(F.collect_list(F.struct("segment_id", px.alias("px")))).alias("c"))
+    return columns.select("bag_id", F.transform("c", lambda x: x["px"]).alias("columns"))
+
+
+IMAGES = f"{SEGMENTS}, px AS (SELECT bag_id, segment_id AS x, i - 1 AS y, least(floor(abs(features[i]) * 1000), 255)::INT AS v FROM (SELECT *, unnest(range(1, 65)) AS i FROM seg))"
+
+
 def order_bags(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(bags, segments) of varying size and four features: orders and their lines."""
     b = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("bag_id"))

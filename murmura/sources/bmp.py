@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-from murmura.sources.wav import listing
+from murmura.sources.files import listing, write_files
 
 SCHEMA = "path string, w int, h int, channels int, data binary"
 
@@ -101,6 +101,17 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return listing(spark, path).filter("lower(path) LIKE '%.bmp'").select("path", "content").mapInPandas(run, SCHEMA)
 
 
+def write(df: DataFrame, path: str) -> int:
+    """Write (name, w, h, channels, data) rows as image files of a folder that all executors can reach; returns how many there are."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            content = [encode(as_array(w, h, c, bytes(data))) for w, h, c, data in zip(b["w"], b["h"], b["channels"], b["data"], strict=True)]
+            yield pd.DataFrame({"name": b["name"], "content": content})
+
+    return write_files(df.select("name", "w", "h", "channels", "data").mapInPandas(run, "name string, content binary"), path)
+
+
 def as_array(w: int, h: int, channels: int, data: bytes) -> np.ndarray:
     img = np.frombuffer(data, np.uint8).reshape(h, w, channels)
     return img[:, :, 0] if channels == 1 else img

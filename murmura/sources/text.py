@@ -95,6 +95,10 @@ def read_expert_labels(spark: SparkSession, path: str) -> DataFrame:
     return lines(spark, path).select(F.get(p, F.lit(0)).alias("filename"), F.slice(p, 2, F.size(p)).alias("codes"))
 
 
+#: The settings that an experiment file names.
+SETTINGS = ("num classes", "feature dim", "partition")
+
+
 def read_experiment(spark: SparkSession, path: str, compat: bool = False) -> tuple[dict, DataFrame, DataFrame]:
     """(settings, classes, examples) of a self-contained experiment file.
 
@@ -102,7 +106,7 @@ def read_experiment(spark: SparkSession, path: str, compat: bool = False) -> tup
     empty; ``compat`` reads it as the set of class 0.
     """
     raw = lines(spark, path)
-    kv = {r.k.strip(): r.v.strip() for r in raw.filter("line NOT LIKE '%;%' AND line LIKE '%=%'").select(F.substring_index("line", "=", 1).alias("k"), F.expr("substr(line, instr(line, '=') + 1)").alias("v")).limit(100).collect()}
+    kv = {r.k.strip(): r.v.strip() for r in raw.filter("line NOT LIKE '%;%' AND line LIKE '%=%'").select(F.trim(F.substring_index("line", "=", 1)).alias("k"), F.expr("substr(line, instr(line, '=') + 1)").alias("v")).filter(F.col("k").isin(*SETTINGS)).dropDuplicates(["k"]).collect()}
     mode, _, k = kv.get("partition", "").partition(",")
     settings = {"num_classes": int(kv["num classes"]), "feature_dim": int(kv["feature dim"]), "partition": mode.strip(), "folds": int(k) if k.strip() else None}
     classes = raw.filter(r"line RLIKE '^[0-9]+,[^;]*$'").select(_cell(0, "int").alias("class_id"), _cell(1, "string").alias("name"))
@@ -127,13 +131,23 @@ def vector_text(v: Column) -> Column:
     return F.array_join(F.transform(v, number), ",")
 
 
-def write_lines(rows: DataFrame, line: Column, order: list, header: str | None, path: str) -> None:
-    """One text file with a header: rows are sorted by range over many tasks, then written in that order."""
+def write_lines(rows: DataFrame, line: Column, order: list, header: str | None, path: str, one_file: bool = False) -> None:
+    """Text files whose lines, taken file by file, stand in order behind one header.
+
+    Rows are sorted by range over many tasks, and each range becomes a file; the
+    header is the first line of the first. ``one_file``: for readers that take no
+    folder, one task writes them all.
+    """
     body = rows.select(F.lit(1).alias("part"), *(F.col(c) for c in order), line.alias("line")) if order else rows.select(F.lit(1).alias("part"), line.alias("line"))
     if header is not None:
         head = rows.sparkSession.range(1).select(F.lit(0).alias("part"), *(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in order), F.lit(header).alias("line"))
         body = head.unionByName(body)
-    body.orderBy("part", *order).select("line").coalesce(1).write.mode("overwrite").text(path)
+    _write_ordered(body, ["part", *order], path, one_file)
+
+
+def _write_ordered(body: DataFrame, order: list, path: str, one_file: bool) -> None:
+    body = body.orderBy(*order).select("line")
+    (body.coalesce(1) if one_file else body).write.mode("overwrite").text(path)
 
 
 def write_features(df: DataFrame, path: str, keys: list[str], header: str, vector: str = "features") -> None:
@@ -153,7 +167,7 @@ def write_table(df: DataFrame, path: str, order: list[str], header: str | None =
     write_lines(df, F.concat_ws(sep, *(F.coalesce(c, F.lit("")) for c in cells)), order, header, path)
 
 
-def write_experiment(examples: DataFrame, classes: DataFrame, path: str, num_classes: int, feature_dim: int, folds: int) -> None:
+def write_experiment(examples: DataFrame, classes: DataFrame, path: str, num_classes: int, feature_dim: int, folds: int, one_file: bool = False) -> None:
     """A self-contained k-fold experiment from (bag_id, fold, labels, features)."""
     head = ["# self-contained multi-label experiment", "# example lines: index;partition;labelset;featurevector", f"num classes = {num_classes}", f"feature dim = {feature_dim}", f"partition = k-fold, {folds}", "---"]
     tail = ["***", "index;partition;labelset;featurevector"]
@@ -161,4 +175,4 @@ def write_experiment(examples: DataFrame, classes: DataFrame, path: str, num_cla
     top = spark.createDataFrame([(0, i, x) for i, x in enumerate(head)] + [(2, i, x) for i, x in enumerate(tail)], "part int, i int, line string")
     names = classes.select(F.lit(1).alias("part"), F.col("class_id").cast("int").alias("i"), F.concat_ws(",", "class_id", "name").alias("line"))
     body = examples.select(F.lit(3).alias("part"), F.col("bag_id").cast("int").alias("i"), F.concat_ws(";", "bag_id", "fold", F.array_join("labels", ","), vector_text(F.col("features"))).alias("line"))
-    top.union(names).union(body).orderBy("part", "i").select("line").coalesce(1).write.mode("overwrite").text(path)
+    _write_ordered(top.union(names).union(body), ["part", "i"], path, one_file)

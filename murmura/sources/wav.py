@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from murmura.sources.files import listing, write_files
+
 SCHEMA = "path string, sample_rate int, bits int, channels int, samples array<float>"
 #: Chunks that may stand before the samples.
 MOST_CHUNKS = 10
@@ -50,48 +52,28 @@ def encode(samples: np.ndarray, sample_rate: int) -> bytes:
     return b"RIFF" + struct.pack("<I", 36 + len(x)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, sample_rate, sample_rate * 2, 2, 16) + b"data" + struct.pack("<I", len(x)) + x
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each readable file of a folder; others are left out."""
+def read(spark: SparkSession, path: str, problems: bool = False) -> DataFrame:
+    """One row for each readable file of a folder; with ``problems`` also those that aren't, with what is wrong in column ``problem``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for p, data in zip(b["path"], b["content"], strict=True):
                 try:
-                    rows.append((p, *decode(bytes(data))))
-                except ValueError:
-                    continue
-            yield pd.DataFrame(rows, columns=["path", "sample_rate", "bits", "channels", "samples"])
-
-    return listing(spark, path).filter(F.lower("path").endswith(".wav")).select("path", "content").mapInPandas(run, SCHEMA)
-
+                    rows.append((p, *decode(bytes(data)), None))
+                except (ValueError, struct.error) as e:
+                    rows.append((p, None, None, None, None, str(e)))
+            yield pd.DataFrame(rows, columns=["path", "sample_rate", "bits", "channels", "samples", "problem"]).astype({c: "Int32" for c in ("sample_rate", "bits", "channels")})
 
-def listing(spark: SparkSession, path: str) -> DataFrame:
-    """Files of a folder with their content; names that start with a dot are skipped."""
-    return spark.read.format("binaryFile").load(path).filter(~F.element_at(F.split("path", "/"), -1).startswith("."))
+    every = listing(spark, path).filter(F.lower("path").endswith(".wav")).select("path", "content").mapInPandas(run, SCHEMA + ", problem string")
+    return every if problems else every.filter("problem IS NULL").drop("problem")
 
 
 def write(df: DataFrame, path: str) -> int:
-    """Write (name, sample_rate, samples) rows as files of a folder that all executors share, through Spark's own file system.
-
-    The rows are encoded in tasks; returns how many files there are. Each task
-    writes to its own names, so a task that runs again writes the same bytes.
-    """
-    conf = df.sparkSession.sparkContext
+    """Write (name, sample_rate, samples) rows as files of a folder that all executors can reach; returns how many there are."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"name": b["name"], "content": [encode(np.array(s), int(r)) for s, r in zip(b["samples"], b["sample_rate"], strict=True)]})
 
-    rows = df.select("name", "sample_rate", "samples").mapInPandas(run, "name string, content binary")
-    fs_path = conf._jvm.org.apache.hadoop.fs.Path(path)
-    fs = fs_path.getFileSystem(conf._jsc.hadoopConfiguration())
-    n = 0
-    for r in rows.toLocalIterator():  # a file at a time
-        out = fs.create(conf._jvm.org.apache.hadoop.fs.Path(fs_path, r.name), True)
-        try:
-            out.write(bytearray(r.content))
-        finally:
-            out.close()
-        n += 1
-    return n
+    return write_files(df.select("name", "sample_rate", "samples").mapInPandas(run, "name string, content binary"), path)

@@ -140,3 +140,24 @@ def test_drawing_and_layout():
     assert image.stack_horizontal([np.zeros((2, 3)), np.zeros((4, 5))]).shape == (4, 8)
     assert image.convolved(img, image.KERNELS["avg"]).shape == img.shape
     assert image.correlation(img, img[5:10, 5:10]).max() == 255
+
+
+def test_degenerate_vectors(spark):
+    one_, none = arr(2), F.array().cast("array<double>")
+    got = one(spark, V.relative_mean(one_), V.relative_central_moment(one_, 2), V.mean(none), V.sample_variance(one_), V.normalize_01(F.array(arr(3, 3))), V.normalize_sum(F.array(arr(1, -1))), V.normalize_sum(F.array(arr(1, 3))))
+    assert got == (0.0, 0.0, None, None, [[0.0, 0.0]], [[1.0, -1.0]], [[0.25, 0.75]])
+
+
+def test_matrix_inverse_and_rows(spark):
+    two, three = [[1.0, 2.0], [3.0, 4.0]], [[2.0, 0.0, 1.0], [1.0, 3.0, 2.0], [1.0, 1.0, 4.0]]
+    col = lambda m: F.array(*(arr(*r) for r in m))
+    a, b, singular, swapped, eye, nil = one(spark, V.inverse(col(two)), V.inverse(col(three)), V.inverse(col([[1, 2], [2, 4]])), V.swap_rows(col(two), 0, 1), V.identity(2), V.zeros(1, 2))
+    assert np.allclose(a, np.linalg.inv(two)) and np.allclose(b, np.linalg.inv(three)) and singular is None
+    assert swapped == [[3.0, 4.0], [1.0, 2.0]] and eye == [[1.0, 0.0], [0.0, 1.0]] and nil == [[0.0, 0.0]]
+
+
+def test_random_draws_follow_keys(spark):
+    df = spark.range(20000).select(V.gaussian_of("id", mean=3.0, deviation=2.0, seed=5).alias("g"), V.multinomial_of(arr(1, 0, 3), "id", seed=7).alias("m"), V.uniform_of("id").alias("u"))
+    r = df.agg(F.avg("g"), F.stddev("g"), F.sum((F.col("m") == 2).cast("int")), F.sum((F.col("m") == 1).cast("int")), F.avg("u")).first()
+    assert abs(r[0] - 3) < 0.06 and abs(r[1] - 2) < 0.06 and abs(r[2] - 15000) < 300 and r[3] == 0 and abs(r[4] - 0.5) < 0.01
+    assert one(spark, V.multinomial_of(arr(0, 0), F.lit(1)))[0] is None and df.collect() == df.collect()

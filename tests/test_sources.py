@@ -63,6 +63,7 @@ def test_wav(spark, tmp_path):
     (tmp_path / "wavs" / "bad.wav").write_bytes(b"no")
     got = wav.read(spark, str(tmp_path / "wavs")).collect()
     assert len(got) == 1 and len(got[0].samples) == 1600
+    assert [(r.samples, r.problem) for r in wav.read(spark, str(tmp_path / "wavs"), problems=True).filter("problem IS NOT NULL").collect()] == [(None, "not a RIFF/WAVE file")]
 
 
 def test_bmp(spark, tmp_path):
@@ -81,6 +82,8 @@ def test_bmp(spark, tmp_path):
     assert bmp.decode(head + grey + rle)[:, :, 0].tolist() == [[7, 7, 7], [9, 9, 0]] and len(pal) == 1024
     (tmp_path / "x.bmp").write_bytes(bmp.encode(rng.integers(0, 256, (3, 4)).astype(np.uint8)))
     r = bmp.read(spark, str(tmp_path)).first()
+    named = bmp.read(spark, str(tmp_path)).withColumn("name", F.lit("copy.bmp"))
+    assert bmp.write(named, str(tmp_path / "out")) == 1 and bmp.read(spark, str(tmp_path / "out")).first().data == r.data
     assert (r.w, r.h, r.channels) == (4, 3, 3) and bmp.as_array(r.w, r.h, r.channels, bytes(r.data)).shape == (3, 4, 3)
 
 

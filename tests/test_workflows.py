@@ -43,7 +43,7 @@ def test_features_and_files(spark, tables, tmp_path):
     W.export_experiment(h.join(b, "bag_id"), classes, path, 3, 10)
     assert text.read_experiment(spark, path)[2].count() == 20
     W.discovery_curve_file(discovery.experiment(b, s, ["coverage_oracle"], 3, 2), str(tmp_path / "curve"))
-    assert spark.read.text(str(tmp_path / "curve")).first().value.startswith("0\t0.000000")
+    assert spark.read.text(str(tmp_path / "curve")).first().value.startswith("coverage_oracle\t0\t0.000000")
 
 
 def test_rain(spark, tables):
