@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -46,6 +47,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Folders of intermediate tables that this process has named, in order.
+_scratch: list[str] = []
+
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder for intermediate tables, in the folder that all share."""
+    path = f"{shared_dir(spark)}/murmura-{name}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+def release(spark: SparkSession, since: int = 0) -> int:
+    """Delete the scratch folders named from number ``since`` on, once what was read from them has been written elsewhere; how many are left."""
+    while len(_scratch) > since:
+        remove(spark, _scratch.pop())
+    return len(_scratch)
+
+
+def scratch_count() -> int:
+    return len(_scratch)
+
+
 def cut(df):
     """``df`` read back from the checkpoint folder: its lineage ends there."""
     shared_dir(df.sparkSession)
