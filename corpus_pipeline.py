@@ -3,7 +3,8 @@
 ``STAGES`` lists (name, function). Each function takes (spark, docs, sf_dir) and
 returns a DataFrame; ``run`` writes each result as Parquet in the folder that
 ``spark.checkpoint.dir`` names and reads it back as the next stage's documents, so
-that a stage never recomputes what stands before it.
+that a stage never recomputes what stands before it. When a stage is written, its
+intermediate tables and what the stage before wrote are deleted.
 
 1. quality: lines that fail a rule go; documents that fail the base rules or lose
    too much text go.
@@ -21,14 +22,12 @@ a text, ``n_chars`` follows it.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmura.llm import decontam, jaccard, linedup, quality, spiece
 from murmura.llm.common import table
-from murmura.session import shared_dir
+from murmura.session import release, remove, scratch_count, scratch_dir
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,15 +58,20 @@ STAGES = [
     ("encode", encode_stage),
 ]
 
-#: SQL can't express the encoding; tests hold the stages against brute force.
+#: SQL can't express the encoding; tests hold each stage against a plain version of it.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for the table ``documents`` of ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
-    home = f"{shared_dir(spark)}/murmura-pipeline-{uuid.uuid4().hex}"
+    home, before = scratch_dir(spark, "pipeline"), None
+    mark = scratch_count()
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{home}/{name}")
         docs = spark.read.parquet(f"{home}/{name}")
+        release(spark, mark)
+        if before:
+            remove(spark, f"{home}/{before}")
+        before = name
     return docs
