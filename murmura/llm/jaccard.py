@@ -30,8 +30,9 @@ these by chance. A row's node is a 63-bit hash of its id and text, so that rows
 share an id, or have none, are told apart by their texts.
 
 A shingle that the sketch finds hot is taken as shared without a look; any other
-one has a bounded number of rows, so that no window gathers a hot key. Joins on
-shingles and nodes are plain sort-merge joins, which adaptive execution splits.
+one has a bounded number of rows, so that no window gathers a hot key. What is
+joined on shingles and nodes has been written before, so that both sides of a join
+are plain shuffles and adaptive execution can split a hot key.
 
 Defined results: a null or empty text has an empty set and is linked with nothing;
 with fewer than five words the whole sequence is the one shingle; rows with equal
@@ -43,7 +44,6 @@ id; a null id counts as one above all others, 2**63 - 1; other columns aren't re
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,7 +54,7 @@ from pyspark.sql import functions as F
 
 from murmura.llm.common import BLANKS, parts
 from murmura.llm.components import components
-from murmura.session import remove, shared_dir, tidy_shuffles
+from murmura.session import remove, scratch_dir, tidy_shuffles
 
 WIDTH = 5
 PERCENT = 80
@@ -241,7 +241,7 @@ class Join:
 
     def __init__(self, docs: DataFrame, percent: int):
         self.docs, self.percent, self.spark = docs, percent, docs.sparkSession
-        self.home = f"{shared_dir(self.spark)}/murmura-jaccard-{uuid.uuid4().hex}"
+        self.home = scratch_dir(self.spark, "jaccard")
         self.links = self.comp = self.seen = None
         self.step, self.paths = 0, {}
 
@@ -252,8 +252,8 @@ class Join:
         return self.spark.read.parquet(self.paths[name])
 
     def done_with(self, *names: str) -> None:
-        for name in names:
-            remove(self.spark, self.paths[name])
+        for path in filter(None, (self.paths.pop(name, None) for name in names)):
+            remove(self.spark, path)
 
     def describe(self) -> None:
         counts = self.counts = self.spark.sparkContext.broadcast(_sketch(self.docs))  # 4 MB
@@ -277,13 +277,14 @@ class Join:
         pairs = self.kept(pairs, "pairs")
         self.seen = pairs if self.seen is None else self.seen.union(pairs)
         ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        whole = self.kept(_sets_of(self.docs, ids), "whole")
-        sets = whole.groupBy("node").agg(F.max("set").alias("set"))
+        sets = self.kept(_sets_of(self.docs, ids), "whole")
+        if not sets.groupBy("node").count().filter("count > 1").isEmpty():  # rows repeat an id and a text
+            sets = self.kept(sets.dropDuplicates(["node"]), "once")
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
         linked = both.select("a", "b", common.alias("i"), (F.size("x") + F.size("y") - common).alias("u")).filter(F.col("i") * 100 >= F.col("u") * self.percent)
         found = self.kept(linked.select("a", "b"), "links")
-        self.done_with("whole")
+        self.done_with("whole", "once")
         self.links = found if self.links is None else self.links.union(found)
         self.comp = components(self.links)
 
@@ -312,20 +313,22 @@ class Join:
         """In each shingle's groups of like size, all others against the one that has it first; in each group, all classes against one."""
         t = self.tokens.withColumn("band", self.band(0.0))
         pivots = t.groupBy("token", "band").agg(F.min(F.struct("pos", "v", "n")).alias("p"), F.count("*").alias("k")).filter("k > 1").select("token", "band", *(F.col(f"p.{c}").alias(f"p_{c}") for c in ("pos", "v", "n")))
+        pivots = self.kept(pivots, "pivots")
         met = t.join(pivots, ["token", "band"]).filter(f"v <> p_v AND {self.room('1', 'pos', 'p_pos', 'n', 'p_n', '0')}")
         leads = self.leads()
         pairs = self.expanded(met.select(F.col("p_v").alias("a"), F.col("v").alias("b")).distinct(), leads)
         inner = self.vertices.join(leads.select("v", F.col("rep").alias("a")), "v").select("a", F.col("rep").alias("b")).filter("a <> b")
         self.verify(pairs.union(inner))
+        self.done_with("pivots")
 
     def mixed(self, t: DataFrame, name: str) -> DataFrame:
         """The rows of shingles whose vertices are in more than one component, with ``comp``; a group whose own classes are in several may meet any."""
         own = self.with_comp(self.vertices, "rep").groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         own = own.select("v", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(-1 - F.shiftrightunsigned("v", 1)).alias("comp"))
         t = self.kept(t.join(own, "v"), "located")
-        open_ = t.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
+        open_ = self.kept(t.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token"), "open")
         out = self.kept(t.join(open_, "token", "left_semi"), name)
-        self.done_with("located")
+        self.done_with("located", "open")
         return out
 
     def apart(self) -> DataFrame | None:
@@ -365,8 +368,10 @@ class Join:
         tried = F.array(F.min(F.struct(F.col("pos").cast("bigint").alias("h"), *row)), *(F.min(F.struct(F.xxhash64("v", F.lit(x)).alias("h"), *row)) for x in salts))
         each = t.groupBy("token", "band", "comp").agg(F.count("*").alias("k"), tried.alias("tried"))
         big = each.groupBy("token", "band").agg(F.max_by(F.struct("comp", "tried"), F.struct("k", -F.col("comp"))).alias("big"), F.count("*").alias("comps")).filter("comps > 1")
-        met = t.join(big.select("token", "band", "big"), ["token", "band"]).filter("comp <> big.comp").select(*row, "before", F.explode(F.array_distinct(F.transform("big.tried", lambda x: x.dropFields("h")))).alias("p")).filter(self.room("1", "pos", "p.pos", "n", "p.n", "before"))
+        big = self.kept(big.select("token", "band", "big"), "pivots")
+        met = t.join(big, ["token", "band"]).filter("comp <> big.comp").select(*row, "before", F.explode(F.array_distinct(F.transform("big.tried", lambda x: x.dropFields("h")))).alias("p")).filter(self.room("1", "pos", "p.pos", "n", "p.n", "before"))
         self.verify(self.expanded(met.select(F.col("p.v").alias("a"), F.col("v").alias("b")).distinct(), self.leads()))
+        self.done_with("pivots")
 
     def rest(self, t: DataFrame) -> None:
         """All candidates whose ends are still in different components."""
