@@ -23,7 +23,6 @@ null id counts as one document above all others; further columns pass unchanged.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 
 from murmura.llm.bloom import Bloom, masks, mix
 from murmura.llm.common import BLANKS, parts
-from murmura.session import shared_dir
+from murmura.session import scratch_dir
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: All twice-seen filters together, as they are broadcast.
@@ -177,11 +176,11 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
             found = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], names=["ord", "key"])
             yield found.filter(hit)
 
-    path = f"{shared_dir(spark)}/murmura-lines-{uuid.uuid4().hex}"
-    text.mapInArrow(suspect, "ord bigint, key binary").write.parquet(path)
-    suspects = spark.read.parquet(path)
-    suspects.groupBy("key").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).filter("first < last").write.parquet(f"{path}-repeats")
-    repeats = spark.read.parquet(f"{path}-repeats")  # written, so that the join's sides are plain shuffles and a hot key can be split
+    path = scratch_dir(spark, "lines")
+    text.mapInArrow(suspect, "ord bigint, key binary").write.parquet(f"{path}/suspects")
+    suspects = spark.read.parquet(f"{path}/suspects")
+    suspects.groupBy("key").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).filter("first < last").write.parquet(f"{path}/repeats")
+    repeats = spark.read.parquet(f"{path}/repeats")  # written, so that the join's sides are plain shuffles and a hot key can be split
     losses = suspects.join(repeats, "key").filter("ord > first").groupBy("ord").agg(F.collect_set("key").alias("drop"))
 
     @F.pandas_udf("boolean")
