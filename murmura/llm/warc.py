@@ -24,15 +24,25 @@ null; further columns aren't stored.
 
 from __future__ import annotations
 
+import gzip
+import io
+import re
 import uuid
+import zlib
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmura.session import shared_dir, tidy_shuffles
+from murmura.llm.common import ship
+from murmura.session import scratch_dir, tidy_shuffles
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CRLF = "\r\n"
+#: Bytes of a header from which on it is taken as endless, and bytes of records that a reading task holds.
+MAX_HEADER, HELD = 1 << 20, 8 << 20
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -164,5 +174,68 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return revisits.select(*columns, known.alias("refers_to")).unionByName(index.filter("record_type = 'response'").select(*columns).withColumn("refers_to", F.lit(None).cast(dict(index.dtypes)["page_id"])))
 
 
+def export_files(spark: SparkSession, path: str, target: str) -> None:
+    """The archive's records as compressed WARC files, one from each task: every record is written with the two line breaks that end it."""
+    whole = F.expr("cast(substring(record, 1, octet_length(record) - 4) as string)")  # the bytes as they are
+    read_records(spark, path).select(whole.alias("record")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(target)
+
+
+FILE_ROWS = "file string, at bigint, header binary, block binary, problem string"
+
+
+def _parse(file: str, stream) -> Iterator[tuple]:
+    """Rows of ``FILE_ROWS`` from one stream; the first record that isn't sound ends it, as nothing tells where the next one starts."""
+    at = 0
+    try:
+        while head := stream.readline():
+            while not head.endswith(b"\r\n\r\n"):
+                line = stream.readline()
+                if not line or len(head) > MAX_HEADER:
+                    raise ValueError("a header without an end")
+                head += line
+            size = next((int(x.split(b":", 1)[1]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")), None)
+            if not head.startswith(b"WARC/1.") or size is None:
+                raise ValueError("not a record")
+            block = stream.read(size)
+            if len(block) < size or stream.read(4) != b"\r\n\r\n":
+                raise ValueError("a record of another length than its header states")
+            yield file, at, head, block, None
+            at += len(head) + size + 4
+    except (ValueError, EOFError, OSError, zlib.error) as e:
+        yield file, at, None, None, str(e)
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, at, header, block, problem) of every record of a folder's ``.warc`` and ``.gz`` files.
+
+    Tasks stream the files, record by record; ``at`` is a record's place in the
+    uncompressed file. Where a file is damaged its last row says what is wrong.
+    """
+    ship(spark)
+    names = spark.read.format("binaryFile").load(path).select("path").filter("lower(path) RLIKE '[.](warc|gz)$'")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                target, base = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", name))
+                held, size = [], 0
+                with target.open_input_stream(base, compression=None) as raw:
+                    stream = io.BufferedReader(gzip.GzipFile(fileobj=raw)) if name.lower().endswith(".gz") else io.BufferedReader(raw)
+                    for row in _parse(name, stream):
+                        held.append(row)
+                        size += len(row[3] or b"")
+                        if len(held) >= 256 or size >= HELD:
+                            yield _batch(held)
+                            held, size = [], 0
+                yield _batch(held)
+
+    return names.repartition("path").mapInArrow(run, FILE_ROWS)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["file", "at", "header", "block", "problem"])
+
+
 def archive_path(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/murmura-warc-{uuid.uuid4().hex}"
+    return scratch_dir(spark, "warc")
