@@ -24,8 +24,8 @@ and around characters that no piece has. What lies between is looked up in a
 bounded memo before it is searched.
 
 Defined results: a null or empty text has no ids and decodes to empty; characters
-without a piece become their UTF-8 bytes where the model has byte pieces, else the
-unknown id; a model with a normaliser or with user-defined symbols is refused when it
+without a piece become their UTF-8 bytes where the model has byte pieces, else a run
+of them becomes one unknown id; a model with a normaliser or with user-defined symbols is refused when it
 is loaded; lone surrogates are encoded as the replacement character; a word mark in the text
 is taken as a space; very long
 texts and very long words are streamed; each row is encoded for itself and other
@@ -34,6 +34,7 @@ columns aren't read.
 
 from __future__ import annotations
 
+import gc
 import re
 from array import array
 from collections.abc import Iterator
@@ -68,18 +69,14 @@ class Model:
         self.longest = max(map(len, self.ids), default=1)
         self.unknown_score = min(self.score.values(), default=0.0) - UNKNOWN_PENALTY
         self.reachable = {p for p in self.ids if not bpe or self.merged(p) == [p]} if reachable is None else reachable
-        self.ends: list = [{}, None]  # a trie of reversed pieces: [following nodes, the piece that ends here]
-        for p in self.reachable:
-            node = self.ends
-            for c in reversed(p):
-                node = node[0].setdefault(c, [{}, None])
-            node[1] = p
+        self.walk = None
         self.inner = {a + b for p in self.ids for a, b in zip(p, p[1:], strict=False)}  # neighbours that some piece spans
         chars = {c for p in self.ids for c in p}
         alone = "".join(c for c in "\n\t\r" if c not in chars)
         marked = all(MARK not in p.lstrip(MARK) for p in self.ids)
         self.segments = re.compile(f"[{alone}]|{MARK}*[^{MARK}{alone}]+|{MARK}+" if alone else f"{MARK}*[^{MARK}]+|{MARK}+") if marked else re.compile(r"(?s).+")
         self.table = [self._decoded(p, t) for p, _, t in pieces]
+        self.packed: dict[str, bytes] = {}
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
@@ -145,55 +142,76 @@ class Model:
     def stream(self, s: str) -> Iterator[list[str]]:
         """The pieces of a segment, as soon as they are certain.
 
-        Positions are counted from the last commitment on; ``last`` and ``best`` hold
-        the best arc into each and its sum, for those not yet committed.
+        Positions are counted from the last commitment on; ``last`` holds the best arc
+        into each that isn't committed yet. The automaton gives the arcs into a position
+        from the longest piece to the shortest.
         """
-        first, pairs, score = self.ends[0], self.pairs, self.score
         last: list[str] = [""]
         best = [0.0]
-        done, check = 0, 2 * self.longest
-        for i in range(1, len(s) + 1):
-            j, found = i - 1, []
-            node = first.get(s[j])
-            while node is not None:  # the pieces that end here, the shortest first
-                if node[1] is not None:
-                    found.append(node[1])
-                if j == done:
-                    break
-                j -= 1
-                node = node[0].get(s[j])
-            if not found or len(found[0]) != 1:
-                found.insert(0, s[i - 1])  # a single character always counts
-            if self.bpe:
-                while found:
-                    p = found.pop()
-                    k = i - len(p)
-                    if not k or not found:
-                        break
+        done, check, bpe, pairs, score = 0, 2 * self.longest, self.bpe, self.pairs, self.score
+        n, top = 0, None  # positions with an arc; unigram: the best sum into the next one
+        for e, p in self.automaton().iter(s):
+            if e < n:
+                continue  # has its arc
+            while n < e:  # a character that no arc was found for, or whose best sum is known now
+                self.close(last, best, s[n], top)
+                n, top = n + 1, None
+                if n - done == check:
+                    if at := self.met(last):
+                        yield self.back(last, at)
+                        del last[:at], best[: 0 if bpe else at]  # what ends at the boundary stays, as the left neighbour of what follows
+                        done += at
+                    check = 2 * self.longest if at else check + self.longest
+            k = e + 1 - len(p)
+            if k < done:
+                continue
+            if bpe:
+                if k and len(p) > 1:
                     key = (last[k - done], p)
                     fits = pairs.get(key)
-                    if fits if fits is not None else self.compatible(*key):
-                        break
+                    if not (fits if fits is not None else self.compatible(*key)):
+                        continue
                 last.append(p)
+                n = e + 1
+                if n - done == check:
+                    if at := self.met(last):
+                        yield self.back(last, at)
+                        del last[:at]
+                        done += at
+                    check = 2 * self.longest if at else check + self.longest
             else:
-                top, p = None, ""
-                for x in found:
-                    v = best[i - len(x) - done] + score.get(x, self.unknown_score)
-                    if top is None or v > top:
-                        top, p = v, x
-                last.append(p)
-                best.append(top)
-            if i - done == check:
-                at = self.met(last)
-                if at:
-                    yield self.back(last, at)
-                    del last[:at], best[: at if not self.bpe else 0]  # what ends at the boundary stays, as the left neighbour of what follows
-                    done += at
-                    check = 2 * self.longest
-                else:
-                    check += self.longest
+                v = best[k - done] + score[p]
+                if top is None or v > top[0]:  # of equal sums the longer piece
+                    top = v, p
+        for c in s[n:]:
+            self.close(last, best, c, top)
+            top = None
         yield self.back(last, len(s) - done)
 
+    def close(self, last: list[str], best: list[float], c: str, top: tuple[float, str] | None) -> None:
+        """The arc into the next position: the best one found, or the character alone where it is no piece."""
+        if not self.bpe:
+            v = best[-1] + self.unknown_score
+            if top is None or c not in self.score and v > top[0]:
+                top = v, c
+            best.append(top[0])
+        last.append(top[1] if top else c)
+
+    def automaton(self):
+        """Of all pieces that a text can hold, made once in each process."""
+        if self.walk is None:
+            import ahocorasick
+
+            self.walk = ahocorasick.Automaton()
+            for p in self.reachable:
+                self.walk.add_word(p, p)
+            if len(self.walk):
+                self.walk.make_automaton()
+            else:
+                self.walk.add_word("\ue000" * 2, "")
+                self.walk.make_automaton()
+        return self.walk
+
     def met(self, last: list[str]) -> int:
         """The last boundary that the paths back from all survivors share; 0 if none but the committed one."""
         end = len(last) - 1
@@ -227,20 +245,35 @@ class Model:
 
     def segment_ids(self, s: str) -> bytes:
         """The ids of a segment, as 32-bit words; from the memo, or by searching it between boundaries that no piece spans."""
-        found = self.memo.get(s) or self.older.get(s)
+        inner = self.inner
+        cuts = [i for i in range(1, len(s)) if s[i - 1 : i + 1] not in inner]
+        if not cuts:
+            return self.searched(s)
+        known = self.memo.get
+        found = b"".join([known(x) or self.searched(x) for x in [s[a:b] for a, b in zip([0, *cuts], [*cuts, len(s)], strict=True)]])
+        if len(cuts) == 1 and len(s) - cuts[0] == 1:  # a word with one mark after it is worth its own entry
+            self.remember(s, found)
+        return found
+
+    def searched(self, s: str) -> bytes:
+        found = self.older.get(s)
         if found is None:
-            cuts = [i for i in range(1, len(s)) if s[i - 1 : i + 1] not in self.inner]
-            if cuts:
-                found = b"".join(self.segment_ids(s[a:b]) for a, b in zip([0, *cuts], [*cuts, len(s)], strict=True))
-                if len(cuts) > 1 or len(s) - cuts[0] > 1:
-                    return found  # its parts are remembered; a word with one mark after it is worth its own entry
-            else:
-                found = array("i", [i for pieces in self.stream(s) for p in pieces for i in self.piece_ids(p)]).tobytes()
+            packed = self.packed
+            found = b"".join([packed.get(p) or self.pack(p) for pieces in self.stream(s) for p in pieces])
+        self.remember(s, found)
+        return found
+
+    def remember(self, s: str, found: bytes) -> None:
         if len(s) <= 64:
             if len(self.memo) >= MEMO:
                 self.older, self.memo = self.memo, {}
             self.memo[s] = found
-        return found
+
+    def pack(self, piece: str) -> bytes:
+        out = array("i", self.piece_ids(piece)).tobytes()
+        if piece in self.ids:
+            self.packed[piece] = out
+        return out
 
     def encode(self, text: str | None) -> array:
         out = array("i")
@@ -253,9 +286,12 @@ class Model:
             parts = self.segments.findall(marked, at, end)
             found = list(map(self.memo.get, parts))
             if None in found:
-                found = [f if f is not None else self.segment_ids(p) for f, p in zip(found, parts, strict=True)]
+                older = self.older.get
+                found = [f if f is not None else older(p) or self.segment_ids(p) for f, p in zip(found, parts, strict=True)]
             out.frombytes(b"".join(found))
             at = end
+        if not self.bytes and self.unknown in out:  # a run of unknown characters counts once
+            out = array("i", [x for i, x in enumerate(out) if x != self.unknown or not i or out[i - 1] != x])
         return out
 
     def boundary(self, s: str, i: int) -> int:
@@ -276,6 +312,9 @@ def encode_column(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value  # made once in each Python worker, with its memo
+        if m.walk is None:
+            m.automaton()
+            gc.freeze()  # the vocabulary stays: no use in looking through it for garbage
         for b in parts(batches):
             flat, ends, same = array("i"), array("i", [0]), []
             for t in b.column(1).to_pylist():
