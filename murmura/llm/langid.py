@@ -33,7 +33,9 @@ from pyspark.sql import functions as F
 from murmura.llm.common import parts
 
 UNDETERMINED = "und"
-PAD = 256  # before a text's start and after its end
+PAD = 256  # after a window's end, where it stands beside longer ones
+#: The update gate's input at padding: it shuts, so a state passes unchanged and a window's result doesn't depend on its neighbours.
+CLOSED = -30.0
 
 
 @dataclass(frozen=True)
@@ -65,6 +67,7 @@ class Cell:
             "gates": rng.normal(0, hidden**-0.5, (hidden, 2 * hidden)).astype(np.float32),
             "state": rng.normal(0, hidden**-0.5, (hidden, hidden)).astype(np.float32),
         }
+        self.p["table"][PAD, :hidden] = CLOSED
 
     def forward(self, x: np.ndarray, keep: bool = False):
         """States after each step for bytes by (time, row); with ``keep``, also what backpropagation needs."""
