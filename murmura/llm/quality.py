@@ -41,6 +41,14 @@ BOILERPLATE = (
     "lorem ipsum",
     "powered by",
     "copyright (c)",
+    "alle rechte vorbehalten",
+    "cookies akzeptieren",
+    "hier klicken",
+    "accepter les cookies",
+    "cliquez ici",
+    "todos los derechos reservados",
+    "aceptar las cookies",
+    "haga clic",
 )
 
 
