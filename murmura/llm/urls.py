@@ -2,7 +2,7 @@
 
 Allow and block entries sit in the same trie and the longest one that fits a url
 decides, whichever list it comes from. The trie is built on the driver from the
-rule list and goes to the executors with the function; ``MAX_RULES`` bounds it.
+rule list and is broadcast; ``MAX_RULES`` bounds it.
 Looking a url up walks at most as many nodes as the url has labels and segments.
 
 Defined results: a null url, or one without ``://``, has an empty host and path
@@ -100,10 +100,11 @@ class UrlTrie:
 
 def judge_urls(df: DataFrame, rules: Sequence[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """One row per input row: id, host, path, rule (null where none fits) and verdict."""
-    trie = UrlTrie(rules)
+    shared = df.sparkSession.sparkContext.broadcast(UrlTrie(rules))  # of at most MAX_RULES rules
     kind = dict(df.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie = shared.value
         for b in parts(batches, 4096):
             split = [split_url(u) for u in b.column(1).to_pylist()]
             hits = [trie.find(*x) if x[0] else None for x in split]
