@@ -158,12 +158,57 @@ def test_unigram_is_the_best_sum():
 
     for w in product("ab c", repeat=6):
         s = "".join(w)
-        ids = m.encode(s)
-        assert sum(m.pieces[i][1] if i else m.unknown_score for i in ids) == pytest.approx(best("▁" + s.replace(" ", "▁")))
+        marked = "▁" + s.replace(" ", "▁")
+        assert sum(m.score.get(p, m.unknown_score) for own in m.stream(marked) for p in own) == pytest.approx(best(marked))
     long = "abba" * 500
     assert sum(m.pieces[i][1] for i in m.encode(long)) == pytest.approx(best("▁" + long))
 
 
+def _proto(kind, pieces, **rules):
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    for piece, score, type_ in pieces:
+        m.pieces.add(piece=piece, score=score, type=type_)
+    m.trainer_spec.model_type = kind
+    m.trainer_spec.vocab_size = len(pieces)
+    m.normalizer_spec.name, m.normalizer_spec.add_dummy_prefix = "identity", True
+    m.normalizer_spec.remove_extra_whitespaces, m.normalizer_spec.escape_whitespaces = False, True
+    for k, v in rules.items():
+        setattr(m.normalizer_spec, k, v)
+    return m.SerializeToString()
+
+
+def test_unigram_against_the_library():
+    """A unigram model made of the public vocabulary's pieces, scored by their length and place."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    public = [x[0] for x in spiece.Model.load().pieces if x[2] == spiece.NORMAL]
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((p, -(1 + i / 1024 + len(p) / 4), 1) for i, p in enumerate(public[:3000]))]
+    data = _proto(pb.TrainerSpec.UNIGRAM, pieces)
+    m, sp = spiece.Model.of_proto(data), sentencepiece.SentencePieceProcessor(model_proto=data)
+    rng = np.random.default_rng(5)
+    for n in (1, 3, 12, 40, 400):
+        for _ in range(12):
+            t = "".join(rng.choice(["a", "the", "ing", " ", "s", "tion", "er", "  ", "on", "q", "e", "日"], n))
+            assert list(m.encode(t)) == sp.encode(t), t
+
+
+@pytest.mark.parametrize("rules", [{"precompiled_charsmap": b"x"}, {"remove_extra_whitespaces": True}, {"escape_whitespaces": False}])
+def test_models_that_normalise_are_refused(rules):
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    pieces = [("<unk>", 0.0, 2), ("a", -1.0, 1)]
+    assert list(spiece.Model.of_proto(_proto(pb.TrainerSpec.UNIGRAM, pieces)).encode("a"))
+    with pytest.raises(ValueError):
+        spiece.Model.of_proto(_proto(pb.TrainerSpec.UNIGRAM, pieces, **rules))
+    with pytest.raises(ValueError):
+        spiece.Model.of_proto(_proto(pb.TrainerSpec.UNIGRAM, [*pieces, ("<x>", 0.0, 4)]))
+    with pytest.raises(ValueError):
+        spiece.Model.of_proto(_proto(pb.TrainerSpec.WORD, pieces))
+
+
 def test_language(spark, odd, none):
     net = langid.fit(odd)
     got = {r.doc_id: r for r in langid.predict(odd, net).collect()}
@@ -378,6 +423,31 @@ def test_warc_false_headers_are_found(spark, tmp_path, old, new):
         warc.read_index(spark, str(tmp_path / "z")).collect()
 
 
+def test_warc_files_round_trip(spark, tmp_path):
+    import gzip
+
+    df = spark.createDataFrame([(1, "u", b"one\r\n\r\n\xff\x00"), (2, "v", b"one\r\n\r\n\xff\x00"), (3, "w", b""), (4, None, bytes(range(256)) * 99), (5, "x", None)], "page_id bigint, url string, html binary")
+    warc.write_archive(df.repartition(2), str(tmp_path / "a"))
+    warc.export_files(spark, str(tmp_path / "a"), str(tmp_path / "files"))
+    got = warc.read_files(spark, str(tmp_path / "files")).collect()
+    assert not any(r.problem for r in got)
+    assert sorted(bytes(r.header) + bytes(r.block) + b"\r\n\r\n" for r in got) == sorted(bytes(r.record) for r in warc.read_records(spark, str(tmp_path / "a")).collect())
+    raw = b"".join(bytes(r.header) + bytes(r.block) + b"\r\n\r\n" for r in got)
+    (tmp_path / "odd").mkdir()
+    (tmp_path / "odd" / "whole.warc").write_bytes(raw)
+    (tmp_path / "odd" / "many.warc.gz").write_bytes(b"".join(gzip.compress(bytes(r.header) + bytes(r.block) + b"\r\n\r\n") for r in got))
+    (tmp_path / "odd" / "cut.warc").write_bytes(raw[:-9])
+    (tmp_path / "odd" / "none.warc").write_bytes(b"")
+    (tmp_path / "odd" / "text.warc").write_bytes(b"not one\r\n\r\n")
+    (tmp_path / "odd" / "cut.warc.gz").write_bytes(gzip.compress(raw)[:-40])
+    rows = {}
+    for r in warc.read_files(spark, str(tmp_path / "odd")).collect():
+        rows.setdefault(r.file.rsplit("/", 1)[1], []).append(r)
+    sizes = {k: (sum(r.problem is None for r in v), sum(r.problem is not None for r in v)) for k, v in rows.items()}
+    assert sizes["whole.warc"] == sizes["many.warc.gz"] == (5, 0) and sizes["cut.warc"] == (4, 1) and sizes["text.warc"] == (0, 1) and "none.warc" not in sizes
+    assert sizes["cut.warc.gz"][1] == 1
+
+
 def test_base32(spark):
     data = [bytes([i] * 20) for i in (0, 7, 255)]
     got = spark.createDataFrame([(d.hex(),) for d in data], "h string").select(warc.base32_of_hex(F.col("h")).alias("b")).collect()

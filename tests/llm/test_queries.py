@@ -80,19 +80,94 @@ def test_personal_data_against_brute_force(spark, sf, duck):
     assert total > 10
 
 
-def test_pipeline(spark, sf):
-    import corpus_pipeline as P
+def test_added_personal_data_against_brute_force(spark, sf, duck):
+    """Account numbers and nine-digit numbers by trying every place in turn."""
+    import re
+
+    from murmura.llm import pii
+
+    def sound(s):
+        return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+    def account_at(t, i):
+        if i and re.match(r"[A-Z0-9]", t[i - 1]) or not re.match(r"[A-Z]{2}[0-9]{2}", t[i : i + 4]):
+            return None
+        own = pii.IBAN_LENGTHS.get(t[i : i + 2])
+        best, chars, j = None, "", i
+        while j < len(t):
+            if not re.match(r"[A-Z0-9]", t[j]):
+                if t[j] != " " or not chars or j + 1 >= len(t) or not re.match(r"[A-Z0-9]", t[j + 1]):
+                    break
+                j += 1
+                continue
+            chars += t[j]
+            j += 1
+            follows = t[j : j + 1]
+            if 15 <= len(chars) <= 34 and len(chars) == (own or len(chars)) and sound(chars) and not re.match(r"[A-Za-z0-9]", follows):
+                best = j
+        return best
+
+    def spans(t):
+        out, i = [], 0
+        while i < len(t):
+            end = account_at(t, i)
+            if end:
+                out.append((i, "iban", end))
+            i = end or i + 1
+        for m in re.finditer(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])", t):
+            if m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000":
+                out.append((m.start(), "ssn", m.end()))
+        policy = pii.Policy()
+        return {f"{k}:{s}:{e}" for s, k, e in out if pii.score(t, s, k, e, policy) >= policy.least_score}
+
+    texts = dict(duck.sql("SELECT doc_id, text FROM documents").fetchall())
+    made = ["IBAN DE89 3704 0044 0532 0130 00 and GB82WEST12345698765432 OK", "account ZZ GB82 WEST 1234 5698 7654 33", "ssn 123-45-6789, not 000-12-3456 nor 123-00-4567", "bank NO9386011117947 X1", "DE89370400440532013000DE89370400440532013000"]
+    df = spark.createDataFrame([*texts.items(), *((-1 - i, t) for i, t in enumerate(made))], "doc_id bigint, text string")
+    every = {**texts, **{-1 - i: t for i, t in enumerate(made)}}
+    total = 0
+    for r in pii.scan(df, with_text=False).collect():
+        want = spans(every[r.doc_id] or "")
+        assert {x for x in r.spans.split(",") if x.startswith(("iban:", "ssn:"))} == want, r.doc_id
+        total += len(want)
+    assert total >= 4
+
+
+def test_language_prediction_against_plain_steps(spark, sf):
+    """Documents whose windows are labelled one position at a time, in float64 and without batches."""
+    import numpy as np
+
+    from murmura.llm import langid
 
-    assert [n for n, _ in P.STAGES] == ["quality", "line_dedup", "near_duplicates", "decontaminate", "encode"]
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    sizes = [docs.count()]
-    for _, stage in P.STAGES[:-1]:
-        out = stage(spark, docs, sf)
-        assert out.columns == docs.columns and out.dtypes == docs.dtypes
-        docs = spark.createDataFrame(out.collect(), out.schema)
-        sizes.append(docs.count())
-        assert docs.filter("n_chars <> length(text)").count() == 0
-    assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0.5 * sizes[0]
-    last = P.STAGES[-1][1](spark, docs, sf)
-    assert last.count() == sizes[-1]
-    assert P.run(spark, sf).count() == sizes[-1]
+    net = langid.fit(docs, settings=langid.Settings(hidden=8, window=40, margin=8, per_language=30))
+    s = net.s
+
+    def states(cell, data):
+        h, out = np.zeros(s.hidden), []
+        for byte in data:
+            row = cell.p["table"][byte].astype(float)
+            g = 1 / (1 + np.exp(-(row[: 2 * s.hidden] + h @ cell.p["gates"])))
+            z, r = g[: s.hidden], g[s.hidden :]
+            h = h + z * (np.tanh(row[2 * s.hidden :] + (r * h) @ cell.p["state"]) - h)
+            out.append(h)
+        return out
+
+    def plain(text):
+        t, total, n = text.encode("utf-8", "replace"), np.zeros(len(net.languages)), 0
+        for a in range(0, len(t), s.window):
+            low = max(0, a - s.margin)
+            w = t[low : a + s.window + s.margin]
+            f, b = states(net.cells[0], w), states(net.cells[1], w[::-1])[::-1]
+            for i in range(a - low, min(a - low + s.window, len(w))):
+                if langid.VOTES[w[i]]:
+                    z = np.concatenate([f[i], b[i]]) @ net.out["w"] + net.out["b"]
+                    total += z - np.log(np.exp(z).sum())
+                    n += 1
+        p = np.exp(total / n - (total / n).max())
+        return p / p.sum()
+
+    short = docs.filter("length(text) BETWEEN 30 AND 600").orderBy("doc_id").limit(15).cache()
+    got = {r.doc_id: r for r in langid.predict(short, net).collect()}
+    for d in short.collect():
+        p = plain(d.text)
+        assert got[d.doc_id].score == pytest.approx(p.max(), abs=1e-4) and got[d.doc_id].lang_pred == net.languages[int(p.argmax())]
