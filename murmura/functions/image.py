@@ -33,6 +33,53 @@ def get_extend(img: np.ndarray, y: int, x: int) -> int:
     return int(img[min(max(y, 0), img.shape[0] - 1), min(max(x, 0), img.shape[1] - 1)])
 
 
+#: What a read outside of an image gives.
+OUTSIDE = ("error", "zero", "extend")
+
+
+def inside(img: np.ndarray, y, x):
+    """Whether places lie in an image; for single places and arrays of them, as all that follow."""
+    y, x = np.asarray(y), np.asarray(x)
+    return (y >= 0) & (y < img.shape[0]) & (x >= 0) & (x < img.shape[1])
+
+
+def pixels(img: np.ndarray, y, x, outside: str = "error", unit: bool = False) -> np.ndarray:
+    """Pixels (of all channels) at places, as bytes or of [0, 1]."""
+    y, x = np.asarray(y), np.asarray(x)
+    within = inside(img, y, x)
+    if outside not in OUTSIDE:
+        raise ValueError(f"no rule {outside!r}; known: {', '.join(OUTSIDE)}")
+    if outside == "error" and not within.all():
+        raise IndexError("a place outside of the image")
+    got = img[np.clip(y, 0, img.shape[0] - 1), np.clip(x, 0, img.shape[1] - 1)]
+    if outside == "zero":
+        got = np.where(within.reshape(within.shape + (1,) * (got.ndim - within.ndim)), got, 0).astype(np.uint8)
+    return to_unit(got) if unit else got
+
+
+def set_pixels(img: np.ndarray, y, x, value, outside: str = "error", unit: bool = False) -> np.ndarray:
+    """A copy with pixels set to bytes or values of [0, 1]; ``outside``: an error, or ``zero`` to leave those places out."""
+    y, x = np.atleast_1d(y), np.atleast_1d(x)
+    within = inside(img, y, x)
+    if outside == "error" and not within.all():
+        raise IndexError("a place outside of the image")
+    value = to_bytes(np.asarray(value)) if unit else np.asarray(value)
+    value = np.broadcast_to(value, (len(y), *img.shape[2:]))
+    out = img.copy()
+    out[y[within], x[within]] = value[within]
+    return out
+
+
+def image_to_matrix(img: np.ndarray) -> np.ndarray:
+    """A grey image as values of [0, 1]."""
+    return to_unit(img).astype(float)
+
+
+def matrix_to_image(m: np.ndarray) -> np.ndarray:
+    """Values of [0, 1] as a grey image, others cut off."""
+    return to_bytes(np.clip(m, 0, 1))
+
+
 def greyscale(img: np.ndarray) -> np.ndarray:
     return to_bytes(to_unit(img).mean(2))
 

@@ -132,6 +132,11 @@ def filter_bank(bins: int, sample_rate: float, low: float, high: float, filters:
     return out
 
 
+def filter_bank_image(bank: np.ndarray) -> np.ndarray:
+    """A picture of the filters, a column to each: weights as brightness."""
+    return (np.clip(bank.T, 0, 1).astype(np.float32) * np.float32(255)).astype(np.uint8)
+
+
 def dct(x: np.ndarray) -> np.ndarray:
     m = x.shape[-1]
     j, i = np.arange(1, m + 1)[:, None], np.arange(1, m + 1)[None]

@@ -72,12 +72,10 @@ def nearest(df: DataFrame, centers: list[list[float]], features: str = "features
 def lloyd(df: DataFrame, centers: list[list[float]], iterations: int = 100, features: str = "features", digits: int | None = None) -> tuple[list[list[float]], int]:
     """(centers, rounds): until the mean distance stays the same. A center without members becomes the zero vector.
 
-    The vectors are written once, so that a round reads them and not what they were
-    made from. Each round is one aggregation to k x d numbers; nothing else comes to
-    the driver.
+    Each round is one aggregation to k x d numbers; nothing else comes to the driver.
+    Rounds read the table anew: ``cut`` it first if it takes work to make.
     """
     k, d, before, rounds = len(centers), len(centers[0]), None, 0
-    df = cut(df.select(features))
     for rounds in range(1, iterations + 1):
         near = nearest(df, centers, features, digits)
         own = near.groupBy("cluster").agg(F.sum("distance").alias("t"), F.count("*").alias("n"), *([F.array(*(F.avg(F.get(features, F.lit(i))) for i in range(d))).alias("m")] if d <= WIDE else []))

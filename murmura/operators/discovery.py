@@ -35,6 +35,7 @@ class Bags:
     x: np.ndarray
     rng: np.random.Generator | None = None
     compat: bool = False
+    near: tuple = ((), None)  # picks, and each instance's distance to the nearest of theirs
 
     def __len__(self) -> int:
         return len(self.labels)
@@ -76,14 +77,19 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator | None = None, iterat
         near = np.minimum(near, ((x - x[i]) ** 2).sum(1))
     c, before = np.array(centers), None
     for _ in range(iterations):
-        d = ((x[:, None] - c[None]) ** 2).sum(2)
+        d = _distances(x, c)
         at = d.argmin(1)
         mean = d.min(1).mean()
         if mean == before:
             break
         before = mean
         c = np.array([x[at == j].mean(0) if (at == j).any() else np.zeros(x.shape[1]) for j in range(len(c))])
-    return c, ((x[:, None] - c[None]) ** 2).sum(2).argmin(1)
+    return c, _distances(x, c).argmin(1)
+
+
+def _distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """Squared distances by (row, center), a center at a time: no array of rows by centers by dimensions is made."""
+    return np.stack([((x - c) ** 2).sum(1) for c in centers], 1)
 
 
 def _generator(b: Bags) -> np.random.Generator:
@@ -145,14 +151,21 @@ def cluster_coverage(b: Bags, n: int, k: int = CODEBOOK) -> list[int]:
     return _greedy_sets(_cluster_sets(b, k)[0], n)
 
 
-def _nearest(b: Bags, x: np.ndarray, picks: list[int]) -> np.ndarray:
-    covered = b.x[np.isin(b.bag, picks)]
-    return b.distances(x, covered).min(1) if len(covered) and len(x) else np.full(len(x), np.inf)
+def _nearest(b: Bags, i: int, picks: list[int]) -> np.ndarray:
+    """Distances from a bag's instances to the nearest of the picked bags; a running minimum, to which a step adds its own pick alone."""
+    before, near = b.near
+    if near is None or tuple(picks[: len(before)]) != before:
+        before, near = (), np.full(len(b.x), np.inf)
+    for p in picks[len(before) :]:
+        if len(own := b.of(p)):
+            near = np.minimum(near, b.distances(b.x, own).min(1))
+    b.near = (tuple(picks), near)
+    return near[b.bag == i]
 
 
 def _far_score(b: Bags, i: int, picks: list[int], k: int) -> float:
     """Sum of the k largest distances from a bag's instances to the covered ones."""
-    d = np.sort(_nearest(b, b.of(i), picks))[::-1][:k]
+    d = np.sort(_nearest(b, i, picks))[::-1][:k]
     return float(np.minimum(d, 3.4e38).sum()) if len(d) else -1.0
 
 
@@ -161,7 +174,7 @@ def greedy_within(b: Bags, i: int, picks: list[int], k: int) -> float:
     x = b.of(i)
     if not len(x):
         return -1.0
-    near, total, left = _nearest(b, x, picks), 0.0, np.ones(len(x), bool)
+    near, total, left = _nearest(b, i, picks), 0.0, np.ones(len(x), bool)
     for _ in range(min(k, len(x))):
         d = np.where(left, near, -1)
         j = len(d) - 1 - int(d[::-1].argmax())

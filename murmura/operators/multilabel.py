@@ -165,32 +165,76 @@ CLASSIFIERS: dict[str, Callable] = {
 }
 
 
-def cross_validated(examples: DataFrame, classifier: str, num_classes: int, folds: list[int], repetitions: int = 1, seed: int = 0, **options) -> DataFrame:
-    """(repetition, fold, example_id, labels, scores, predicted) of k-fold predictions.
+def predictions(examples: DataFrame, classifier: str, num_classes: int, splits: list[tuple[str, list[str], list[str]]], repetitions: int = 1, seed: int = 0, **options) -> DataFrame:
+    """(repetition, split, example_id, labels, scores, predicted) of every split's test rows.
 
-    ``examples``: example_id, fold, labels, features. A (repetition, fold) pair is
-    one task; the table is broadcast after its size is checked.
+    ``examples``: example_id, partition, labels, features; a split names the partitions
+    it trains on and those it tests. A (repetition, split) pair is one task; the table
+    is broadcast after its size is checked.
     """
     spark = examples.sparkSession
     n, d = examples.selectExpr("count(*)", "max(size(features))").first()
     if n * (d or 0) * 8 > MAX_MATRIX_BYTES:
         raise ValueError("examples don't fit a broadcast")
-    t = examples.select("example_id", "fold", "labels", "features").toPandas().sort_values("example_id")
-    shared = spark.sparkContext.broadcast((t["example_id"].to_numpy(), t["fold"].to_numpy(), [list(map(int, y)) for y in t["labels"]], np.array(t["features"].tolist(), float)))
+    t = examples.select("example_id", F.col("partition").cast("string").alias("partition"), "labels", "features").toPandas().sort_values("example_id")
+    shared = spark.sparkContext.broadcast((t["example_id"].to_numpy(), t["partition"].to_numpy(), [list(map(int, y)) for y in t["labels"]], np.array(t["features"].tolist(), float)))
+    parts = {name: (train, test) for name, train, test in splits}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, fold, sets, x = shared.value
+        ids, own, sets, x = shared.value
         hot = np.array([[c in set(y) for c in range(num_classes)] for y in sets], int)
         for b in batches:
-            for rep, f in zip(b["repetition"], b["fold"], strict=True):
-                test = fold == f
-                model = CLASSIFIERS[classifier](seed=seed + int(rep), **options).fit(x[~test], hot[~test])
+            for rep, name in zip(b["repetition"], b["split"], strict=True):
+                train, test = (np.isin(own, p) for p in parts[name])
+                if not test.any():
+                    continue
+                model = CLASSIFIERS[classifier](seed=seed + int(rep), **options).fit(x[train], hot[train])
                 s = model.scores(x[test])
                 hard = s > model.thresholds
-                yield pd.DataFrame({"repetition": rep, "fold": f, "example_id": ids[test], "labels": [y for y, q in zip(sets, test, strict=True) if q], "scores": list(s), "predicted": [list(map(int, np.nonzero(h)[0])) for h in hard]})
+                yield pd.DataFrame({"repetition": rep, "split": name, "example_id": ids[test], "labels": [y for y, q in zip(sets, test, strict=True) if q], "scores": list(s), "predicted": [list(map(int, np.nonzero(h)[0])) for h in hard]})
+
+    tasks = spark.createDataFrame([(r, name) for r in range(repetitions) for name in parts], "repetition int, split string").repartition(max(1, repetitions * len(parts)))
+    return tasks.mapInPandas(run, "repetition int, split string, example_id bigint, labels array<int>, scores array<double>, predicted array<int>")
+
+
+def k_fold(folds: list[int]) -> list[tuple[str, list[str], list[str]]]:
+    """Each fold tested on what the others train."""
+    names = [str(f) for f in folds]
+    return [(f, [x for x in names if x != f], [f]) for f in names]
+
+
+def train_val_test() -> list[tuple[str, list[str], list[str]]]:
+    """One split: ``train`` against ``test``. Validation rows are left out, as no parameter is tuned on them."""
+    return [("test", ["train"], ["test"])]
+
 
-    tasks = spark.createDataFrame([(r, f) for r in range(repetitions) for f in folds], "repetition int, fold int").repartition(max(1, repetitions * len(folds)))
-    return tasks.mapInPandas(run, "repetition int, fold int, example_id bigint, labels array<int>, scores array<double>, predicted array<int>")
+def cross_validated(examples: DataFrame, classifier: str, num_classes: int, folds: list[int], repetitions: int = 1, seed: int = 0, **options) -> DataFrame:
+    """(repetition, fold, example_id, labels, scores, predicted) of k-fold predictions. ``examples``: example_id, fold, labels, features."""
+    got = predictions(examples.withColumnRenamed("fold", "partition"), classifier, num_classes, k_fold(folds), repetitions, seed, **options)
+    return got.withColumn("split", F.col("split").cast("int")).withColumnRenamed("split", "fold")
+
+
+#: The names of the two ways to partition an experiment.
+MODES = ("k-fold", "train-val-test")
+
+
+def experiment(examples: DataFrame, classifiers: list[str], num_classes: int, mode: str, folds: int | None = None, repetitions: int = 10, dataset: str = "", options: dict[str, dict] | None = None) -> DataFrame:
+    """(dataset, classifier, repetition, hamming_loss, rank_loss, set01_loss, one_error, coverage, accuracy, tp, fp, tn, fn) by the partitioning that ``mode`` names.
+
+    Means are over all tested rows of a repetition, whatever fold they are in.
+    ``options``: of each classifier.
+    """
+    if mode not in MODES:
+        raise ValueError(f"no partitioning {mode!r}; known: {', '.join(MODES)}")
+    splits = k_fold(list(range(folds or 0))) if mode == "k-fold" else train_val_test()
+    out = None
+    for name in classifiers:
+        p = predictions(examples, name, num_classes, splits, repetitions, **(options or {}).get(name, {}))
+        p = p.withColumn("c", confusion(F.col("predicted"), F.col("labels"), num_classes))
+        counts = p.groupBy("repetition").agg(*(F.sum(f"c.{k}").alias(k) for k in ("tp", "fp", "tn", "fn")))
+        own = metric_means(p, "scores", "predicted", "labels", num_classes, ["repetition"]).join(counts, "repetition").select(F.lit(dataset).alias("dataset"), F.lit(name).alias("classifier"), "*")
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def split_experiment(spark: SparkSession, train: tuple, test: tuple, classifier: str, **options) -> dict[str, float]:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmura.operators.bags import running_total
+from murmura.sources import text
 
 #: Codes that are no species, in label reports.
 SKIPPED_CODES = ("UNWA", "UNTH", "UNKN", *(f"UNKN{i}" for i in range(1, 38)))
@@ -88,6 +89,11 @@ def halves(df: DataFrame, key: list[str], seed: int = 0) -> DataFrame:
     return df.withColumn("half", (F.instr(F.lit("13579bdf"), F.right(_shuffled(key, seed), F.lit(1))) > 0).cast("int"))
 
 
+def training_examples(bags: DataFrame, test: Column, n: int = 20, seed: int = 0) -> DataFrame:
+    """``n`` bags of the training half to mark by hand, in an order that a hash gives."""
+    return random_rows(bags.filter(~test), n, ["bag_id"], seed)
+
+
 def reordered(order: DataFrame, labels: DataFrame, key: str = "filename") -> DataFrame:
     """``order`` (place, key) with each key's labels, null where there are none."""
     return order.join(labels, key, "left").orderBy("place")
@@ -124,6 +130,19 @@ def solution(bags: DataFrame, num_classes: int, public: Column, labels: str = "l
     return wide.select(F.col("bag_id").alias("rec_id"), "species", F.array_contains(labels, F.col("species")).cast("int").alias("probability"), "usage")
 
 
+def write_competition(path: str, bags: DataFrame, num_classes: int, test: Column, public: Column, scored: DataFrame | None = None) -> None:
+    """The files of a competition, as folders of ``path``: solution and sample submission of the test bags, labels with those hidden, the two folds, and a baseline's scores."""
+    own = bags.withColumn("test_", test)
+    tested = own.filter("test_").drop("test_")
+    order = ["rec_id", "species"]
+    text.write_table(solution(tested, num_classes, public), f"{path}/solution", order, "rec_id,species,probability,Usage")
+    text.write_table(sample_submission(tested, num_classes).withColumnRenamed("rec_id", "bag_id"), f"{path}/sample_submission", ["bag_id", "species"], "bag_id,species,probability")
+    text.write_table(hidden_labels(own, F.col("test_")), f"{path}/bag_labels_test_hidden", ["bag_id"], text.HEADERS["bag_labels"])
+    text.write_table(own.select("bag_id", F.col("test_").cast("int").alias("fold")), f"{path}/folds", ["bag_id"], text.HEADERS["folds"])
+    if scored is not None:
+        text.write_table(long_scores(scored), f"{path}/baseline", order, "rec_id,species,probability")
+
+
 def sample_submission(bags: DataFrame, num_classes: int) -> DataFrame:
     return bags.select(F.col("bag_id").alias("rec_id"), F.explode(F.sequence(F.lit(0), F.lit(num_classes - 1))).alias("species"), F.lit(0).alias("probability"))
 
@@ -148,5 +167,18 @@ def html_bars(counts: DataFrame, label: str, value: str, title: str, most: int =
     return f"<html><head><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1><table>{bars}</table></body></html>"
 
 
+def html_presence(presence: DataFrame, title: str, most: int = 100_000) -> str:
+    """A page with a row for each site and date and a cell for each hour, filled where there is a recording. More than ``most`` rows and hours are refused."""
+    days = presence.groupBy("site", "date").agg(F.array_sort(F.collect_list(F.when(F.col("present"), F.col("hour")))).alias("hours")).orderBy("site", "date").limit(most // 24 + 1).collect()  # 24 to a day
+    if len(days) > most // 24:
+        raise ValueError(f"a report of more than {most} cells")
+    from html import escape
+
+    cell = lambda on: f'<td style="width:10px;background:{"#468" if on else "#eee"}"></td>'
+    rows = "".join(f"<tr><td>{escape(str(r.site))}</td><td>{r.date}</td>{''.join(cell(h in set(r.hours)) for h in range(24))}</tr>" for r in days)
+    head = "".join(f"<th>{h}</th>" for h in range(24))
+    return f"<html><head><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1><table><tr><th>site</th><th>date</th>{head}</tr>{rows}</table></body></html>"
+
+
 def unpivoted(wide: DataFrame, key: str = "class") -> DataFrame:
     return wide.unpivot([key], [c for c in wide.columns if c != key], "method", "count")

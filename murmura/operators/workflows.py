@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from murmura.operators import audio, discovery, forest, traversal
 from murmura.operators import bags as B
 from murmura.operators import recordings as R
+from murmura.session import cut
 from murmura.sources import text, wav
 
 
@@ -39,7 +40,7 @@ def discover_segments(segments: DataFrame, method: str, n: int, seed: int = 0) -
     key = ["bag_id", "segment_id"]
     if method == "random":
         return [tuple(r) for r in R.random_rows(segments.select(*key), n, key, seed).collect()]
-    scaled = B.rescaled(segments)
+    scaled = cut(B.rescaled(segments))
     if method == "farthest":
         return traversal.farthest_first(scaled, n, key)
     centers, _ = B.lloyd(scaled, B.plus_plus(scaled, n, key, seed=seed))
@@ -58,14 +59,14 @@ def discover_chunks(histograms: DataFrame, method: str, n: int, seed: int = 0) -
 
 def histogram_of_segments(bags: DataFrame, segments: DataFrame, k: int = 100, iterations: int = 100, seed: int = 0) -> DataFrame:
     """(bag_id, features): rescale, learn a codebook, count."""
-    scaled = B.rescaled(segments)
+    scaled = cut(B.rescaled(segments))
     centers, _ = B.lloyd(scaled, B.plus_plus(scaled, k, ["bag_id", "segment_id"], seed=seed), iterations)
     return B.bag_histograms(bags, B.nearest(scaled, centers), len(centers))
 
 
 def cluster_segments(segments: DataFrame, k: int = 100, seed: int = 0) -> DataFrame:
     """(bag_id, segment_id, cluster)."""
-    scaled = B.rescaled(segments)
+    scaled = cut(B.rescaled(segments))
     centers, _ = B.lloyd(scaled, B.plus_plus(scaled, k, ["bag_id", "segment_id"], seed=seed))
     return B.nearest(scaled, centers).select("bag_id", "segment_id", "cluster")
 

@@ -19,6 +19,7 @@ from murmura.operators import recordings as R
 from murmura.operators import traversal as T
 from murmura.plans import views
 from murmura.plans.registry import query
+from murmura.session import cut
 
 DIM, K, STEPS = 64, 8, 3
 
@@ -50,7 +51,7 @@ def _lloyd_sql(points: str, dim: int, k: int, steps: int) -> str:
     _FLAT + ", " + _lloyd_sql("sc", DIM, K, STEPS) + f", n AS (SELECT bag_id, c, count(*) AS n FROM a{STEPS + 1} GROUP BY ALL), t AS (SELECT bag_id, sum(n) AS t FROM n GROUP BY bag_id) SELECT t.bag_id, j AS cluster, round(coalesce(n.n, 0) / t.t, 6) AS share FROM t CROSS JOIN range({K}) g(j) LEFT JOIN n ON n.bag_id = t.bag_id AND n.c = j",
 )
 def bag_histogram_of_segments(spark, sf_dir):
-    seg = B.rescaled(views.segments(spark, sf_dir).select("bag_id", "segment_id", "features"))
+    seg = cut(B.rescaled(views.segments(spark, sf_dir).select("bag_id", "segment_id", "features")))
     centers, _ = B.lloyd(seg, B.first_by_key(seg, K, ["bag_id", "segment_id"]), STEPS, digits=9)
     hist = B.bag_histograms(seg.select("bag_id").distinct(), B.nearest(seg, centers, digits=9), K)
     return hist.select("bag_id", F.posexplode("features").alias("cluster", "share")).select("bag_id", F.col("cluster").cast("bigint").alias("cluster"), r6("share").alias("share"))
@@ -58,7 +59,7 @@ def bag_histogram_of_segments(spark, sf_dir):
 
 @query("kmeans_representatives", _FLAT + ", " + _lloyd_sql("sc", DIM, K, STEPS) + f" SELECT c AS cluster, bag_id, segment_id, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY c ORDER BY d, bag_id, segment_id) AS r FROM a{STEPS + 1}) WHERE r = 1")
 def kmeans_representatives(spark, sf_dir):
-    seg = B.rescaled(views.segments(spark, sf_dir).select("bag_id", "segment_id", "features"))
+    seg = cut(B.rescaled(views.segments(spark, sf_dir).select("bag_id", "segment_id", "features")))
     centers, _ = B.lloyd(seg, B.first_by_key(seg, K, ["bag_id", "segment_id"]), STEPS, digits=9)
     got = B.representatives(B.nearest(seg, centers, digits=9), ["bag_id", "segment_id"])
     return got.select(F.col("cluster").cast("bigint").alias("cluster"), "bag_id", "segment_id", r6("distance").alias("distance"))

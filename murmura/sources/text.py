@@ -33,7 +33,12 @@ def lines(spark: SparkSession, path: str, header: str | None = None, strict: boo
         return raw
     if strict and not raw.filter(F.col("line") == header).limit(1).count() and raw.limit(1).count():
         raise ValueError(f"{path} has no header {header!r}")
-    return raw.filter(F.col("line") != header) if strict else raw.filter(~F.col("line").startswith(header.split(",")[0]))
+    return _only(raw, F.col("line") != header if strict else ~F.col("line").startswith(header.split(",")[0]))
+
+
+def _only(raw: DataFrame, wanted: Column) -> DataFrame:
+    """The lines that are wanted. Others become null before they are left out, so that no cast meets one, in whatever order a plan tests its conditions."""
+    return raw.select(F.when(wanted, F.col("line")).alias("line")).filter("line IS NOT NULL")
 
 
 def _parts() -> Column:
@@ -109,12 +114,12 @@ def read_experiment(spark: SparkSession, path: str, compat: bool = False) -> tup
     kv = {r.k.strip(): r.v.strip() for r in raw.filter("line NOT LIKE '%;%' AND line LIKE '%=%'").select(F.trim(F.substring_index("line", "=", 1)).alias("k"), F.expr("substr(line, instr(line, '=') + 1)").alias("v")).filter(F.col("k").isin(*SETTINGS)).dropDuplicates(["k"]).collect()}
     mode, _, k = kv.get("partition", "").partition(",")
     settings = {"num_classes": int(kv["num classes"]), "feature_dim": int(kv["feature dim"]), "partition": mode.strip(), "folds": int(k) if k.strip() else None}
-    classes = raw.filter(r"line RLIKE '^[0-9]+,[^;]*$'").select(_cell(0, "int").alias("class_id"), _cell(1, "string").alias("name"))
+    classes = _only(raw, F.col("line").rlike("^[0-9]+,[^;]*$")).select(_cell(0, "int").alias("class_id"), _cell(1, "string").alias("name"))
     p = F.split("line", ";", -1)
     labels = F.filter(F.split(F.get(p, F.lit(2)), ","), lambda x: x != "").cast("array<int>")
     if compat:
         labels = F.when(F.size(labels) == 0, F.array(F.lit(0))).otherwise(labels)
-    examples = raw.filter(r"line RLIKE '^[0-9]+;'").select(
+    examples = _only(raw, F.col("line").rlike("^[0-9]+;")).select(
         F.get(p, F.lit(0)).cast("int").alias("example_id"), F.get(p, F.lit(1)).alias("partition"), labels.alias("labels"), F.filter(F.split(F.get(p, F.lit(3)), ","), lambda x: x != "").cast("array<double>").alias("features")
     )
     return settings, classes, examples

@@ -161,3 +161,23 @@ def test_random_draws_follow_keys(spark):
     r = df.agg(F.avg("g"), F.stddev("g"), F.sum((F.col("m") == 2).cast("int")), F.sum((F.col("m") == 1).cast("int")), F.avg("u")).first()
     assert abs(r[0] - 3) < 0.06 and abs(r[1] - 2) < 0.06 and abs(r[2] - 15000) < 300 and r[3] == 0 and abs(r[4] - 0.5) < 0.01
     assert one(spark, V.multinomial_of(arr(0, 0), F.lit(1)))[0] is None and df.collect() == df.collect()
+
+
+def test_pixels():
+    img = np.arange(12, dtype=np.uint8).reshape(3, 4)
+    assert image.pixels(img, 1, 2) == 6 and image.pixels(img, [0, -1], [0, 9], "zero").tolist() == [0, 0]
+    assert image.pixels(img, [-5, 9], [9, -5], "extend").tolist() == [3, 8] and image.pixels(img, 2, 3, unit=True) == np.float32(11) / np.float32(255)
+    with pytest.raises(IndexError):
+        image.pixels(img, 3, 0)
+    with pytest.raises(ValueError):
+        image.pixels(img, 0, 0, "wrap")
+    rgb = np.zeros((2, 2, 3), np.uint8)
+    out = image.set_pixels(rgb, [0, 5], [1, 5], (1, 2, 3), "zero")
+    assert out[0, 1].tolist() == [1, 2, 3] and out.sum() == 6 and rgb.sum() == 0
+    assert image.pixels(out, [0, 7], [1, 7], "zero").tolist() == [[1, 2, 3], [0, 0, 0]]
+    assert image.set_pixels(img, 0, 0, 0.5, unit=True)[0, 0] == 127
+    with pytest.raises(IndexError):
+        image.set_pixels(img, 9, 9, 1)
+    assert image.matrix_to_image(image.image_to_matrix(img)).shape == img.shape and image.matrix_to_image(np.array([[2.0, -1.0]])).tolist() == [[255, 0]]
+    bank = signal.filter_bank_image(signal.filter_bank(64, 16000, 100, 8000))
+    assert bank.shape == (64, 24) and bank.max() > 200

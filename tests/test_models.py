@@ -158,3 +158,99 @@ def test_stream_counts(spark, tmp_path):
         q.awaitTermination(120)
     assert [r.n for r in spark.table("c1").orderBy("hour_start").collect()] == [3, 3, 3]
     assert spark.table("c2").count() == 3 and spark.table("c3").count() == 9
+
+
+def _naive(bags, n, score, last=False):
+    """Bags picked one by one by a score that is worked out anew from all covered instances."""
+    picks = [next((i for i, b in enumerate(bags) if len(b)), 0)]
+    while len(picks) < min(n, len(bags)):
+        covered = [x for i in picks for x in bags[i]]
+        best, at = None, None
+        for i in range(len(bags)):
+            if i not in picks:
+                v = score(bags[i], covered)
+                if best is None or v > best or last and v >= best:
+                    best, at = v, i
+        picks.append(at)
+    return picks
+
+
+def _d2(a, b):
+    return float(sum((x - y) ** 2 for x, y in zip(a, b, strict=True)))
+
+
+def _largest(k):
+    return lambda own, covered: sum(sorted((min(_d2(x, c) for c in covered) for x in own), reverse=True)[:k]) if len(own) else -1.0
+
+
+def _within(k):
+    def score(own, covered):
+        if not len(own):
+            return -1.0
+        left, held, total = list(own), list(covered), 0.0
+        for _ in range(min(k, len(own))):
+            d = [min(_d2(x, c) for c in held) for x in left]
+            j = max(range(len(d)), key=lambda i: (d[i], i))
+            total += d[j]
+            held.append(left.pop(j))
+        return total
+
+    return score
+
+
+@pytest.mark.parametrize("method, score, last", [("farthest2", _largest(1), False), ("farthest3", _largest(2), False), ("MIFF", _within(1), True), ("MIFFk1", _within(1), True), ("MIFFk2", _within(2), True), ("instance_coverage", lambda own, covered: sum(_d2(x, c) ** 0.5 for x in own for c in covered), True)])
+def test_discovery_against_plain_versions(method, score, last):
+    from murmura.operators.discovery import METHODS, Bags
+
+    for seed in range(4):
+        rng = np.random.default_rng(seed)
+        sizes = rng.integers(0, 5, 14)
+        own = [rng.normal(size=(k, 3)) for k in sizes]
+        b = Bags(np.arange(14), [set() for _ in own], np.repeat(np.arange(14), sizes), np.concatenate(own))
+        full = sum(k > 0 for k in sizes)
+        got = METHODS[method](b, full)
+        assert [int(i) for i in got] == _naive(own, full, score, last)
+
+
+def test_instance_walk_against_a_plain_version():
+    from murmura.operators.discovery import METHODS, Bags
+
+    rng = np.random.default_rng(3)
+    sizes = rng.integers(1, 4, 10)
+    x, bag = rng.normal(size=(sizes.sum(), 3)), np.repeat(np.arange(10), sizes)
+    walk = [0]
+    while len(walk) < min(4 * 3, len(x)):
+        walk.append(max((i for i in range(len(x)) if i not in walk), key=lambda i: (min(_d2(x[i], x[j]) for j in walk), -i)))
+    want = list(dict.fromkeys(int(bag[i]) for i in walk))[:3]
+    assert METHODS["farthest"](Bags(np.arange(10), [set() for _ in sizes], bag, x), 3)[: len(want)] == want
+
+
+def test_best_split_against_every_threshold():
+    from murmura.operators.forest import best_split
+
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        x, y = rng.normal(size=(25, 3)), rng.integers(0, 3, 25)
+
+        def impurity(f, t, x=x, y=y):
+            total = 0.0
+            for side in (y[x[:, f] < t], y[x[:, f] >= t]):
+                total += len(side) * (1 - sum((np.mean(side == c)) ** 2 for c in range(3))) if len(side) else 0
+            return total / len(y)
+
+        every = [(impurity(f, t), f, t) for f in range(3) for a, b in zip(np.sort(x[:, f]), np.sort(x[:, f])[1:], strict=False) for t in [(a + b) / 2]]
+        f, t = best_split(x, y, np.arange(3), 3)
+        # with different values, that neighbours of one label aren't split never hides a better threshold
+        assert impurity(f, t) <= min(every)[0] + 1e-9
+
+
+def test_best_splits_by_feature(spark):
+    from murmura.operators.forest import best_split, best_splits
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(80, 5))
+    y = (x[:, 3] + 0.3 * rng.normal(size=80) > 0).astype(int)
+    got = {r.feature: r for r in best_splits(spark, x, y, 2).collect()}
+    assert set(got) == set(range(5)) and min(got.values(), key=lambda r: r.gini).feature == 3
+    for f, r in got.items():
+        assert (f, r.threshold) == best_split(x, y, np.array([f]), 2)
