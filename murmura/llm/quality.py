@@ -82,10 +82,10 @@ class LineJudge:
     def __init__(self, rules: LineRules):
         self.rules = rules
         self.end = re.compile(rules.sentence_end)
-        self.boiler = re.compile(f"(?i:{rules.boilerplate_pattern()})", re.ASCII)
+        self.boiler = tuple(x.encode().lower() for x in rules.boilerplate)
 
-    def fails(self, line: str, n_words: int) -> str | None:
-        """The name of the first rule that a line with words fails, or None."""
+    def fails(self, line: str, n_words: int, raw: bytes | None = None) -> str | None:
+        """The name of the first rule that a line with words fails, or None. ``raw``: the line in UTF-8, if it is at hand."""
         r = self.rules
         noise = sum(map(line.count, r.noise))
         if noise >= r.noise_least and 2 * noise > n_words or not self.end.search(line):
@@ -93,7 +93,8 @@ class LineJudge:
         parts = sum(map(line.count, r.separators))
         if parts >= r.separators_least and n_words <= r.words_per_part * (parts + 1):
             return "navigation"
-        return "boilerplate" if self.boiler.search(line) else None
+        low = (line.encode("utf-8", "surrogatepass") if raw is None else raw).lower()  # of bytes only A-Z change
+        return "boilerplate" if any(x in low for x in self.boiler) else None
 
 
 def word_chars(text: str) -> int:
@@ -124,14 +125,15 @@ def judge_text(text: str | None, judge: LineJudge) -> tuple:
     seen: set[str] = set()
     kept_lines, dup, n_lines, removed, lost = [], 0, 0, 0, 0
     for line in text.split("\n"):
-        size = len(line.encode("utf-8", "surrogatepass").split())
+        raw = line.encode("utf-8", "surrogatepass")
+        size = len(raw.split())
         if not size:
             kept_lines.append(line)
             continue
         n_lines += 1
         dup += line in seen
         seen.add(line)
-        if judge.fails(line, size):
+        if judge.fails(line, size, raw):
             removed += 1
             lost += word_chars(line)
         else:
