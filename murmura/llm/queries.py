@@ -1,11 +1,11 @@
-"""The ten operators over their whole tables, with production parameters."""
+"""The thirteen operators over their whole tables, with production parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmura.llm import decontam, jaccard, langid, linedup, pii, quality, spiece, sql, tokens, urls, warc
+from murmura.llm import audit, codes, decontam, jaccard, langid, linedup, pii, quality, simhash, spiece, sql, tokens, urls, warc
 from murmura.llm.common import table
 
 URL_RULES = (
@@ -63,6 +63,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id").drop("label")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "fingerprint", "component_id")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
