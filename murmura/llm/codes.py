@@ -2,7 +2,7 @@
 
 Components become integers, so that all sums and distances are exact and results
 don't depend on how rows are dealt to tasks. The nearest entry is found by annular
-norm pruning: entries lie sorted by norm; the one next to a part in norm gives a
+norm pruning: entries lie sorted by norm; those next to a part in norm give a
 first distance d; an entry whose norm differs by more than d can't be nearer, so two
 binary searches cut the annulus of those that can, bounds included, and only these
 are compared exactly.
@@ -39,6 +39,8 @@ from murmura.session import scratch_dir
 
 #: Rows that a worker compares at a time.
 ROWS = 2048
+#: Entries on either side of a part, in order of norm, that give its first distance.
+NEXT = 4
 #: Labels and bytes of labels up to which their sums are broadcast.
 MAX_LABELS, MAX_LABEL_BYTES = 100_000, 16 << 20
 SALTS = 64
@@ -67,8 +69,8 @@ class Codebook:
         """From and to which place in order of norm the entries lie that may be nearest."""
         norm = np.sqrt((x * x).sum(1).astype(float))
         at = np.searchsorted(self.norms, norm)
-        above, below = np.minimum(at, len(self.norms) - 1), np.maximum(at - 1, 0)
-        best = np.minimum(((x - self.by_norm[above]) ** 2).sum(1), ((x - self.by_norm[below]) ** 2).sum(1))
+        around = np.clip(at[:, None] + np.arange(-NEXT, NEXT), 0, len(self.norms) - 1)
+        best = ((x[:, None] - self.by_norm[around]) ** 2).sum(2).min(1)
         reach = np.sqrt(best.astype(float))
         reach += 1e-9 * (reach + norm) + 1e-6  # bounds are inclusive, rounding included
         return np.searchsorted(self.norms, norm - reach, "left"), np.searchsorted(self.norms, norm + reach, "right")
