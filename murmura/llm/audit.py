@@ -38,7 +38,8 @@ MASKS = 1 << len(FILTERS)
 UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Characters of text that a task of step 1 holds before it hands them on.
 HELD = 32 << 20
-MAX_PARTITIONS = 20_000
+#: Bytes of text to a partition of step 2, at most about.
+ROUTED = 256 << 20
 COUNTS = ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
 
 
@@ -121,9 +122,9 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     """(id, part, mask, n): how many rows of an id and a part have which verdicts."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"))
-    rdd = rows.rdd
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(rdd.getNumPartitions(), MAX_PARTITIONS))
-    routed = rdd.mapPartitions(judged(rules)).repartitionAndSortWithinPartitions(n, lambda key: key[0])
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // ROUTED))
+    routed = rows.rdd.mapPartitions(judged(rules)).repartitionAndSortWithinPartitions(n, lambda key: key[0])
     schema = StructType([StructField("id", rows.schema["id"].dataType), StructField("part", StringType()), StructField("mask", IntegerType()), StructField("n", LongType())])
     return spark.createDataFrame(routed.mapPartitions(chained), schema, verifySchema=False)
 
