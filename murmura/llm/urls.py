@@ -3,7 +3,8 @@
 Allow and block entries sit in the same trie and the longest one that fits a url
 decides, whichever list it comes from. The trie is built on the driver from the
 rule list and is broadcast; ``MAX_RULES`` bounds it.
-Looking a url up walks at most as many nodes as the url has labels and segments.
+Looking a url up walks at most as many nodes as the url has labels and segments, and
+tries no more of a segment than the longest entry there has.
 
 Defined results: a null url, or one without ``://``, has an empty host and path
 and fits no rule; an empty rule list gives the default verdict everywhere; of
@@ -24,13 +25,14 @@ MAX_RULES = 1_000_000
 
 
 class Node:
-    """``next``: the following labels or segments. ``ends``: partial segments that end a rule here."""
+    """``next``: the following labels or segments. ``ends``: partial segments that end a rule here, ``longest`` of so many characters."""
 
-    __slots__ = ("ends", "next", "path", "verdict", "rule")
+    __slots__ = ("ends", "longest", "next", "path", "verdict", "rule")
 
     def __init__(self):
         self.next: dict[str, Node] = {}
         self.ends: dict[str, tuple[str, str]] = {}
+        self.longest = 0
         self.path: Node | None = None
         self.verdict: str | None = None
         self.rule: str | None = None
@@ -71,6 +73,7 @@ class UrlTrie:
             for segment in whole:
                 node = node.next.setdefault(segment, Node())
             node.ends[last] = (verdict, host + path)
+            node.longest = max(node.longest, len(last))
 
     def find(self, host: str, path: str) -> tuple[str, str] | None:
         """(verdict, rule) of the longest rule that fits: the most labels, then the longest path."""
@@ -88,7 +91,7 @@ class UrlTrie:
         found = None
         for segment in path.split("/"):
             if node.ends:
-                for size in range(len(segment), -1, -1):
+                for size in range(min(len(segment), node.longest), -1, -1):
                     if hit := node.ends.get(segment[:size]):
                         found = hit
                         break
