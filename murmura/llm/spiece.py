@@ -5,9 +5,12 @@ are the pieces that end there. Only positions that a piece can still start from
 survive, at most the longest piece's length of them, and each has one best arc
 back. Whenever the paths back from all survivors meet in one boundary, the pieces
 before it are committed and forgotten, so memory follows the longest piece and not
-the text. Every segment, short or long, takes this one search; survivors are looked
-at each time as many characters have come in as the longest piece has, from two
-such lengths on, since before that the paths' common start is all that they share.
+the text, as long as paths do meet. A unigram model can have two that never do (pieces
+``a`` and ``aa`` on a run of that letter): then both are kept until the run ends, and
+looked at ever less often, so that time stays linear. Every segment, short or long,
+takes this one search; survivors are looked at when twice as many characters have come
+in as the longest piece has, and where their paths didn't meet, when half as many more
+have as are kept.
 
 What makes an arc best depends on the model:
 
@@ -161,7 +164,7 @@ class Model:
                         yield self.back(last, at)
                         del last[:at], best[: 0 if bpe else at]  # what ends at the boundary stays, as the left neighbour of what follows
                         done += at
-                    check = 2 * self.longest if at else check + self.longest
+                    check = 2 * self.longest if at else check + max(self.longest, check // 2)
             k = e + 1 - len(p)
             if k < done:
                 continue
@@ -178,7 +181,7 @@ class Model:
                         yield self.back(last, at)
                         del last[:at]
                         done += at
-                    check = 2 * self.longest if at else check + self.longest
+                    check = 2 * self.longest if at else check + max(self.longest, check // 2)
             else:
                 v = best[k - done] + score[p]
                 if top is None or v > top[0]:  # of equal sums the longer piece
@@ -214,17 +217,14 @@ class Model:
 
     def met(self, last: list[str]) -> int:
         """The last boundary that the paths back from all survivors share; 0 if none but the committed one."""
-        end = len(last) - 1
-        common: set[int] | None = None
-        for k in range(max(0, end - self.longest + 1), end + 1):
-            path = set()
-            while k > 0:
-                path.add(k)
-                k -= len(last[k])
-            common = path if common is None else common & path
-            if not common:
-                return 0
-        return max(common)
+        k = len(last) - 1
+        heads = set(range(max(0, k - self.longest + 1), k + 1))
+        while len(heads) > 1:  # the one furthest on goes a piece back, until all stand at one boundary
+            if k in heads:
+                heads.remove(k)
+                heads.add(k - len(last[k]))
+            k -= 1
+        return heads.pop()
 
     @staticmethod
     def back(last: list[str], i: int) -> list[str]:
