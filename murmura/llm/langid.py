@@ -212,11 +212,12 @@ def held_out(id_col: Column, folds: int = 5) -> Column:
 def sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, s: Settings) -> list[tuple[str, bytes]]:
     """At most about ``per_language`` windows of each language, from all over the table.
 
-    Rows are chosen by a hash of their id against a share that follows from the
-    language's row count, so that no row is favoured by its place, and a window
-    starts at a place in the text that the same hash gives.
+    Rows are chosen by a hash of their id and text against a share that follows from
+    the language's row count, so that no row is favoured by its place, and rows that
+    share an id, or have none, are chosen each for itself. Rows equal in both are taken
+    once. A window starts at a place in the text that the same hash gives.
     """
-    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.lit(s.seed)).alias("h")).filter("lang IS NOT NULL AND length(text) > 0")
+    rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col), F.lit(s.seed)).alias("h")).filter("lang IS NOT NULL AND length(text) > 0")
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     if not counts:
         return []
@@ -224,7 +225,7 @@ def sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, s: Se
     chosen = rows.filter(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
     room = F.greatest(F.length("text") - s.train_window, F.lit(1))
     start = (F.pmod(F.shiftright("h", 20), room) + 1).cast("int")
-    got = chosen.select("lang", F.substring("text", start, F.lit(s.train_window)).alias("w")).collect()
+    got = chosen.select("lang", "h", F.substring("text", start, F.lit(s.train_window)).alias("w")).distinct().collect()
     return sorted((r.lang, r.w.encode("utf-8", "replace")) for r in got)
 
 
