@@ -8,7 +8,7 @@
    Only lines that they have are suspects, and only suspects shuffle with their
    text: an exact aggregation by key confirms repeats and picks the first holder.
 4. Documents without a suspect line pass straight through. The others are joined
-   with the keys they lose.
+   with the keys that they lose themselves, by a hash of their id and text.
 
 False positives of a filter cost a shuffled row and never a wrong result; a filter
 has no false negatives. A hot key is one row for each task in steps 1 and 2 and is
@@ -18,7 +18,8 @@ confirmed row is one that adaptive execution can split.
 Defined results: a null or empty text is one empty line; keys under ``least_chars``
 code points are never dropped; a document keeps all its lines with a key it is the
 first to hold, repeats included; rows with the same id count as one document; a
-null id counts as one document above all others; further columns pass unchanged.
+null id counts as one document above all others; ids are integers, or text that casts
+to them; further columns pass unchanged.
 """
 
 from __future__ import annotations
@@ -161,27 +162,29 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """One row per input row: ``row`` (the input row as a struct), ``kept`` (its remaining text), ``n_lines`` and ``n_dropped``."""
     spark = df.sparkSession
     docs = df.select(F.struct("*").alias("row"), F.coalesce(df[id_col].cast("bigint"), F.lit(NO_ID)).alias("ord"), F.coalesce(df[text_col], F.lit("")).alias("text"))
+    docs = docs.withColumn("node", F.xxhash64("ord", "text"))  # tells rows apart that share an id or have none
     text = docs.select("ord", "text")
     n_lines = docs.agg(F.sum(F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 0
     shared = spark.sparkContext.broadcast(build_filters(text, n_lines, least_chars))  # at most MAX_FILTER_BYTES
 
     def suspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches):
-            ids, keys = [], []
-            for ord_, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            ids, nodes, keys = [], [], []
+            for ord_, node, t in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 own = keys_of(t, least_chars)
                 ids += [ord_] * len(own)
+                nodes += [node] * len(own)
                 keys += own
             hit = pa.array(shared.value.has(hashes_of(keys)), pa.bool_())
-            found = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary())], names=["ord", "key"])
+            found = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nodes, pa.int64()), pa.array(keys, pa.binary())], names=["ord", "node", "key"])
             yield found.filter(hit)
 
     path = scratch_dir(spark, "lines")
-    text.mapInArrow(suspect, "ord bigint, key binary").write.parquet(f"{path}/suspects")
+    docs.select("ord", "node", "text").mapInArrow(suspect, "ord bigint, node bigint, key binary").write.parquet(f"{path}/suspects")
     suspects = spark.read.parquet(f"{path}/suspects")
     suspects.groupBy("key").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).filter("first < last").write.parquet(f"{path}/repeats")
     repeats = spark.read.parquet(f"{path}/repeats")  # written, so that the join's sides are plain shuffles and a hot key can be split
-    losses = suspects.join(repeats, "key").filter("ord > first").groupBy("ord").agg(F.collect_set("key").alias("drop"))
+    losses = suspects.join(repeats, "key").filter("ord > first").groupBy("ord", "node").agg(F.collect_set("key").alias("drop"))
 
     @F.pandas_udf("boolean")
     def suspicious(texts):
@@ -192,7 +195,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
     flagged = docs.withColumn("suspicious", suspicious("text"))
     clear = flagged.filter("NOT suspicious").select("row", F.col("text").alias("kept"), F.size(F.split("text", "\n")).cast("bigint").alias("n_lines"), F.lit(0).cast("bigint").alias("n_dropped"))
-    others = flagged.filter("suspicious").select("row", "ord", "text").join(losses, "ord", "left").select("row", "text", "drop")
+    others = flagged.filter("suspicious").select("row", "ord", "node", "text").join(losses, ["ord", "node"], "left").select("row", "text", "drop")
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in parts(batches):
