@@ -17,8 +17,9 @@ third of the rows share lands in no one task.
 
 Defined results: a null payload is empty; a null url gives a record without a
 target line; line breaks and other control characters in a url are percent-escaped;
-rows that repeat an id and payload are equal records and all of them responses if
-theirs is the largest id; a null id counts as below all others, and is returned as
+rows that repeat an id and payload are all responses if theirs is the largest id,
+and of these the one with the largest url is referred to; record ids name an id, url
+and payload, so only rows equal in all three share one; a null id counts as below all others, and is returned as
 null; further columns aren't stored.
 """
 
@@ -55,9 +56,10 @@ def base32_of_hex(h: Column, digits: int = 40) -> Column:
     return F.concat(*parts)
 
 
-def record_id(key: Column) -> Column:
-    """A name for the record of an id: the same in every run."""
-    return F.concat(F.lit("urn:uuid:"), F.regexp_replace(F.md5(F.coalesce(key.cast("string"), F.lit(""))), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"))
+def record_id(key: Column, url: Column, digest: Column) -> Column:
+    """A name for the record of an id, a url and a payload: the same in every run."""
+    told = F.to_json(F.struct(key.cast("string").alias("id"), url.alias("url"), digest.alias("digest")))
+    return F.concat(F.lit("urn:uuid:"), F.regexp_replace(F.md5(told), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"))
 
 
 def _line(name: str, value: Column) -> Column:
@@ -78,15 +80,15 @@ def _write_archive(df: DataFrame, path: str, id_col: str, url_col: str, payload_
     base = base.withColumn("digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.octet_length("payload").cast("bigint"))
     small = base.select("page_id", "url", "digest", "payload_bytes", base32_of_hex(F.sha1("payload")).alias("payload_digest"))
 
-    holders = base.groupBy("digest", "page_id").agg(F.count("*").alias("rows"))
-    first = holders.groupBy("digest").agg(F.max(F.struct("page_id", "rows")).alias("m")).select("digest", F.col("m.page_id").alias("first"), F.col("m.rows").alias("rows"))
-    chosen = base.join(first.withColumnRenamed("digest", "of"), base.page_id.eqNullSafe(F.col("first")) & (F.col("digest") == F.col("of")))
+    holders = base.groupBy("digest", "page_id").agg(F.count("*").alias("rows"), F.max("url").alias("url"))
+    first = holders.groupBy("digest").agg(F.max(F.struct("page_id", "rows", "url")).alias("m")).select("digest", F.col("m.page_id").alias("first"), F.col("m.rows").alias("rows"), F.col("m.url").alias("first_url"))
+    chosen = base.join(first.select(F.col("digest").alias("of"), "first", "rows"), base.page_id.eqNullSafe(F.col("first")) & (F.col("digest") == F.col("of")))
     stored = chosen.select("digest", "payload_bytes", "payload", "rows")
     # Only where rows repeat an id and a payload can a payload have been picked twice.
     once = stored.filter("rows = 1").unionByName(stored.filter("rows > 1").dropDuplicates(["digest"])) if first.filter("rows > 1").limit(1).count() else stored
     once.select("digest", "payload_bytes", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
 
-    heads = small.join(first.select("digest", "first"), "digest")
+    heads = small.join(first.select("digest", "first", "first_url"), "digest")
     revisit = (F.col("payload_bytes") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("first"))
     url = F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A"), r"[\x00-\x20\x7F]", "%20")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(CRLF + CRLF))
@@ -96,11 +98,11 @@ def _write_archive(df: DataFrame, path: str, id_col: str, url_col: str, payload_
     header = F.concat(
         F.lit(f"WARC/1.1{CRLF}"),
         _line("WARC-Type", F.col("record_type")),
-        _line("WARC-Record-ID", F.concat(F.lit("<"), record_id(F.col("page_id")), F.lit(">"))),
+        _line("WARC-Record-ID", F.concat(F.lit("<"), record_id(F.col("page_id"), F.col("url"), F.col("digest")), F.lit(">"))),
         _line("WARC-Date", F.lit(date)),
         _line("WARC-Target-URI", url),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
-        _line("WARC-Refers-To", F.when(revisit, F.concat(F.lit("<"), record_id(F.col("first")), F.lit(">")))),
+        _line("WARC-Refers-To", F.when(revisit, F.concat(F.lit("<"), record_id(F.col("first"), F.col("first_url"), F.col("digest")), F.lit(">")))),
         _line("WARC-Profile", F.when(revisit, F.lit(REVISIT_PROFILE))),
         _line("Content-Type", F.lit("application/http; msgtype=response")),
         _line("Content-Length", length.cast("string")),
