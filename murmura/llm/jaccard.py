@@ -38,7 +38,8 @@ Defined results: a null or empty text has an empty set and is linked with nothin
 with fewer than five words the whole sequence is the one shingle; rows with equal
 texts are of one component; rows that repeat an id are each compared by their own
 text, so that one may be a copy and another not; a component is named by its smallest
-id; a null id counts as one above all others, 2**63 - 1; other columns aren't read.
+id; a null id counts as one above all others, 2**63 - 1; ids are integers, or text that
+casts to them; other columns aren't read.
 """
 
 from __future__ import annotations
