@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmura.functions import image, signal
-from murmura.operators.forest import Forest, train
+from murmura.operators import growth
+from murmura.operators.forest import Forest
 
 IMAGES = "path string, w int, h int, data binary"
 BLUR = 3
@@ -99,11 +100,8 @@ def annotated_pixels(images: DataFrame, annotations: DataFrame, shares: tuple[fl
 
 
 def train_segmentation(pixels: DataFrame, trees: int = 16, seed: int = 0, max_depth: int = 10_000) -> Forest:
-    """A two-class forest on pixel features; the sample is gathered after a check of its size."""
-    from murmura.operators.forest import matrix
-
-    x, y = matrix(pixels, "features", "label", ["path", "y", "x"])
-    return train(pixels.sparkSession, x, y, 2, trees, seed, max_depth=max_depth)
+    """A two-class forest on pixel features, grown where the pixels are."""
+    return growth.train(pixels, 2, trees, ["path", "y", "x"], seed, max_depth=max_depth)
 
 
 def probability_maps(images: DataFrame, forest: Forest, blur: int = BLUR) -> DataFrame:

@@ -1,8 +1,9 @@
 """Random forests with out-of-bag estimates.
 
-Trees are numpy arrays of nodes; the trees of a forest are grown side by side as
-Spark tasks, one group of trees each, over a broadcast training matrix whose size
-is checked. Splits are Gini sweeps at midpoints between different neighbours.
+Trees are numpy arrays of nodes. Forests on tables are grown by ``growth``; here are
+the model, its use, and the plain form of growing on a matrix of checked size, whose
+trees Spark tasks grow side by side. Splits are Gini sweeps at midpoints between
+different neighbours.
 
 By default leaves hold one-hot majorities, as the models this follows have always
 voted; ``leaf='histogram'`` keeps the label distribution.
@@ -58,6 +59,7 @@ class Forest:
     num_classes: int
     dim: int
     in_bag: list[np.ndarray] = field(default_factory=list)
+    seeds: list[int] = field(default_factory=list)  # what the trees' draws follow from, if they were grown on a table
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         return sum((t.probabilities(x) for t in self.trees), np.zeros((len(x), self.num_classes))) / max(1, len(self.trees))
@@ -202,15 +204,6 @@ def train(spark: SparkSession, x: np.ndarray, y: np.ndarray, num_classes: int, t
     return Forest([pickle.loads(r.model) for r in rows], num_classes, x.shape[1], [pickle.loads(r.bag) for r in rows])
 
 
-def matrix(df: DataFrame, features: str, label: str, order: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """A training set as numpy arrays, in key order, its size checked first."""
-    n, d = df.selectExpr("count(*)", f"max(size({features}))").first()
-    if n * (d or 0) * 8 > MAX_MATRIX_BYTES:
-        raise ValueError(f"{n} rows of {d} features don't fit a broadcast; sample them")
-    t = df.select(*order, features, label).toPandas().sort_values(order)
-    return np.array(t[features].tolist(), float), t[label].to_numpy(np.int64)
-
-
 def score(df: DataFrame, forest: Forest, features: str = "features") -> DataFrame:
     """The input with ``probabilities``: the forest is broadcast, rows stay where they are."""
     shared = df.sparkSession.sparkContext.broadcast(forest)

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmura.operators.forest import MAX_MATRIX_BYTES, train_local
+from murmura.operators import growth
+from murmura.operators.forest import train_local
+from murmura.session import cut
 
 THRESHOLDS = np.arange(1, 1000) / 1000.0
 
@@ -91,7 +92,7 @@ def calibrated(df: DataFrame, score: str, positive: str, by: list[str]) -> DataF
     return best.select(*by, (F.col("b.k") / 1000).alias("threshold"), F.col("b.errors").alias("errors"))
 
 
-# -- classifiers on numpy arrays; labels by (row, class) of 0 and 1
+# -- classifiers on numpy arrays: the plain forms; labels by (row, class) of 0 and 1
 
 
 def calibrate(scores: np.ndarray, labels: np.ndarray) -> np.ndarray:
@@ -157,7 +158,7 @@ class ClassifierChains:
         return (self.scores(x) > self.thresholds).astype(int)
 
 
-#: Classifiers by name: add to it to plug one in.
+#: Plain classifiers by name.
 CLASSIFIERS: dict[str, Callable] = {
     "binary_relevance": BinaryRelevance,
     "ecc": lambda **o: ClassifierChains(true_labels=False, **o),
@@ -165,36 +166,92 @@ CLASSIFIERS: dict[str, Callable] = {
 }
 
 
+#: How many partitions an experiment may name.
+MAX_PARTS = 250
+
+
+def _seed(*numbers: int) -> int:
+    return int(np.random.default_rng(numbers).integers(1 << 62))
+
+
+def _relevance(rows: DataFrame, groups: list, num_classes: int, seed: int, trees: int = 625, **options) -> tuple[DataFrame, list[list[list[int]]]]:
+    """``rows`` with ``scores`` of a forest for each group and class, and which places of it hold (group, class)."""
+    specs = [growth.Spec(_seed(seed, rep, g, c, t), c, parts=train) for g, (rep, _, train, _) in enumerate(groups) for c in range(num_classes) for t in range(trees)]
+    grown = growth.grow(rows, specs, 2, ["example_id"], targets="targets", part=F.col("part"), **options)
+    forests = [(specs[i : i + trees], grown[i : i + trees]) for i in range(0, len(specs), trees)]
+    scored = growth.unseen(rows, forests, 2, ["example_id"], part=F.col("part"), name="scores")
+    return scored.withColumn("scores", _positive("scores")), [[[g * num_classes + c] for c in range(num_classes)] for g in range(len(groups))]
+
+
+def _chains(rows: DataFrame, groups: list, num_classes: int, seed: int, chains: int = 25, trees: int = 25, true_labels: bool = False, **options) -> tuple[DataFrame, list[list[list[int]]]]:
+    """The same for chains in random class orders: a link's forests see what the chain's earlier links say of a row.
+
+    That is the score of the trees that haven't seen the row, or, with ``true_labels``
+    and for rows of the group's own training parts, the label. All chains of all groups
+    take a link at a time, each link's forests in the same passes.
+    """
+    links = [(g, k) for g in range(len(groups)) for k in range(chains)]
+    orders = {(g, k): np.random.default_rng((seed, groups[g][0], k)).permutation(num_classes).tolist() for g, k in links}
+    d, n = rows.agg(F.max(F.size("features"))).first()[0], len(links)
+    rows = rows.withColumn("scores", F.array().cast("array<double>"))
+    for s in range(num_classes):
+        specs = []
+        for at, (g, k) in enumerate(links):
+            rep, _, train, _ = groups[g]
+            own = (*range(d), *(d + j * n + at for j in range(s)))
+            specs += [growth.Spec(_seed(seed, rep, g, k, s, t), orders[g, k][s], own, train) for t in range(trees)]
+        grown = growth.grow(rows, specs, 2, ["example_id"], targets="targets", part=F.col("part"), **options)
+        forests = [(specs[i : i + trees], grown[i : i + trees]) for i in range(0, len(specs), trees)]
+        rows = growth.unseen(rows, forests, 2, ["example_id"], part=F.col("part"), name="link").withColumn("link", _positive("link"))
+        seen = F.col("link")
+        if true_labels:
+            told = F.lit([orders[x][s] for x in links])
+            learnt = F.lit([list(groups[g][2]) for g, _ in links])
+            seen = F.transform("link", lambda v, i: F.when(F.array_contains(F.get(learnt, i), F.col("part")), F.get(F.col("targets"), F.get(told, i)).cast("double")).otherwise(v))
+        rows = cut(rows.withColumn("features", F.concat("features", seen)).withColumn("scores", F.concat("scores", "link")).drop("link"))
+    places = [[[orders[g, k].index(c) * n + g * chains + k for k in range(chains)] for c in range(num_classes)] for g in range(len(groups))]
+    return rows, places
+
+
+def _positive(scores: str) -> Column:
+    """Of two-class probabilities end to end, those of class 1."""
+    return F.filter(F.col(scores), lambda v, i: i % 2 == 1)
+
+
+#: Classifiers on tables by name: (rows, groups, classes, seed, options) to scores and their places.
+LEARNERS: dict[str, Callable] = {
+    "binary_relevance": _relevance,
+    "ecc": lambda *a, **o: _chains(*a, true_labels=False, **o),
+    "ecc_oob": lambda *a, **o: _chains(*a, true_labels=True, **o),
+}
+
+
 def predictions(examples: DataFrame, classifier: str, num_classes: int, splits: list[tuple[str, list[str], list[str]]], repetitions: int = 1, seed: int = 0, **options) -> DataFrame:
     """(repetition, split, example_id, labels, scores, predicted) of every split's test rows.
 
     ``examples``: example_id, partition, labels, features; a split names the partitions
-    it trains on and those it tests. A (repetition, split) pair is one task; the table
-    is broadcast after its size is checked.
+    it trains on and those it tests. The forests of all splits, repetitions and classes
+    grow together on the table; thresholds are calibrated on training rows' scores by the
+    trees that haven't seen them. Only models and thresholds come to the driver.
     """
-    spark = examples.sparkSession
-    n, d = examples.selectExpr("count(*)", "max(size(features))").first()
-    if n * (d or 0) * 8 > MAX_MATRIX_BYTES:
-        raise ValueError("examples don't fit a broadcast")
-    t = examples.select("example_id", F.col("partition").cast("string").alias("partition"), "labels", "features").toPandas().sort_values("example_id")
-    shared = spark.sparkContext.broadcast((t["example_id"].to_numpy(), t["partition"].to_numpy(), [list(map(int, y)) for y in t["labels"]], np.array(t["features"].tolist(), float)))
-    parts = {name: (train, test) for name, train, test in splits}
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, own, sets, x = shared.value
-        hot = np.array([[c in set(y) for c in range(num_classes)] for y in sets], int)
-        for b in batches:
-            for rep, name in zip(b["repetition"], b["split"], strict=True):
-                train, test = (np.isin(own, p) for p in parts[name])
-                if not test.any():
-                    continue
-                model = CLASSIFIERS[classifier](seed=seed + int(rep), **options).fit(x[train], hot[train])
-                s = model.scores(x[test])
-                hard = s > model.thresholds
-                yield pd.DataFrame({"repetition": rep, "split": name, "example_id": ids[test], "labels": [y for y, q in zip(sets, test, strict=True) if q], "scores": list(s), "predicted": [list(map(int, np.nonzero(h)[0])) for h in hard]})
-
-    tasks = spark.createDataFrame([(r, name) for r in range(repetitions) for name in parts], "repetition int, split string").repartition(max(1, repetitions * len(parts)))
-    return tasks.mapInPandas(run, "repetition int, split string, example_id bigint, labels array<int>, scores array<double>, predicted array<int>")
+    names = sorted({p for _, train, test in splits for p in (*train, *test)})
+    if len(names) > MAX_PARTS:
+        raise ValueError(f"{len(names)} partitions; {MAX_PARTS} at most")
+    code = {p: i for i, p in enumerate(names)}
+    groups = [(rep, name, tuple(code[p] for p in train), tuple(code[p] for p in test)) for rep in range(repetitions) for name, train, test in splits]
+    part = F.coalesce(*(F.when(F.col("partition").cast("string") == p, F.lit(i)) for p, i in code.items()), F.lit(MAX_PARTS))
+    targets = F.transform(F.sequence(F.lit(0), F.lit(num_classes - 1)), lambda c: F.array_contains("labels", c).cast("int"))
+    rows = examples.select("example_id", part.alias("part"), F.col("labels").cast("array<int>").alias("labels"), F.col("features").cast("array<double>").alias("features")).withColumn("targets", targets)
+    rows, places = LEARNERS[classifier](cut(rows), groups, num_classes, seed, **options)
+
+    told = [(p, g, rep, name, p in train, p in test, places[g]) for g, (rep, name, train, test) in enumerate(groups) for p in {*train, *test}]
+    told = F.broadcast(examples.sparkSession.createDataFrame(told, "part int, g int, repetition int, split string, learnt boolean, tested boolean, places array<array<int>>"))  # a row for each split and part
+    mean = F.transform("places", lambda p: F.aggregate(p, F.lit(0.0), lambda t, i: t + F.get(F.col("scores"), i)) / F.size(p))
+    met = cut(rows.join(told, "part").select("g", "repetition", "split", "example_id", "labels", mean.alias("scores"), "learnt", "tested"))
+    scores = met.filter("learnt").select("g", F.posexplode("scores").alias("class", "score"), "labels").withColumn("positive", F.array_contains("labels", F.col("class")))
+    best = calibrated(scores, "score", "positive", ["g", "class"])
+    thresholds = best.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("class", "threshold"))), lambda x: x["threshold"]).alias("thresholds"))  # a number for each split and class
+    return met.filter("tested").join(F.broadcast(thresholds), "g").select("repetition", "split", "example_id", "labels", "scores", above(F.col("scores"), F.col("thresholds")).alias("predicted"))
 
 
 def k_fold(folds: list[int]) -> list[tuple[str, list[str], list[str]]]:

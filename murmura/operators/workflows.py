@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmura.operators import audio, discovery, forest, traversal
+from murmura.operators import audio, discovery, forest, growth, traversal
 from murmura.operators import bags as B
 from murmura.operators import recordings as R
 from murmura.session import cut
@@ -80,8 +80,7 @@ def more_bag_features(histograms: DataFrame, bags: DataFrame, segments: DataFram
 def rain_probabilities(bags: DataFrame, examples: DataFrame, trees: int = 1000) -> tuple[DataFrame, DataFrame]:
     """(scores of all bags, examples whose filename no bag has). ``examples``: filename and class."""
     known = examples.join(bags.select("filename", "bag_id", "features"), "filename")
-    x, y = forest.matrix(known, "features", "class", ["bag_id"])
-    model = forest.train(bags.sparkSession, x, y, 2, trees, max_depth=15)
+    model = growth.train(known, 2, trees, ["bag_id"], label="class", max_depth=15)
     scored = forest.score(bags, model).withColumn("rain_probability", F.get("probabilities", F.lit(1))).drop("probabilities")
     return R.rain_ranking(scored), examples.join(bags.select("filename"), "filename", "left_anti")
 

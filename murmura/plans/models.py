@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from murmura.operators import discovery, forest, multilabel
+from murmura.operators import discovery, forest, growth, multilabel
 from murmura.plans import views
 from murmura.plans.registry import query
 
@@ -23,38 +23,60 @@ g AS (SELECT f, (x + nx) / 2 AS t, (n * (1 - pow(p / n, 2) - pow((n - p) / n, 2)
 SELECT f::INT AS feature, round(t, 6) AS threshold, round(s, 6) AS gini FROM g ORDER BY round(s, 9), f, t LIMIT 1""",
 )
 def decision_stump(spark, sf_dir):
-    """The best first split of all features: each is searched by a task of its own."""
+    """The best first split of all features, from running counts over ranges of their values."""
     s = views.segments(spark, sf_dir).withColumn("y", (F.col("label") < 5).cast("int"))
-    x, y = forest.matrix(s, "features", "y", ["bag_id", "segment_id"])
-    best = forest.best_splits(spark, x, y, 2).select(F.struct(F.round("gini", 9).alias("k"), "feature", "threshold", "gini").alias("b")).agg(F.min("b").alias("b"))
+    best = growth.exact_splits(s, 2, label="y").select(F.struct(F.round("gini", 9).alias("k"), "feature", "threshold", "gini").alias("b")).agg(F.min("b").alias("b"))
     return best.select("b.feature", F.round("b.threshold", 6).alias("threshold"), F.round("b.gini", 6).alias("gini"))
 
 
+def _best(counts: str) -> str:
+    """SQL of each node's best split from (node, f, x, n, p): rows and positive rows by value."""
+    score = "(ln * (1 - pow(lp / ln, 2) - pow(1 - lp / ln, 2)) + (n_all - ln) * (1 - pow((p_all - lp) / (n_all - ln), 2) - pow(1 - (p_all - lp) / (n_all - ln), 2))) / n_all"
+    return f"""SELECT node, f, (x + nx) / 2 AS t, p_all / n_all AS share FROM (
+  SELECT *, lead(x) OVER w AS nx, sum(n) OVER w AS ln, sum(p) OVER w AS lp, sum(n) OVER (PARTITION BY node, f) AS n_all, sum(p) OVER (PARTITION BY node, f) AS p_all
+  FROM {counts} WINDOW w AS (PARTITION BY node, f ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+WHERE nx - x >= 1e-6 QUALIFY row_number() OVER (PARTITION BY node ORDER BY round({score}, 12), f, x) = 1"""
+
+
+@query(
+    "tree_levels",
+    f"""WITH r AS (SELECT [l_quantity::DOUBLE, l_discount::DOUBLE, l_tax::DOUBLE] AS v, (l_returnflag = 'R')::INT AS y FROM lineitem),
+h0 AS (SELECT 0 AS node, f, v[f + 1] AS x, count(*) AS n, sum(y) AS p FROM (SELECT *, unnest([0, 1, 2]) AS f FROM r) GROUP BY ALL),
+s0 AS ({_best("h0")}),
+r1 AS (SELECT CASE WHEN v[s0.f + 1] < t THEN 1 ELSE 2 END AS node, v, y FROM r, s0),
+h1 AS (SELECT node, f, v[f + 1] AS x, count(*) AS n, sum(y) AS p FROM (SELECT *, unnest([0, 1, 2]) AS f FROM r1) GROUP BY ALL),
+s1 AS ({_best("h1")})
+SELECT node::INT AS node, f::INT AS feature, round(t, 6) AS threshold, round(share, 6) AS share FROM (SELECT * FROM s0 UNION ALL SELECT * FROM s1)""",
+)
+def tree_levels(spark, sf_dir):
+    """The first two levels of a tree on all lines of all orders: its splits and the share of the class at each."""
+    x = views.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.array(*(F.col(c).cast("double") for c in ("l_quantity", "l_discount", "l_tax"))).alias("features"), (F.col("l_returnflag") == "R").cast("int").alias("label"))
+    (tree,) = growth.grow(x, [growth.Spec(0)], 2, ["l_orderkey", "l_linenumber"], max_depth=2, mtry=3, bootstrap=False, leaf="histogram")
+    rows = [(i, int(f), round(float(t), 6), round(float(h[1]), 6)) for i, (f, t, h) in enumerate(zip(tree.feature, tree.threshold, tree.hist, strict=True)) if f >= 0]
+    return spark.createDataFrame(rows, "node int, feature int, threshold double, share double")  # a row for each node of a model
+
+
 @query("forest_oob")
 def forest_oob(spark, sf_dir):
-    """(row, label, probability): out-of-bag estimates of a forest over all segments."""
-    s = views.segments(spark, sf_dir).withColumn("y", (F.col("label") < 5).cast("int"))
-    x, y = forest.matrix(s, "features", "y", ["bag_id", "segment_id"])
-    f = forest.train(spark, x, y, 2, 16, seed=1, max_depth=8)
-    p = f.out_of_bag(x)[:, 1]
-    return spark.createDataFrame([(i, int(a), float(b)) for i, (a, b) in enumerate(zip(y, p, strict=True))], "row int, label int, probability double")
+    """(bag_id, segment_id, label, probability): out-of-bag estimates of a forest over all segments."""
+    s = views.segments(spark, sf_dir).withColumn("label", (F.col("label") < 5).cast("int"))
+    f = growth.train(s, 2, 16, ["bag_id", "segment_id"], seed=1, max_depth=8)
+    return growth.out_of_bag(s, f, ["bag_id", "segment_id"]).select("bag_id", "segment_id", "label", F.round(F.get("probabilities", F.lit(1)), 6).alias("probability"))
 
 
 @query("forest_scores")
 def forest_scores(spark, sf_dir):
     """Every segment with a broadcast forest's class probabilities."""
-    s = views.segments(spark, sf_dir).withColumn("y", (F.col("label") < 5).cast("int"))
-    x, y = forest.matrix(s, "features", "y", ["bag_id", "segment_id"])
-    f = forest.train(spark, x, y, 2, 8, seed=2, max_depth=6, leaf="histogram")
+    s = views.segments(spark, sf_dir).withColumn("label", (F.col("label") < 5).cast("int"))
+    f = growth.train(s, 2, 8, ["bag_id", "segment_id"], seed=2, max_depth=6, leaf="histogram")
     return forest.score(s, f).select("bag_id", "segment_id", F.round(F.get("probabilities", F.lit(1)), 6).alias("probability"))
 
 
 @query("rain_classifier")
 def rain_classifier(spark, sf_dir):
     """Bags with the chance of a class, from a forest on bag features."""
-    e = _examples(spark, sf_dir).withColumn("y", F.array_contains("labels", 0).cast("int"))
-    x, y = forest.matrix(e, "features", "y", ["bag_id"])
-    return forest.score(e, forest.train(spark, x, y, 2, 20, max_depth=15)).select("bag_id", F.round(F.get("probabilities", F.lit(1)), 6).alias("rain_probability"))
+    e = _examples(spark, sf_dir).withColumn("label", F.array_contains("labels", 0).cast("int"))
+    return forest.score(e, growth.train(e, 2, 20, ["bag_id"], max_depth=15)).select("bag_id", F.round(F.get("probabilities", F.lit(1)), 6).alias("rain_probability"))
 
 
 def _validated(spark, sf_dir, classifier, **options):
