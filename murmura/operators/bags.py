@@ -6,14 +6,21 @@ without a segment stay in every result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from murmura.functions import vector as V
-from murmura.session import cut
+from murmura.session import cut, scratch_dir
 
 #: Up to so many dimensions each gets aggregates of its own; beyond, elements become rows first.
 WIDE = 160
+#: Rows and vectors that numpy compares at a time.
+ROWS = 256
 
 
 def attach(bags: DataFrame, other: DataFrame, key: str = "bag_id") -> DataFrame:
@@ -110,6 +117,82 @@ def plus_plus(df: DataFrame, k: int, key: list[str], features: str = "features",
     return centers
 
 
+def compared(df: DataFrame, vectors: list[list[float]], update, features: str = "features", near: str = "near", also: str | None = None, compat: bool = False) -> DataFrame:
+    """``df`` with ``near`` (double) brought up to date by ``update(near, distances, from)`` for blocks of squared distances (rows by vectors).
+
+    The vectors travel to the tasks, so callers bound them. ``also``: a bigint column that ``update`` changes in place.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(np.array(vectors, float))
+    names = df.columns
+    at = {c: names.index(c) for c in (features, near, *([also] if also else []))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = shared.value
+        for b in batches:
+            x = b.column(at[features]).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
+            v = b.column(at[near]).to_numpy(zero_copy_only=False).copy()
+            w = b.column(at[also]).to_numpy(zero_copy_only=False).copy() if also else None
+            for r in range(0, len(x), ROWS):
+                own = slice(r, r + ROWS)
+                for q in range(0, len(p), ROWS):
+                    d = np.square(x[own, None] - p[None, q : q + ROWS]).sum(2) + (x.shape[1] if compat else 0)
+                    v[own] = update(v[own], d, q, None if w is None else w[own])
+            new = {near: pa.array(v, pa.float64()), **({also: pa.array(w, pa.int64())} if also else {})}
+            yield pa.RecordBatch.from_arrays([new.get(c, b.column(i)) for i, c in enumerate(names)], names=names)
+
+    return df.mapInArrow(run, StructType(df.schema.fields))
+
+
+def _least(near: np.ndarray, d: np.ndarray, start: int, which: np.ndarray | None) -> np.ndarray:
+    """The least distance so far, and which vector it is to: the first of equals."""
+    at = d.argmin(1)
+    m = d[np.arange(len(d)), at]
+    if which is not None:
+        which[:] = np.where(m < near, at + start, which)
+    return np.minimum(near, m)
+
+
+def parallel_seeds(df: DataFrame, k: int, key: list[str], features: str = "features", seed: int = 0, rounds: int = 5, oversample: float = 2.0) -> list[list[float]]:
+    """Seeds by oversampling: in each round every row joins the candidates with a chance that follows its squared distance to them, about ``oversample * k`` a round; then the candidates, weighted by the rows nearest to them, are seeded down to k.
+
+    ``rounds`` + 2 passes however large k is. Draws follow from hashes of the key, so a
+    lost task repeats them. Fewer seeds come back where there are fewer different vectors.
+    """
+    u = lambda salt: (F.pmod(F.xxhash64(*key, F.lit(seed), F.lit(salt)), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
+    rows = df.select(*key, F.col(features).cast("array<double>").alias("features")).withColumn("near", F.lit(float("inf")))
+    first = rows.agg(F.min_by("features", F.struct(u(-1), *key)).alias("f")).first().f
+    if first is None:
+        return []
+    candidates, fresh = [list(first)], [list(first)]
+    path = scratch_dir(df.sparkSession, "seeds")
+    for r in range(rounds):
+        compared(rows, fresh, _least).write.parquet(f"{path}/{r}")
+        rows = df.sparkSession.read.parquet(f"{path}/{r}")
+        cost = rows.agg(F.sum("near")).first()[0]
+        if not cost:
+            break
+        chosen = rows.filter(u(r) < F.col("near") * (oversample * k / cost)).orderBy(*key).select("features").collect()  # about oversample * k
+        fresh = [list(x.features) for x in chosen]
+        candidates += fresh
+        if not fresh:
+            break
+    near = compared(df.select(F.col(features).cast("array<double>").alias("features")).withColumn("near", F.lit(float("inf"))).withColumn("which", F.lit(0).cast("bigint")), candidates, _least, also="which")
+    weights = np.zeros(len(candidates))
+    for r in near.groupBy("which").count().collect():  # a row for each candidate
+        weights[r["which"]] = r["count"]
+    x, rng = np.array(candidates), np.random.default_rng(seed)
+    picks = [int(weights.argmax())]
+    left = np.square(x - x[picks[0]]).sum(1)
+    while len(picks) < min(k, len(x)) and (left * weights).sum() > 0:
+        # of a few draws the one that lowers the candidates' cost most
+        drawn = rng.choice(len(x), 4, p=left * weights / (left * weights).sum())
+        after = [np.minimum(left, np.square(x - x[i]).sum(1)) for i in drawn]
+        best = min(range(len(drawn)), key=lambda i: (after[i] * weights).sum())
+        picks.append(int(drawn[best]))
+        left = after[best]
+    return [candidates[i] for i in picks]
+
+
 def first_by_key(df: DataFrame, k: int, key: list[str], features: str = "features") -> list[list[float]]:
     """The vectors of the k smallest keys: a fixed start for tests and repeatable runs."""
     return [list(r[0]) for r in df.orderBy(*key).select(features).limit(k).collect()]
@@ -208,11 +291,51 @@ def pair_distances(pairs: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def average_hausdorff(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """(a, b, distance): the mean, over the instances of both bags, of the distance to the nearest of the other."""
+    """(a, b, distance): the mean, over the instances of both bags, of the distance to the nearest of the other.
+
+    Each instance pair is made once and counts for both of its sides.
+    """
     d = pair_distances(pairs, segments).withColumn("distance", F.sqrt("distance"))
-    one = d.groupBy("a", "b", "i").agg(F.min("distance").alias("m")).select("a", "b", "m")
-    two = d.groupBy("a", "b", "j").agg(F.min("distance").alias("m")).select("a", "b", "m")
-    return one.unionByName(two).groupBy("a", "b").agg((F.sum("m") / F.count("*")).alias("distance"))
+    sides = d.select("a", "b", F.explode(F.array(F.struct(F.lit(False).alias("of_b"), F.col("i").alias("at")), F.struct(F.lit(True).alias("of_b"), F.col("j").alias("at")))).alias("s"), "distance")
+    least = sides.groupBy("a", "b", "s").agg(F.min("distance").alias("m"))
+    return least.groupBy("a", "b").agg((F.sum("m") / F.count("*")).alias("distance"))
+
+
+def nearest_bags(segments: DataFrame, key: str = "bag_id", pivots: int = 4, seed: int = 0, digits: int = 9) -> DataFrame:
+    """(a, b, distance, candidates): for every bag with an instance the nearest other one by average Hausdorff distance, the smallest of equals, and how many bags it was compared with.
+
+    Distances to a few pivots bound those between bags: by the triangle inequality no
+    instances of two bags are nearer than their bags' ranges of distances to any pivot lie
+    apart. A bag's neighbour in order of the first pivot gives a distance that the
+    nearest bag can't exceed; only bags whose ranges lie within it on every pivot are
+    compared, found by a join on cells of the first pivot's range. No other pair is made.
+    A bag alone in the table has no row.
+    """
+    x = segments.select(F.col(key).alias("bag"), F.col("segment_id"), F.col("features").cast("array<double>").alias("features"))
+    draw = F.xxhash64("bag", "segment_id", F.lit(seed))
+    chosen = [list(r.features) for r in x.withColumn("u", draw).orderBy("u").limit(pivots).collect()]
+    far = [F.sqrt(V.squared_l2("features", F.array(*map(F.lit, p)))).alias(f"p{i}") for i, p in enumerate(chosen)]
+    ends = [f(f"p{i}").alias(f"{n}{i}") for i in range(len(chosen)) for f, n in ((F.min, "low"), (F.max, "high"))]
+    boxes = cut(x.select("bag", *far).groupBy("bag").agg(*ends).withColumn("middle", (F.col("low0") + F.col("high0")) / 2) if chosen else x.select("bag").limit(0).withColumn("middle", F.lit(0.0)))
+    if not chosen:
+        return x.select(F.col("bag").alias("a"), F.col("bag").alias("b"), F.lit(0.0).alias("distance"), F.lit(0).cast("bigint").alias("candidates")).limit(0)
+    placed = cut(compact_ids(boxes.select("bag", "middle"), ["middle", "bag"], "place"))
+    beside = placed.select(F.col("bag").alias("a"), (F.col("place") + 1).alias("place")).join(placed.select(F.col("bag").alias("b"), "place"), "place").select("a", "b")
+    met = cut(average_hausdorff(beside, segments.withColumnRenamed(key, "bag_id")))
+    limit = met.select(F.col("a").alias("bag"), "distance").unionByName(met.select(F.col("b").alias("bag"), "distance")).groupBy("bag").agg(F.min("distance").alias("limit"))
+    bounded = cut(boxes.join(limit, "bag").withColumn("reach", F.col("limit") * (1 + 1e-9) + 1e-9))
+    cell = bounded.agg(F.avg(F.col("high0") - F.col("low0") + 2 * F.col("reach"))).first()[0] or 1.0
+    at = lambda c: F.floor(c / cell)
+    one = bounded.select(*(F.col(c).alias(f"a_{c}") for c in bounded.columns)).withColumn("from", at(F.col("a_low0") - F.col("a_reach"))).withColumn("cell", F.explode(F.sequence("from", at(F.col("a_high0") + F.col("a_reach")))))
+    two = bounded.select(*(F.col(c).alias(f"b_{c}") for c in bounded.columns)).withColumn("b_from", at(F.col("b_low0"))).withColumn("cell", F.explode(F.sequence("b_from", at(F.col("b_high0")))))
+    gap = F.greatest(*(F.col(f"{s}_low{i}") - F.col(f"{t}_high{i}") for i in range(len(chosen)) for s, t in (("a", "b"), ("b", "a"))), F.lit(0.0))
+    near = one.join(two, "cell").filter((F.col("a_bag") != F.col("b_bag")) & (F.col("cell") == F.greatest("from", "b_from")) & (gap <= F.col("a_reach"))).select(F.col("a_bag").alias("a"), F.col("b_bag").alias("b"))
+    near = cut(near)
+    once = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    known = average_hausdorff(once, segments.withColumnRenamed(key, "bag_id")).withColumn("distance", F.round("distance", digits))
+    found = near.select("a", "b", F.least("a", "b").alias("s"), F.greatest("a", "b").alias("t")).join(known.select(F.col("a").alias("s"), F.col("b").alias("t"), "distance"), ["s", "t"])
+    best = found.groupBy("a").agg(F.min(F.struct("distance", "b")).alias("m"), F.count("*").alias("candidates"))
+    return best.select("a", F.col("m.b").alias("b"), F.col("m.distance").alias("distance"), "candidates")
 
 
 def extreme_pairs(pairs: DataFrame, segments: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmura.operators import audio, discovery, forest, growth, traversal
+from murmura.operators import audio, discovery, forest, growth, selection, traversal
 from murmura.operators import bags as B
 from murmura.operators import recordings as R
 from murmura.session import cut
@@ -28,7 +28,7 @@ def _dry(bags: DataFrame, segments: DataFrame, rain_below: float | None) -> tupl
 def discover(bags: DataFrame, segments: DataFrame, method: str, n: int, rain_below: float | None = None, seed: int | None = None) -> list:
     """Bag ids to look at, by a discovery method on rescaled features, with or without the rain filter."""
     bags, segments = _dry(bags, B.rescaled(segments), rain_below)
-    return discovery.select_bags(bags, segments, method, n, seed)
+    return selection.select_bags(bags, cut(segments), method, n, seed)
 
 
 def discover_random_dawn(bags: DataFrame, n: int, ts: str = "ts", seed: int = 0) -> list:
@@ -43,7 +43,7 @@ def discover_segments(segments: DataFrame, method: str, n: int, seed: int = 0) -
     scaled = cut(B.rescaled(segments))
     if method == "farthest":
         return traversal.farthest_first(scaled, n, key)
-    centers, _ = B.lloyd(scaled, B.plus_plus(scaled, n, key, seed=seed))
+    centers, _ = B.lloyd(scaled, B.parallel_seeds(scaled, n, key, seed=seed))
     return [(r.bag_id, r.segment_id) for r in B.representatives(B.nearest(scaled, centers), key).orderBy("cluster").collect()]
 
 
@@ -53,21 +53,21 @@ def discover_chunks(histograms: DataFrame, method: str, n: int, seed: int = 0) -
         return [r.bag_id for r in R.random_rows(histograms.select("bag_id"), n, ["bag_id"], seed).collect()]
     if method == "farthest":
         return [p[0] for p in traversal.farthest_average(histograms, n, ["bag_id"])]
-    centers, _ = B.lloyd(histograms, B.plus_plus(histograms, n, ["bag_id"], seed=seed))
+    centers, _ = B.lloyd(histograms, B.parallel_seeds(histograms, n, ["bag_id"], seed=seed))
     return [r.bag_id for r in B.representatives(B.nearest(histograms, centers), ["bag_id"]).orderBy("cluster").collect()]
 
 
 def histogram_of_segments(bags: DataFrame, segments: DataFrame, k: int = 100, iterations: int = 100, seed: int = 0) -> DataFrame:
     """(bag_id, features): rescale, learn a codebook, count."""
     scaled = cut(B.rescaled(segments))
-    centers, _ = B.lloyd(scaled, B.plus_plus(scaled, k, ["bag_id", "segment_id"], seed=seed), iterations)
+    centers, _ = B.lloyd(scaled, B.parallel_seeds(scaled, k, ["bag_id", "segment_id"], seed=seed), iterations)
     return B.bag_histograms(bags, B.nearest(scaled, centers), len(centers))
 
 
 def cluster_segments(segments: DataFrame, k: int = 100, seed: int = 0) -> DataFrame:
     """(bag_id, segment_id, cluster)."""
     scaled = cut(B.rescaled(segments))
-    centers, _ = B.lloyd(scaled, B.plus_plus(scaled, k, ["bag_id", "segment_id"], seed=seed))
+    centers, _ = B.lloyd(scaled, B.parallel_seeds(scaled, k, ["bag_id", "segment_id"], seed=seed))
     return B.nearest(scaled, centers).select("bag_id", "segment_id", "cluster")
 
 

@@ -1,10 +1,10 @@
-"""Queries of the forests, multi-label classifiers, discovery and file round trips."""
+"""Queries of the forests, multi-label classifiers and recordings."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from murmura.operators import discovery, forest, growth, multilabel
+from murmura.operators import forest, growth, multilabel
 from murmura.plans import views
 from murmura.plans.registry import query
 
@@ -96,22 +96,6 @@ def classifier_chains(spark, sf_dir):
     return _validated(spark, sf_dir, "ecc", chains=2, trees=3, max_depth=4)
 
 
-@query("discovery_experiment")
-def discovery_experiment(spark, sf_dir):
-    """Mean discovery curves of several methods over repeated subsamples."""
-    names = ["random", "coverage_oracle", "cluster_centers", "MIFF"]
-    bags, seg = views.bags(spark, sf_dir), views.segments(spark, sf_dir)
-    return discovery.averaged(discovery.experiment(bags, seg, names, 5, 3))
-
-
-@query("discovery_selections")
-def discovery_selections(spark, sf_dir):
-    """The first picks of every method on one experiment."""
-    b = discovery.gather(views.bags(spark, sf_dir), views.segments(spark, sf_dir))
-    rows = [(name, i, b.ids[p].item()) for name, f in discovery.METHODS.items() for i, p in enumerate(f(b, 4))]
-    return spark.createDataFrame(rows, "method string, place int, bag_id bigint")
-
-
 def _signals(spark, sf_dir):
     """A rising tone over faint noise for each vector, which gives its pitch: recordings of half a second."""
     s = views.segments(spark, sf_dir)
