@@ -94,12 +94,19 @@ def more_bag_features(spark, a):
     text.write_features(m, f"{a.data}/more_bag_features", ["bag_id"], text.HEADERS["additional"])
 
 
+def _printed(df):
+    """All rows, a partition at a time."""
+    print(*df.columns, sep="\t")
+    for r in df.toLocalIterator():
+        print(*r, sep="\t")
+
+
 def unambiguous(spark, a):
-    B.routed(_labelled(spark, a.data)).filter("route = 'one'").select("bag_id", "filename", F.get("labels", F.lit(0)).alias("label")).orderBy("bag_id").show(1000, False)
+    _printed(B.routed(_labelled(spark, a.data)).filter("route = 'one'").select("bag_id", "filename", F.get("labels", F.lit(0)).alias("label")).orderBy("bag_id"))
 
 
 def segmentation_misses(spark, a):
-    B.segmentation_misses(_labelled(spark, a.data), _segments(spark, a.data)).select("bag_id", "filename").orderBy("bag_id").show(1000, False)
+    _printed(B.segmentation_misses(_labelled(spark, a.data), _segments(spark, a.data)).select("bag_id", "filename").orderBy("bag_id"))
 
 
 def rain_classifier(spark, a):

@@ -220,26 +220,56 @@ def pixel_features(img: np.ndarray, xs: np.ndarray, ys: np.ndarray) -> np.ndarra
     return np.concatenate([patch, patch.mean(1, keepdims=True), np.asarray(ys, np.float32)[:, None], unit[:, xs].T], 1)
 
 
-def components(mask: np.ndarray) -> list[np.ndarray]:
-    """The 4-connected parts of a mask as (n, 2) arrays of (y, x), in order of their first pixel by rows."""
-    left, out = mask > 0, []
-    h, w = left.shape
-    for y0, x0 in zip(*np.nonzero(left), strict=True):
-        if not left[y0, x0]:
-            continue
-        left[y0, x0] = False
-        stack, found = [(y0, x0)], []
-        while stack:
-            y, x = stack.pop()
-            found.append((y, x))
-            for v, u in ((y, x + 1), (y, x - 1), (y + 1, x), (y - 1, x)):
-                if 0 <= v < h and 0 <= u < w and left[v, u]:
-                    left[v, u] = False
-                    stack.append((v, u))
-        out.append(np.array(found))
+def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of the runs of pixels that are set, by rows; ends are exclusive."""
+    edges = np.diff(np.pad((mask > 0).astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    row, start = np.nonzero(edges == 1)
+    return row, start, np.nonzero(edges == -1)[1]
+
+
+def merged(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest member of each of n nodes' sets, once the pairs (i, j) are joined."""
+    root = np.arange(n)
+    while len(i):
+        a, b = root[i], root[j]
+        apart = a != b
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        least = np.minimum(a, b)
+        np.minimum.at(root, a, least)
+        np.minimum.at(root, b, least)
+        while not np.array_equal(up := root[root], root):
+            root = up
+    return root
+
+
+def touching(row: np.ndarray, start: np.ndarray, end: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of runs of neighbouring rows that share a column."""
+    side = width + 1
+    low = np.searchsorted(row * side + end, (row + 1) * side + start, "right")
+    high = np.searchsorted(row * side + start, (row + 1) * side + end, "left")
+    count = np.maximum(high - low, 0)
+    i = np.repeat(np.arange(len(row)), count)
+    return i, np.arange(len(i)) - np.repeat(np.cumsum(count) - count - low, count)
+
+
+def labelled(mask: np.ndarray) -> np.ndarray:
+    """Each pixel's 4-connected part, from 1 in order of their first pixel by rows; 0 where nothing is set."""
+    row, start, end = runs(mask)
+    number = np.unique(merged(len(row), *touching(row, start, end, mask.shape[1])), return_inverse=True)[1] + 1
+    out = np.zeros(mask.shape, np.int64)
+    out[mask > 0] = np.repeat(number, end - start)
     return out
 
 
+def components(mask: np.ndarray) -> list[np.ndarray]:
+    """The 4-connected parts of a mask as (n, 2) arrays of (y, x) by rows, in order of their first pixel."""
+    label = labelled(mask)
+    at = np.argwhere(label > 0)
+    own = label[label > 0]
+    order = np.argsort(own, kind="stable")
+    return np.split(at[order], np.cumsum(np.bincount(own)[1:])[:-1]) if len(at) else []
+
+
 def segments(img: np.ndarray, mask: np.ndarray) -> list[dict]:
     """Components large enough, with their rectangle, cropped image and cropped mask.
 

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from murmura.functions import image, signal
 from murmura.operators import growth
 from murmura.operators.forest import Forest
+from murmura.operators.links import components
+from murmura.session import cut
 
 IMAGES = "path string, w int, h int, data binary"
 BLUR = 3
@@ -121,6 +123,41 @@ def masks(probabilities: DataFrame, at: float = 0.5) -> DataFrame:
     return _each(probabilities, lambda p: image.threshold(p, at))
 
 
+def tile_components(tiles: DataFrame) -> DataFrame:
+    """(path, component, pixels, min_x, max_x, min_y, max_y): the 4-connected parts of masks that are cut into tiles.
+
+    ``tiles``: path, x, y (of a tile's first pixel), w, h, data. A task labels its tiles
+    by their runs; only what touches a tile's edge goes on, as runs along the edge, and
+    parts are joined where runs of two tiles lie side by side. So an image may be larger
+    than a row. A part is named by its first pixel by rows.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples():
+                label = image.labelled(np.frombuffer(r.data, np.uint8).reshape(r.h, r.w))
+                rows = []
+                for k, c in enumerate(image.components(label), 1):
+                    (y0, x0), (y1, x1) = c.min(0), c.max(0)
+                    rows.append((k, len(c), r.x + x0, r.x + x1, r.y + y0, r.y + y1, int(r.y + c[0, 0]), int(r.x + c[0, 1]), None, None, None, None))
+                for line, at, other, along in ((label[0], r.y - 1, "h", r.x), (label[-1], r.y + r.h - 1, "h", r.x), (label[:, 0], r.x - 1, "v", r.y), (label[:, -1], r.x + r.w - 1, "v", r.y)):
+                    _, start, end = image.runs(line[None])
+                    rows += [(int(line[s]), None, None, None, None, None, None, None, other, at, along + s, along + e) for s, e in zip(start.tolist(), end.tolist(), strict=True)]
+                yield pd.DataFrame(rows, columns=["part", "pixels", "min_x", "max_x", "min_y", "max_y", "first_y", "first_x", "edge", "line", "start", "end"]).assign(path=r.path, x=r.x, y=r.y).astype({c: "Int64" for c in ("part", "pixels", "min_x", "max_x", "min_y", "max_y", "first_y", "first_x", "line", "start", "end", "x", "y")})
+
+    longs = ("part", "pixels", "min_x", "max_x", "min_y", "max_y", "first_y", "first_x")
+    found = cut(tiles.select("path", "x", "y", "w", "h", "data").mapInPandas(run, ", ".join(f"{c} bigint" for c in longs) + ", edge string, line bigint, start bigint, end bigint, path string, x bigint, y bigint"))
+    node = F.struct("path", "y", "x", "part").alias("node")
+    parts = found.filter("edge IS NULL").select(node, *longs)
+    ends = found.filter("edge IS NOT NULL").select("path", "edge", "line", "start", "end", node, (F.col("line") == F.when(F.col("edge") == "h", F.col("y") - 1).otherwise(F.col("x") - 1)).alias("after"))
+    one, two = ends.filter("NOT after"), ends.filter("after").select("path", "edge", "line", F.col("start").alias("s"), F.col("end").alias("e"), F.col("node").alias("other"))
+    met = one.join(two, ["path", "edge", "line"]).filter("start < e AND s < end").select(F.col("node").alias("a"), F.col("other").alias("b"))
+    joined = components(met)
+    named = parts.join(joined, "node", "left").select(F.coalesce("component", "node").alias("component"), *longs)
+    out = named.groupBy("component").agg(F.sum("pixels").alias("pixels"), *(f(c).alias(c) for c, f in (("min_x", F.min), ("max_x", F.max), ("min_y", F.min), ("max_y", F.max))), F.min(F.struct("first_y", "first_x")).alias("first"))
+    return out.select("component.path", F.struct(F.col("first.first_y").alias("y"), F.col("first.first_x").alias("x")).alias("component"), "pixels", "min_x", "max_x", "min_y", "max_y")
+
+
 def segment_table(images: DataFrame, mask_images: DataFrame) -> DataFrame:
     """(path, segment_id, rect, features): the 38 features of every segment that is large enough."""
     both = images.join(mask_images.select("path", F.col("data").alias("mask")), "path")

@@ -233,12 +233,18 @@ def segmentation_misses(bags: DataFrame, segments: DataFrame, labels: str = "lab
     return bags.filter(F.size(labels) > 0).join(segments.select("bag_id").distinct(), "bag_id", "left_anti")
 
 
-def without_rare(bags: DataFrame, dropped: tuple[int, ...] = (21, 22, 23, 24, 26), most_rare: int = 2, labels: str = "labels") -> tuple[DataFrame, DataFrame]:
-    """(bags, classes): labels in ``dropped`` go, bags with a class of at most ``most_rare`` bags go, the other classes are numbered anew from 0."""
+def without_rare(bags: DataFrame, dropped: tuple[int, ...] = (21, 22, 23, 24, 26), most_rare: int = 2, labels: str = "labels", share: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(bags, classes): labels in ``dropped`` go, bags with a class of at most ``most_rare`` bags go, the other classes are numbered anew from 0.
+
+    ``share``: take as ``most_rare`` the size that this share of the classes doesn't exceed.
+    """
     kept = bags.withColumn(labels, F.filter(labels, lambda y: ~y.isin(*dropped)) if dropped else F.col(labels))
-    n = kept.select(F.explode(labels).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n"))
+    pairs = cut(kept.select("bag_id", F.explode(labels).alias("class_id")))
+    n = cut(pairs.groupBy("class_id").agg(F.count("*").alias("n")))  # as many as classes
+    if share is not None:
+        most_rare = n.agg(F.expr(f"percentile_disc({float(share)}) WITHIN GROUP (ORDER BY n)")).first()[0] or 0
     classes = n.filter(F.col("n") > most_rare).select("class_id", (F.row_number().over(Window.orderBy("class_id")) - 1).alias("new_id"))  # as many as classes
-    pairs = kept.select("bag_id", F.explode(labels).alias("class_id")).join(n, "class_id")
+    pairs = pairs.join(n, "class_id")
     rare = pairs.filter(F.col("n") <= most_rare).select("bag_id").distinct()
     new = pairs.join(classes, "class_id").groupBy("bag_id").agg(F.array_sort(F.collect_list("new_id")).alias(labels))
     out = kept.drop(labels).join(rare, "bag_id", "left_anti").join(new, "bag_id", "left")

@@ -1,57 +1,56 @@
 """Greedy selections over distances: farthest-first traversals and coverage.
 
 One pick is one pass: a running column (minimum or sum of distances to the picks so
-far) is updated and its best row found by aggregation, so no pass looks at earlier
-picks again. Only the picked rows come to the driver. Lineage is cut by checkpoint.
+far) is compared with the picks that it doesn't know yet, ``CUT_EVERY`` at most, and the
+best row found by aggregation. Then the column is brought up to date and written, without
+the rows picked. Only the picked rows come to the driver.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from murmura.functions import vector as V
+from murmura.operators.bags import compared
 from murmura.session import cut
 
 #: Picks between checkpoints.
 CUT_EVERY = 16
 
 
-def _traverse(df: DataFrame, k: int, key: list[str], features: str, start: Column, update, digits: int | None, best) -> list:
-    rows = df.select(*key, F.col(features).alias("f"))
-    first = rows.agg(F.min(F.struct(*key, "f")).alias("s")).first().s
+def _traverse(df: DataFrame, k: int, key: list[str], features: str, total: bool, digits: int | None) -> list:
+    rows = df.select(*key, F.col(features).cast("array<double>").alias("features")).withColumn("near", F.lit(0.0 if total else float("inf")))
+    first = rows.agg(F.min(F.struct(*key, "features")).alias("s")).first().s
     picks = [first] if first else []
-    rows = rows.withColumn("score", start)
+    pending = list(picks)  # those that the column near doesn't know yet
+    update = (lambda near, d, *_: near + np.sqrt(d).sum(1)) if total else (lambda near, d, *_: np.minimum(near, d.min(1)))
     while picks and len(picks) < k:
-        last = picks[-1]
-        d = V.squared_l2("f", F.array(*map(F.lit, map(float, last.f))))
-        rows = rows.withColumn("score", update(F.col("score"), d))
-        taken = None
-        for p in picks:
-            same = None
-            for c in key:
-                same = (F.col(c) == p[c]) if same is None else same & (F.col(c) == p[c])
-            taken = same if taken is None else taken | same
-        score = F.round("score", digits) if digits is not None else F.col("score")
-        found = rows.filter(~taken).agg(best(score, key).alias("s")).first().s
+        met = compared(rows, [list(p.features) for p in pending], update)
+        for p in pending:
+            met = met.filter(~reduce(Column.__and__, (F.col(c).eqNullSafe(F.lit(p[c])) for c in key)))
+        if len(pending) == CUT_EVERY:
+            rows, pending = cut(met), []
+            met = rows
+        score = F.round("near", digits) if digits is not None else F.col("near")
+        found = met.agg(F.min(F.struct((-score).alias("n"), *key, "features")).alias("s")).first().s
         if found is None:
             break
         picks.append(found)
-        if len(picks) % CUT_EVERY == 0:
-            rows = cut(rows)
+        pending.append(found)
     return picks
 
 
 def farthest_first(df: DataFrame, k: int, key: list[str], features: str = "features", digits: int | None = None) -> list:
     """Keys in order: the smallest key first, then always the row whose nearest pick is farthest; ties go to the smallest key."""
-    best = lambda s, key: F.min(F.struct((-s).alias("n"), *key, "f"))
-    return [tuple(p[c] for c in key) for p in _traverse(df, k, key, features, F.lit(float("inf")), lambda s, d: F.least(s, d), digits, best)]
+    return [tuple(p[c] for c in key) for p in _traverse(df, k, key, features, False, digits)]
 
 
 def farthest_average(df: DataFrame, k: int, key: list[str], features: str = "features", digits: int | None = None) -> list:
     """As ``farthest_first``, by the largest mean distance (not squared) to the picks."""
-    best = lambda s, key: F.min(F.struct((-s).alias("n"), *key, "f"))
-    return [tuple(p[c] for c in key) for p in _traverse(df, k, key, features, F.lit(0.0), lambda s, d: s + F.sqrt(d), digits, best)]
+    return [tuple(p[c] for c in key) for p in _traverse(df, k, key, features, True, digits)]
 
 
 def greedy_coverage(bags: DataFrame, k: int, key: str = "bag_id", sets: str = "labels") -> list:

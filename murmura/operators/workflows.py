@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmura.operators import audio, discovery, forest, growth, selection, traversal
+from murmura.operators import audio, forest, growth, selection, traversal
 from murmura.operators import bags as B
 from murmura.operators import recordings as R
 from murmura.session import cut
@@ -104,7 +104,7 @@ def export_experiment(bags: DataFrame, classes: DataFrame, path: str, folds: int
 
 def discovery_curve_file(curves: DataFrame, path: str) -> None:
     """Method, picks and mean number of known classes, tab-separated with six decimals; one method's curve after the other."""
-    text.write_table(discovery.averaged(curves).select("method", "i", "mean"), path, ["method", "i"], sep="\t")
+    text.write_table(selection.averaged(curves).select("method", "i", "mean"), path, ["method", "i"], sep="\t")
 
 
 WORKFLOWS: dict[str, Callable] = {f.__name__: f for f in (discover, discover_random_dawn, discover_segments, discover_chunks, histogram_of_segments, cluster_segments, more_bag_features, rain_probabilities, spectrograms_of_folder, segments_of_folder, export_experiment, discovery_curve_file)}

@@ -165,11 +165,7 @@ def segmentation_false_negatives(spark, sf_dir):
     f"WITH {views.PART_BAGS}, l AS (SELECT bag_id, unnest(labels) AS y FROM pb), k AS (SELECT * FROM l WHERE y NOT IN (21, 22, 23, 24, 26)), n AS (SELECT y, count(*) AS n FROM k GROUP BY y), lim AS (SELECT quantile_disc(n, 0.1) AS q FROM n), c AS (SELECT y, row_number() OVER (ORDER BY y) - 1 AS new_id FROM n WHERE n > (SELECT q FROM lim)), bad AS (SELECT DISTINCT bag_id FROM k JOIN n USING (y) WHERE n <= (SELECT q FROM lim)) SELECT p.bag_id, coalesce(string_agg(new_id::VARCHAR, ',' ORDER BY new_id), '') AS labels FROM pb p LEFT JOIN k USING (bag_id) LEFT JOIN c USING (y) WHERE p.bag_id NOT IN (SELECT bag_id FROM bad) GROUP BY p.bag_id",
 )
 def rare_class_filter(spark, sf_dir):
-    b = views.part_bags(spark, sf_dir)
-    drop = (21, 22, 23, 24, 26)
-    n = b.select(F.explode("labels").alias("y")).filter(~F.col("y").isin(*drop)).groupBy("y").agg(F.count("*").alias("n"))
-    limit = n.agg(F.expr("percentile_disc(0.1) WITHIN GROUP (ORDER BY n)")).first()[0]
-    kept, _ = B.without_rare(b, drop, int(limit))
+    kept, _ = B.without_rare(views.part_bags(spark, sf_dir), (21, 22, 23, 24, 26), share=0.1)
     return kept.select("bag_id", F.array_join("labels", ",").alias("labels"))
 
 

@@ -119,4 +119,14 @@ def segment_table(spark, sf_dir):
     from murmura.operators import audio
 
     images = audio.spectrograms(_signals(spark, sf_dir))
-    return audio.segment_table(images, audio.masks(images, 0.35)).select("path", "segment_id", "rect.*", F.size("features").alias("n_features"))
+    return audio.segment_table(images, audio.masks(images, 0.35)).select("path", "segment_id", "rect.*", F.transform("features", lambda x: F.round(x, 6)).alias("features"))
+
+
+@query("competition_baseline")
+def competition_baseline(spark, sf_dir):
+    """(rec_id, species, probability): what a forest for each class says of the bags that it hasn't learnt from."""
+    from murmura.operators import recordings
+
+    e = _examples(spark, sf_dir).select(F.col("bag_id").alias("example_id"), F.when(F.col("bag_id") % 2 == 0, "train").otherwise("test").alias("partition"), "labels", "features")
+    got = multilabel.predictions(e, "binary_relevance", 10, multilabel.train_val_test(), trees=5, max_depth=4)
+    return recordings.long_scores(got, key="example_id").withColumn("probability", F.round("probability", 6))

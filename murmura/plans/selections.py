@@ -115,10 +115,8 @@ def discovery_selections(spark, sf_dir):
 @query("discovery_experiment")
 def discovery_experiment(spark, sf_dir):
     """Mean discovery curves of several methods over repeated subsamples."""
-    from murmura.operators import discovery
-
     names = ["random", "coverage_oracle", "cluster_centers", "MIFF"]
-    return discovery.averaged(selection.experiment(views.bags(spark, sf_dir), views.segments(spark, sf_dir), names, 4, 2))
+    return selection.averaged(selection.experiment(views.bags(spark, sf_dir), views.segments(spark, sf_dir), names, 4, 2))
 
 
 @query("nearest_bags", f"WITH {views.SEGMENTS}, pd AS (SELECT a.bag_id AS a, b.bag_id AS b, a.segment_id AS i, b.segment_id AS j, sqrt({_d('a.features', 'b.features')}) AS d FROM seg a JOIN seg b ON a.bag_id <> b.bag_id), m AS (SELECT a, b, min(d) AS m FROM pd GROUP BY a, b, i UNION ALL SELECT a, b, min(d) FROM pd GROUP BY a, b, j), h AS (SELECT a, b, round(sum(m) / count(*), 9) AS d FROM m GROUP BY a, b) SELECT a, b, round(d, 6) AS distance FROM h QUALIFY row_number() OVER (PARTITION BY a ORDER BY d, b) = 1")

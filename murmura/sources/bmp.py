@@ -84,8 +84,8 @@ def encode(img: np.ndarray) -> bytes:
     return b"BM" + struct.pack("<IHHI", start + len(body), 0, 0, start) + struct.pack("<IiiHHIIiiII", 40, w, h, 1, 8 if grey else 24, 0, len(body), 2835, 2835, 256 if grey else 0, 0) + palette + body
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each readable image of a folder; others are left out."""
+def read(spark: SparkSession, path: str, problems: bool = False) -> DataFrame:
+    """One row for each readable image of a folder; with ``problems`` also those that aren't, with what is wrong in column ``problem``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -93,12 +93,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             for p, data in zip(b["path"], b["content"], strict=True):
                 try:
                     img = decode(bytes(data))
-                except ValueError:
-                    continue
-                rows.append((p, img.shape[1], img.shape[0], 3, img.tobytes()))
-            yield pd.DataFrame(rows, columns=["path", "w", "h", "channels", "data"])
+                    rows.append((p, img.shape[1], img.shape[0], 3, img.tobytes(), None))
+                except (ValueError, IndexError, struct.error) as e:
+                    rows.append((p, None, None, None, None, str(e)))
+            yield pd.DataFrame(rows, columns=["path", "w", "h", "channels", "data", "problem"]).astype({c: "Int32" for c in ("w", "h", "channels")})
 
-    return listing(spark, path).filter("lower(path) LIKE '%.bmp'").select("path", "content").mapInPandas(run, SCHEMA)
+    every = listing(spark, path).filter("lower(path) LIKE '%.bmp'").select("path", "content").mapInPandas(run, SCHEMA + ", problem string")
+    return every if problems else every.filter("problem IS NULL").drop("problem")
 
 
 def write(df: DataFrame, path: str) -> int:

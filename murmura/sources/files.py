@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
-    """Files of a folder with their content; names that start with a dot are skipped."""
+    """Files of a folder with their content; names that start with a dot are skipped, and Spark gives no row for a file of no bytes."""
     return spark.read.format("binaryFile").load(path).filter(~F.element_at(F.split("path", "/"), -1).startswith("."))
 
 

@@ -1,4 +1,4 @@
-"""Class discovery: orders in which to look at bags so as to meet many classes early.
+"""Plain forms of class discovery, on the arrays of one experiment: orders in which to look at bags so as to meet many classes early.
 
 A method takes a ``Bags`` (numpy arrays of one experiment) and a number of picks and
 returns places in it. ``METHODS`` names them; add to it to plug one in. Repetitions
@@ -333,8 +333,3 @@ def experiment(bags: DataFrame, segments: DataFrame, methods: list[str], n: int,
 
     tasks = spark.createDataFrame([(m, r) for m in methods for r in range(repetitions)], "method string, repetition int").repartition(len(methods) * repetitions)
     return tasks.mapInPandas(run, "method string, repetition int, i int, n_known int")
-
-
-def averaged(curves: DataFrame) -> DataFrame:
-    """(method, i, mean, std): population deviation over repetitions."""
-    return curves.groupBy("method", "i").agg(F.avg("n_known").alias("mean"), F.stddev_pop("n_known").alias("std"))

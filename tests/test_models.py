@@ -3,8 +3,8 @@
 import numpy as np
 import pytest
 
+import plain_discovery as D
 from murmura.operators import bags as B
-from murmura.operators import discovery as D
 from murmura.operators import forest, multilabel, traversal
 
 
@@ -200,7 +200,7 @@ def _within(k):
 
 @pytest.mark.parametrize("method, score, last", [("farthest2", _largest(1), False), ("farthest3", _largest(2), False), ("MIFF", _within(1), True), ("MIFFk1", _within(1), True), ("MIFFk2", _within(2), True), ("instance_coverage", lambda own, covered: sum(_d2(x, c) ** 0.5 for x in own for c in covered), True)])
 def test_discovery_against_plain_versions(method, score, last):
-    from murmura.operators.discovery import METHODS, Bags
+    from plain_discovery import METHODS, Bags
 
     for seed in range(4):
         rng = np.random.default_rng(seed)
@@ -213,7 +213,7 @@ def test_discovery_against_plain_versions(method, score, last):
 
 
 def test_instance_walk_against_a_plain_version():
-    from murmura.operators.discovery import METHODS, Bags
+    from plain_discovery import METHODS, Bags
 
     rng = np.random.default_rng(3)
     sizes = rng.integers(1, 4, 10)

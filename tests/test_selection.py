@@ -3,8 +3,8 @@
 import numpy as np
 import pytest
 
+import plain_discovery as D
 from murmura.operators import bags as B
-from murmura.operators import discovery as D
 from murmura.operators import selection as S
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from murmura.operators import discovery
+from murmura.operators import selection
 from murmura.operators import workflows as W
 from murmura.plans import views
 from murmura.sources import text
@@ -43,7 +43,7 @@ def test_features_and_files(spark, tables, tmp_path):
     classes = spark.range(10).select(F.col("id").cast("int").alias("class_id"), F.concat(F.lit("c"), "id").alias("name"))
     W.export_experiment(h.join(b, "bag_id"), classes, path, 3, 10)
     assert text.read_experiment(spark, path)[2].count() == 20
-    W.discovery_curve_file(discovery.experiment(b, s, ["coverage_oracle"], 3, 2), str(tmp_path / "curve"))
+    W.discovery_curve_file(selection.experiment(b, s, ["coverage_oracle"], 3, 2), str(tmp_path / "curve"))
     assert spark.read.text(str(tmp_path / "curve")).first().value.startswith("coverage_oracle\t0\t0.000000")
 
 
