@@ -38,22 +38,34 @@ def _best(counts: str) -> str:
 WHERE nx - x >= 1e-6 QUALIFY row_number() OVER (PARTITION BY node ORDER BY round({score}, 12), f, x) = 1"""
 
 
-@query(
-    "tree_levels",
-    f"""WITH r AS (SELECT [l_quantity::DOUBLE, l_discount::DOUBLE, l_tax::DOUBLE] AS v, (l_returnflag = 'R')::INT AS y FROM lineitem),
+TREE_LEVELS = f"""WITH r AS (SELECT [l_quantity::DOUBLE, l_discount::DOUBLE, l_tax::DOUBLE] AS v, (l_returnflag = 'R')::INT AS y FROM lineitem),
 h0 AS (SELECT 0 AS node, f, v[f + 1] AS x, count(*) AS n, sum(y) AS p FROM (SELECT *, unnest([0, 1, 2]) AS f FROM r) GROUP BY ALL),
 s0 AS ({_best("h0")}),
 r1 AS (SELECT CASE WHEN v[s0.f + 1] < t THEN 1 ELSE 2 END AS node, v, y FROM r, s0),
 h1 AS (SELECT node, f, v[f + 1] AS x, count(*) AS n, sum(y) AS p FROM (SELECT *, unnest([0, 1, 2]) AS f FROM r1) GROUP BY ALL),
 s1 AS ({_best("h1")})
-SELECT node::INT AS node, f::INT AS feature, round(t, 6) AS threshold, round(share, 6) AS share FROM (SELECT * FROM s0 UNION ALL SELECT * FROM s1)""",
-)
+SELECT node::INT AS node, f::INT AS feature, round(t, 6) AS threshold, round(share, 6) AS share FROM (SELECT * FROM s0 UNION ALL SELECT * FROM s1)"""
+
+
+def tree_table(spark, sf_dir):
+    """All lines of all orders as examples."""
+    return views.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.array(*(F.col(c).cast("double") for c in ("l_quantity", "l_discount", "l_tax"))).alias("features"), (F.col("l_returnflag") == "R").cast("int").alias("label"))
+
+
+def tree_rows(spark, tree):
+    """A row for each split of a model, numbered level by level: its feature, threshold and the share of the class at it."""
+    order = [0]
+    for k in order:
+        order += [int(tree.left[k]), int(tree.right[k])] if tree.feature[k] >= 0 else []
+    rows = [(i, int(tree.feature[k]), round(float(tree.threshold[k]), 6), round(float(tree.hist[k][1]), 6)) for i, k in enumerate(order) if tree.feature[k] >= 0]
+    return spark.createDataFrame(rows, "node int, feature int, threshold double, share double")
+
+
+@query("tree_levels", TREE_LEVELS)
 def tree_levels(spark, sf_dir):
-    """The first two levels of a tree on all lines of all orders: its splits and the share of the class at each."""
-    x = views.read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.array(*(F.col(c).cast("double") for c in ("l_quantity", "l_discount", "l_tax"))).alias("features"), (F.col("l_returnflag") == "R").cast("int").alias("label"))
-    (tree,) = growth.grow(x, [growth.Spec(0)], 2, ["l_orderkey", "l_linenumber"], max_depth=2, mtry=3, bootstrap=False, leaf="histogram")
-    rows = [(i, int(f), round(float(t), 6), round(float(h[1]), 6)) for i, (f, t, h) in enumerate(zip(tree.feature, tree.threshold, tree.hist, strict=True)) if f >= 0]
-    return spark.createDataFrame(rows, "node int, feature int, threshold double, share double")  # a row for each node of a model
+    """The first two levels of a tree on all lines of all orders."""
+    (tree,) = growth.grow(tree_table(spark, sf_dir), [growth.Spec(0)], 2, ["l_orderkey", "l_linenumber"], max_depth=2, mtry=3, bootstrap=False, leaf="histogram")
+    return tree_rows(spark, tree)
 
 
 @query("forest_oob")
