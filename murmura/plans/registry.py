@@ -21,7 +21,7 @@ def query(name: str, oracle: str | None = None):
 
 
 def _load() -> None:
-    from murmura.plans import analytics, files, models, selections  # noqa: F401  their queries register themselves
+    from murmura.plans import analytics, files, formulas, models, selections  # noqa: F401  their queries register themselves
 
 
 def queries() -> dict[str, Callable]:
