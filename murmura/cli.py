@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmura.operators import bags as B
-from murmura.operators import folders, multilabel
+from murmura.operators import folders, multilabel, selection
 from murmura.operators import workflows as W
+from murmura.session import cut
 from murmura.sources import forest_text, text
 
 
@@ -46,6 +47,18 @@ def copy(spark, a):
     print(folders.copy_files(spark, a.source, a.target), "files")
 
 
+def setup(spark, a):
+    print(*folders.set_up(a.target), sep="\n")
+
+
+def move(spark, a):
+    print(folders.move_files(spark, a.source, a.target), "files")
+
+
+def copy_supporting(spark, a):
+    print(folders.copy_supporting(spark, a.examples, a.source, a.target), "files")
+
+
 def copy_random(spark, a):
     print(folders.copy_random(spark, a.source, a.target, a.n, a.seed), "files")
 
@@ -74,6 +87,23 @@ def cluster_segments(spark, a):
     folders.write_images(folders.mosaics(folders.grey_images(spark, f"{a.data}/segments").join(own, "path"), by="cluster"), f"{a.data}/clustered_segments")
 
 
+def discover(spark, a):
+    """Bags in the order of a discovery method, optionally without those that are likely rain."""
+    bags = _labelled(spark, a.data)
+    if a.rain < 1:
+        bags = bags.join(text.read_rain(spark, f"{a.data}/rain_probabilities"), "bag_id")
+    order = W.discover(bags, _segments(spark, a.data), a.method, a.n, a.rain if a.rain < 1 else None, a.seed)
+    names = {r.bag_id: r.filename for r in bags.filter(F.col("bag_id").isin(order)).select("bag_id", "filename").collect()}  # the picks
+    for i in order:
+        print(i, names[i], sep="\t")
+
+
+def discovery_curves(spark, a):
+    """Mean numbers of known classes by picks, over repeated parts of the bags."""
+    curves = selection.experiment(_labelled(spark, a.data), cut(B.rescaled(_segments(spark, a.data))), a.methods, a.n, a.repetitions, seed=a.seed)
+    W.discovery_curve_file(curves, a.target)
+
+
 def discover_segments(spark, a):
     for r in W.discover_segments(_segments(spark, a.data), a.method, a.n, a.seed):
         print(*r, sep="\t")
@@ -153,6 +183,11 @@ def parser() -> argparse.ArgumentParser:
     command(spectrogram, "source", "target", filter=(bool, False))
     command(noise_filter, "source", "target")
     command(copy, "source", "target")
+    command(setup, "target")
+    command(move, "source", "target")
+    command(copy_supporting, "examples", "source", "target")
+    command(discover, "data", "method", n=(int, 10), rain=(float, 1.0), **seed)
+    command(discovery_curves, "data", "target", methods=(list, ["random", "MIFF"]), n=(int, 10), repetitions=(int, 10), **seed)
     command(copy_random, "source", "target", n=(int, 10), **seed)
     command(segmentation_train, "source", "examples", "model", **seed)
     command(segmentation_run, "model", "source", "target")

@@ -21,6 +21,8 @@ from murmura.operators.forest import Forest
 from murmura.sources import bmp, files, text, wav
 
 RED = (1.0, 0.0, 0.0)
+#: The folders of an analysis.
+FOLDERS = ("src_wavs", "chunks", "spectrograms", "filtered_spectrograms", "segmentation_examples", "segmentation_mask", "segmentation_outlines", "segmentation_probabilities", "segments", "segment_masks", "segment_box_visualization", "clustered_segments", "segmentation_examples_support", "unambiguous")
 
 
 def stem(path: str) -> F.Column:
@@ -64,6 +66,49 @@ def copy_files(spark: SparkSession, source: str, target: str, names: DataFrame |
     return files.write_files(every if names is None else every.join(names.select("name"), "name", "left_semi"), target)
 
 
+def set_up(path: str) -> list[str]:
+    """Make the folders of an analysis where they are missing; their paths."""
+    from pyarrow import fs
+
+    target, base = fs.FileSystem.from_uri(path)
+    for name in FOLDERS:
+        target.create_dir(f"{base}/{name}", recursive=True)
+    return [f"{path}/{name}" for name in FOLDERS]
+
+
+def move_files(spark: SparkSession, source: str, target: str) -> int:
+    """Move a folder's files to another folder of the same file system, by name and without reading them; returns how many.
+
+    A task that runs again finds its files moved and counts them all the same.
+    """
+    from pyarrow import fs
+
+    there, base = fs.FileSystem.from_uri(target)
+    there.create_dir(base, recursive=True)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        there, base = fs.FileSystem.from_uri(target)
+        _, start = fs.FileSystem.from_uri(source)
+        n = 0
+        for b in batches:
+            for name in b["name"]:
+                if there.get_file_info(f"{start}/{name}").type == fs.FileType.File:
+                    there.move(f"{start}/{name}", f"{base}/{name}")
+                elif there.get_file_info(f"{base}/{name}").type != fs.FileType.File:
+                    raise FileNotFoundError(f"{start}/{name}")
+                n += 1
+        yield pd.DataFrame({"n": [n]})
+
+    names = files.listing(spark, source).select(F.element_at(F.split("path", "/"), -1).alias("name"))
+    return names.mapInPandas(run, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def copy_supporting(spark: SparkSession, examples: str, recordings: str, target: str) -> int:
+    """Copy the recordings that a folder of example images was made from: those of the same name up to the first dot."""
+    names = files.listing(spark, examples).select(F.concat(F.substring_index(F.element_at(F.split("path", "/"), -1), ".", 1), F.lit(".wav")).alias("name")).distinct()
+    return copy_files(spark, recordings, target, names)
+
+
 def copy_random(spark: SparkSession, source: str, target: str, k: int, seed: int = 0) -> int:
     """Copy ``k`` files of a folder, chosen by a hash of name and seed."""
     from murmura.operators.recordings import random_rows
