@@ -9,9 +9,11 @@ contaminated if some window of ``window`` tokens differs in at most
 hit, wherever its substitutions are, so the result is that of comparing all
 windows (``covers`` checks this for other parameters).
 
-The join against the texts never shuffles them: items' hashes are broadcast, in
-blocks of ``MAX_SEEDS`` at most, so any number of items takes bounded memory. Only
-hits shuffle, combined by diagonal before they do.
+Items are tokenised once and written. The join against the texts never shuffles
+these: items' hashes are broadcast, in blocks of ``MAX_SEEDS`` at most. With several
+blocks each is a job of its own, which reads the texts and writes its hits, so that
+one block is in memory at a time however many items there are. Only hits shuffle,
+combined by diagonal before they do.
 
 Items shorter than ``window`` count only as a whole and unchanged. Tokens are runs
 of letters and digits, lower-cased.
@@ -33,6 +35,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from murmura.session import scratch_dir
+
 WINDOW = 13
 SUBSTITUTIONS = 2
 #: Masks of six tokens that between them hit every window of 13 with two substitutions.
@@ -62,17 +66,22 @@ def seed(h: Column, at: Column, number: int, mask: tuple[int, ...]) -> Column:
     return F.when(at + max(mask) < F.size(h), F.xxhash64(F.lit(number), *(F.get(h, at + o) for o in mask)))
 
 
-def itemised(items: DataFrame, item_text: str) -> DataFrame:
-    """``items`` with the hashes ``ih`` of their tokens, and a hash ``item`` of these."""
-    return items.withColumn("ih", hashed(tokens(items[item_text]))).withColumn("item", F.xxhash64("ih"))
+def itemised(items: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    """(item_id, ih, item), written once: the hashes ``ih`` of an item's tokens, and a hash ``item`` of these; items without a token are left out."""
+    cut = items.select(items[item_id].alias("item_id"), hashed(tokens(items[item_text])).alias("ih"))
+    path = scratch_dir(items.sparkSession, "items")
+    cut.filter(F.size("ih") > 0).withColumn("item", F.xxhash64("ih")).write.parquet(path)
+    return items.sparkSession.read.parquet(path)
 
 
-def diagonals(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id: str, item_text: str, window: int, substitutions: int, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
-    """(doc_id, of, item, good) of each diagonal that overlaps: ``of`` is the text's hash, ``item`` that of the item's tokens, ``good`` the matches in each window that passes."""
+def diagonals(docs: DataFrame, cut: DataFrame, id_col: str, text_col: str, window: int, substitutions: int, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
+    """(doc_id, of, item, good) of each diagonal that overlaps an item of ``cut``: ``of`` is the text's hash, ``item`` that of the item's tokens, ``good`` the matches in each window that passes."""
     if not covers(masks, window, substitutions):
         raise ValueError("these masks miss some windows")
-    bench = itemised(items, item_text).select("item", "ih").filter(F.size("ih") > 0).dropDuplicates(["item"])
-    short = sorted(r[0] for r in bench.filter(F.size("ih") < window).select(F.size("ih")).distinct().collect())  # at most window - 1 lengths
+    bench = cut.select("item", "ih").dropDuplicates(["item"])
+    n = F.size("ih")
+    facts = bench.agg(F.count_if(n < window) + len(masks) * F.coalesce(F.sum(F.when(n >= window, n)), F.lit(0)), F.collect_set(F.when(n < window, n))).first()
+    blocks, short = max(1, -(-facts[0] // MAX_SEEDS)), sorted(facts[1])  # at most window - 1 lengths
     long_seeds = bench.filter(F.size("ih") >= window).select("item", "ih", F.explode(F.sequence(F.lit(0), F.size("ih") - 1)).alias("j"))
     long_seeds = long_seeds.select("item", "j", F.size("ih").alias("len"), F.explode(F.array_compact(F.array(*(seed(F.col("ih"), F.col("j"), k, m) for k, m in enumerate(masks))))).alias("key"))
     every = [(k, m) for k, m in enumerate(masks)] + [(len(masks) + n, tuple(range(n))) for n in short]
@@ -84,16 +93,16 @@ def diagonals(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, ite
     at = texts.select("doc_id", "of", "h", F.explode(F.sequence(F.lit(0), F.size("h") - 1)).alias("i"))
     laid = at.select("doc_id", "of", "h", "i", F.explode(F.array(*(seed(F.col("h"), F.col("i"), k, m) for k, m in every))).alias("key")).filter("key IS NOT NULL")
 
-    blocks = max(1, -(-seeds.count() // MAX_SEEDS))
-    met = None
+    path = scratch_dir(docs.sparkSession, "hits") if blocks > 1 else None
     for b in range(blocks):
         own = seeds.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
         hits = laid.join(F.broadcast(own), "key").withColumn("diagonal", F.col("i") - F.col("j"))
         start, end = F.greatest(F.col("diagonal"), F.lit(0)), F.least(F.col("diagonal") + F.col("len"), F.size("h"))
         hits = hits.select("doc_id", "of", "item", "diagonal", F.slice("h", start + 1, end - start).alias("side"))
         hits = hits.groupBy("doc_id", "of", "item", "diagonal").agg(F.first("side").alias("side"))
-        met = hits if met is None else met.unionByName(hits)
-    met = met.join(bench, "item")
+        if path:
+            hits.write.mode("append").parquet(path)
+    met = (docs.sparkSession.read.parquet(path) if path else hits).join(bench, "item")
     skipped = F.greatest(-F.col("diagonal"), F.lit(0))
     same = F.zip_with("side", F.slice("ih", skipped + 1, F.size("side")), lambda a, b: F.when(a == b, 1).otherwise(0))
     met = met.select("doc_id", "of", "item", same.alias("same"), F.least(F.lit(window), F.size("ih")).alias("w"), F.when(F.size("ih") < window, 0).otherwise(substitutions).alias("s"))
@@ -104,14 +113,14 @@ def diagonals(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, ite
 
 def find_overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, substitutions: int = SUBSTITUTIONS, masks: tuple[tuple[int, ...], ...] = MASKS) -> DataFrame:
     """One row per (doc_id, item_id) that overlaps: n_windows that pass, best_matches in one of them."""
-    met = diagonals(docs, items, id_col, text_col, item_id, item_text, window, substitutions, masks)
+    cut = itemised(items, item_id, item_text)
+    met = diagonals(docs, cut, id_col, text_col, window, substitutions, masks)
     found = met.groupBy("doc_id", "item").agg(F.sum(F.size("good")).cast("bigint").alias("n"), F.max(F.array_max("good")).cast("bigint").alias("best"))
-    names = itemised(items.select(items[item_id].alias("item_id"), items[item_text].alias("text")), "text").select("item_id", "item").distinct()
-    return found.join(names, "item").groupBy("doc_id", "item_id").agg(F.sum("n").alias("n_windows"), F.max("best").alias("best_matches"))
+    return found.join(cut.select("item_id", "item").distinct(), "item").groupBy("doc_id", "item_id").agg(F.sum("n").alias("n_windows"), F.max("best").alias("best_matches"))
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, substitutions: int = SUBSTITUTIONS) -> DataFrame:
     """The documents whose own text overlaps no item, with all their columns."""
-    met = diagonals(docs, items, id_col, text_col, item_id, item_text, window, substitutions, MASKS)
+    met = diagonals(docs, itemised(items, item_id, item_text), id_col, text_col, window, substitutions, MASKS)
     bad = met.select(F.col("doc_id").alias("murmura_id"), F.col("of").alias("murmura_of")).distinct()
     return docs.join(bad, docs[id_col].eqNullSafe(bad["murmura_id"]) & (F.xxhash64(docs[text_col]) == bad["murmura_of"]), "left_anti")
