@@ -53,8 +53,7 @@ def covers(masks, window: int, substitutions: int) -> bool:
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits; an empty array for null or none."""
-    words = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    return F.when(F.length(words) > 0, F.split(words, " ")).otherwise(F.array().cast("array<string>"))
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 def hashed(words: Column) -> Column:
