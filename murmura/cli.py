@@ -75,6 +75,11 @@ def analyze_segments(spark, a):
     folders.analyze_segments(spark, a.source, a.masks, a.data, text.read_bags(spark, a.bags) if a.bags else None)
 
 
+def segment_boxes(spark, a):
+    """Each image with the boxes and numbers of its segments."""
+    folders.visualize_boxes(spark, a.source, a.masks, a.target)
+
+
 def segment_mosaic(spark, a):
     folders.write_images(folders.mosaics(folders.grey_images(spark, f"{a.data}/segments")), f"{a.data}/segment_mosaic")
 
@@ -192,6 +197,7 @@ def parser() -> argparse.ArgumentParser:
     command(segmentation_train, "source", "examples", "model", **seed)
     command(segmentation_run, "model", "source", "target")
     command(analyze_segments, "source", "masks", "data", bags=(str, None))
+    command(segment_boxes, "source", "masks", "target")
     command(segment_mosaic, "data")
     command(cluster_segments, "data", n=(int, 100), **seed)
     command(discover_segments, "data", "method", n=(int, 10), **seed)

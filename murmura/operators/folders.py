@@ -14,13 +14,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmura.functions import image
+from murmura.functions import captions, image
 from murmura.operators import audio
 from murmura.operators.bags import compact_ids
 from murmura.operators.forest import Forest
 from murmura.sources import bmp, files, text, wav
 
 RED = (1.0, 0.0, 0.0)
+#: Boxes and captions, in bytes.
+BOX = (255, 0, 0)
 #: The folders of an analysis.
 FOLDERS = ("src_wavs", "chunks", "spectrograms", "filtered_spectrograms", "segmentation_examples", "segmentation_mask", "segmentation_outlines", "segmentation_probabilities", "segments", "segment_masks", "segment_box_visualization", "clustered_segments", "segmentation_examples_support", "unambiguous")
 
@@ -180,6 +182,35 @@ def analyze_segments(spark: SparkSession, source: str, mask_folder: str, target:
     write_images(crops.withColumn("data", F.col("mask")), f"{target}/segment_masks")
 
 
+def segment_boxes(images: DataFrame, segments: DataFrame, caption: str | None = None) -> DataFrame:
+    """(path, w, h, data) with three bytes to a pixel: each image with the boxes of its segments in red, and inside a box its caption.
+
+    ``segments``: path, segment_id, rect (min_x, max_x, min_y, max_y), and the column
+    that ``caption`` names, null for none. Images without segments stay without boxes.
+    What is gathered for an image is bounded by its pixels, as segments don't overlap.
+    """
+    said = F.coalesce(F.col(caption).cast("string"), F.lit("")) if caption else F.lit("")
+    own = segments.select("path", F.struct("segment_id", "rect.min_x", "rect.max_x", "rect.min_y", "rect.max_y", said.alias("said")).alias("box"))
+    both = images.join(own.groupBy("path").agg(F.array_sort(F.collect_list("box")).alias("boxes")), "path", "left")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples():
+                img = np.stack([np.frombuffer(r.data, np.uint8).reshape(r.h, r.w)] * 3, 2)
+                for box in r.boxes if r.boxes is not None else ():
+                    image.draw_box(img, box["min_x"], box["min_y"], box["max_x"], box["max_y"], BOX)
+                    captions.draw_text(img, box["said"], box["min_x"] + 2, box["min_y"] + 2, BOX, upwards=True)
+                yield pd.DataFrame({"path": [r.path], "w": [r.w], "h": [r.h], "data": [img.tobytes()]})
+
+    return both.select("path", "w", "h", "data", "boxes").mapInPandas(run, audio.IMAGES)
+
+
+def visualize_boxes(spark: SparkSession, source: str, mask_folder: str, target: str) -> int:
+    """Writes each image with the boxes and numbers of its segments; how many."""
+    images = grey_images(spark, source)
+    return write_images(segment_boxes(images, audio.segment_table(images, grey_images(spark, mask_folder)), "segment_id"), target, 3)
+
+
 def mosaics(images: DataFrame, width: int = 2000, per_page: int = 500, by: str | None = None) -> DataFrame:
     """(path, w, h, data): pages on which up to ``per_page`` images each, in order of size, are packed into centred rows.
 

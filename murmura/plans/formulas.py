@@ -6,9 +6,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from murmura.functions import image, scalar, signal, strings
+from murmura.functions import captions, image, scalar, signal, strings
 from murmura.functions import vector as V
-from murmura.operators import audio, selection
+from murmura.operators import audio, folders, selection
 from murmura.operators import recordings as R
 from murmura.plans import views
 from murmura.plans.analytics import _of_images, _of_vectors, r6
@@ -174,6 +174,27 @@ def mask_parts(spark, sf_dir):
     return audio.tile_components(tiles).select("path", F.col("component.y").alias("first_y"), F.col("component.x").alias("first_x"), "pixels", "min_x", "max_x", "min_y", "max_y")
 
 
+#: The lit pixels of the digits of segment numbers, row 0 lowest.
+_DIGITS = ", ".join(f"('{c}', {x}, {captions.LINE - 1 - y})" for c in "01234" for y, x in np.argwhere(captions.glyph(c)).tolist())
+_BOX = {"x0": "{0} % 40", "x1": "{0} % 40 + 3 + {1} % 20", "y0": "{2} % 40", "y1": "{2} % 40 + 3 + {3} % 20"}
+_BOX_SQL = ", ".join(f"({v.format(*(f'floor(abs(features[{i}]) * 100)::INT' for i in range(1, 5)))}) AS {k}" for k, v in _BOX.items())
+
+
+@query("segment_boxes", f"WITH {views.SEGMENTS}, g(c, gx, gy) AS (VALUES {_DIGITS}), r AS (SELECT bag_id, segment_id, {_BOX_SQL} FROM seg), p AS (SELECT bag_id, unnest(range(x0, x1 + 1)) AS x, y0 AS y FROM r UNION SELECT bag_id, unnest(range(x0, x1 + 1)), y1 FROM r UNION SELECT bag_id, x0, unnest(range(y0, y1 + 1)) FROM r UNION SELECT bag_id, x1, unnest(range(y0, y1 + 1)) FROM r UNION SELECT bag_id, x0 + 2 + gx, y0 + 2 + gy FROM r JOIN g ON c = segment_id::VARCHAR) SELECT bag_id::VARCHAR AS path, count(*)::BIGINT AS red, sum(x)::BIGINT AS sum_x, sum(y)::BIGINT AS sum_y FROM p GROUP BY bag_id")
+def segment_boxes(spark, sf_dir):
+    """Boxes that follow from the vectors, drawn with their numbers into dark images: red pixels and the totals of their places."""
+    own = {k: F.expr(v.format(*(f"cast(floor(abs(features[{i}]) * 100) AS int)" for i in range(4)))) for k, v in _BOX.items()}
+    s = views.segments(spark, sf_dir).select(F.col("bag_id").cast("string").alias("path"), "segment_id", F.struct(own["x0"].alias("min_x"), own["x1"].alias("max_x"), own["y0"].alias("min_y"), own["y1"].alias("max_y")).alias("rect"))
+    dark = s.select("path").distinct().select("path", F.lit(64).alias("w"), F.lit(64).alias("h"), F.lit(bytearray(64 * 64)).alias("data"))
+
+    def red(batches):
+        for b in batches:
+            on = [np.nonzero(np.frombuffer(d, np.uint8).reshape(64, 64, 3)[:, :, 0]) for d in b["data"]]
+            yield pd.DataFrame({"path": b["path"], "red": [len(y) for y, _ in on], "sum_x": [int(x.sum()) for _, x in on], "sum_y": [int(y.sum()) for y, _ in on]})
+
+    return folders.segment_boxes(dark, s, "segment_id").mapInPandas(red, "path string, red bigint, sum_x bigint, sum_y bigint")
+
+
 @query("curve_means", f"WITH {views.BAGS}, o AS (SELECT bag_id, labels, bag_id % 3 AS rep, row_number() OVER (PARTITION BY bag_id % 3 ORDER BY bag_id) AS i FROM bags QUALIFY i <= 5), s AS (SELECT rep, y, min(i) AS i FROM (SELECT rep, i, unnest(labels) AS y FROM o) GROUP BY ALL), c AS (SELECT rep, g.i, (SELECT count(*) FROM s WHERE s.rep = r.rep AND s.i <= g.i) AS n FROM range(0, 6) g(i), (SELECT DISTINCT rep FROM o) r) SELECT i::INT AS i, round(avg(n), 6) AS mean, round(stddev_pop(n), 6) AS std FROM c GROUP BY i")
 def curve_means(spark, sf_dir):
     """Discovery curves of three thirds of the bags, five picks each in key order."""
