@@ -516,3 +516,12 @@ def test_jaccard_looks_texts_up_by_a_bitmap_too(spark, monkeypatch):
     texts = [" ".join(words), " ".join([*words[:30], "x", *words[30:]]), " ".join(words[::-1])]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     assert sorted((r.ord, r.component_id) for r in jaccard.near_duplicates(df).collect()) == [(0, 0), (1, 0), (2, 2)]
+
+
+def test_decontamination_tokens(spark):
+    """Runs of letters and digits, whatever stands at a text's ends."""
+    import regex
+
+    texts = ["", "  ", "a", " a b ", "--x--y", "x--", "ÀÉ 漢字 ١٢", "𝒜b 𐐀", "áb", "\n\tA1\x00B", "w, " * 50_000, "z" * 200_000]
+    got = spark.createDataFrame(list(enumerate([*texts, None])), "i int, text string").select("i", decontam.tokens(F.col("text")).alias("t"))
+    assert dict((r.i, r.t) for r in got.collect()) == {i: regex.findall(r"[\p{L}\p{N}]+", (t or "").lower()) for i, t in enumerate([*texts, None])}
