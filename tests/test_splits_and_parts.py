@@ -115,3 +115,16 @@ def test_damaged_images_are_told(spark, tmp_path):
     assert [r.path.split("/")[-1] for r in bmp.read(spark, str(tmp_path)).collect()] == ["good.bmp"]
     told = {r.path.split("/")[-1]: r.problem for r in bmp.read(spark, str(tmp_path), problems=True).collect()}
     assert told["good.bmp"] is None and all(told[n] for n in ("head.bmp", "cut.bmp", "rle.bmp"))
+
+
+def test_small_ranges_share_partitions(spark, folder, monkeypatch):
+    """Tasks follow from bytes, not from the number of files or ranges; spans of long files stay apart."""
+    read = lambda: wav_splits.Reader({"path": str(folder), "range": "150", "window": "64", "step": "48"})
+    rows = lambda r: sorted((b["path"], b["at"], b["own"]) for p in r.partitions() for x in r.read(p) for b in x.to_pylist() if b["problem"] is None)
+    together = read()
+    assert len(together.partitions()) == 1
+    monkeypatch.setattr(wav_splits, "RANGE", 600)
+    monkeypatch.setattr(wav_splits, "BATCH", 100)
+    apart = read()
+    assert len(apart.partitions()) > 40 and max(e - s for p in apart.partitions() for _, s, e in p.spans) <= 600
+    assert rows(apart) == rows(together) and len(rows(together)) > 100
