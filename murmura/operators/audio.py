@@ -37,13 +37,13 @@ def _images(rows: list) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["path", "w", "h", "data"])
 
 
-def split_chunks(audio: DataFrame, seconds: float) -> DataFrame:
-    """(path, chunk, sample_rate, samples): whole chunks only."""
+def split_chunks(audio: DataFrame, seconds: float, rest: bool = False) -> DataFrame:
+    """(path, chunk, sample_rate, samples): whole chunks only, or with ``rest`` also the shorter one at a recording's end."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples():
-                parts = signal.chunks(np.asarray(r.samples), int(r.sample_rate * seconds))
+                parts = signal.chunks(np.asarray(r.samples), int(r.sample_rate * seconds), rest)
                 if not parts:
                     continue
                 yield pd.DataFrame({"path": r.path, "chunk": range(len(parts)), "sample_rate": r.sample_rate, "samples": parts})
