@@ -23,3 +23,9 @@ def vectors(n, seed=0, spread=0.15):
 @pytest.mark.parametrize("n", [11, 13])
 def test_chunks_of_a_recording_cut_short(spark, tmp_path, n):
     check(spark, tmp_path, "recording_chunks", vectors(n))
+
+
+@pytest.mark.parametrize("n", [11, 12])
+def test_profiles_of_a_single_column(spark, tmp_path, n):
+    """An image of one column has no moments along it: NaN on both sides."""
+    check(spark, tmp_path, "profile_features", vectors(n))
