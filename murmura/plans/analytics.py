@@ -390,7 +390,7 @@ def _profile_sql() -> str:
 @query("profile_features", _profile_sql())
 def profile_features(spark, sf_dir):
     figures = _of_images("array<double>", lambda img: image.profile_features(img, _mask(img)))
-    return views.images(spark, sf_dir).select("bag_id", figures("columns").alias("f")).select("bag_id", *(r6(F.get("f", F.lit(i))).alias(c) for i, c in enumerate(_PROFILES)))
+    return views.images(spark, sf_dir).select("bag_id", figures("columns").alias("f")).select("bag_id", *(r6(F.coalesce(F.get("f", F.lit(i)), F.lit(float("nan")))).alias(c) for i, c in enumerate(_PROFILES)))  # pandas takes NaN for null
 
 
 @query("whitening_filter", f"WITH {views.IMAGES}, un AS (SELECT bag_id, x, y, v::FLOAT / 255::FLOAT AS u FROM px), e AS (SELECT bag_id, x, list_reduce(list(u * u ORDER BY y), lambda a, b: (a + b)::FLOAT) / 64::FLOAT AS e FROM un GROUP BY ALL), q AS (SELECT bag_id, x FROM (SELECT *, row_number() OVER (PARTITION BY bag_id ORDER BY e, x) AS r FROM e) WHERE r = 1), s AS (SELECT bag_id, y, sqrt((u * u + 1e-11::FLOAT)::DOUBLE)::FLOAT AS s FROM un JOIN q USING (bag_id, x)) SELECT bag_id, y::INT AS y, x, floor((least(u / s, 1::FLOAT) * 255::FLOAT)::DOUBLE)::INT AS v FROM un JOIN s USING (bag_id, y)")
