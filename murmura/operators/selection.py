@@ -30,7 +30,7 @@ from pyspark.sql.types import StructField, StructType
 
 from murmura.functions import vector as V
 from murmura.operators import bags as B
-from murmura.operators import traversal
+from murmura.operators import tiles, traversal
 from murmura.session import cut, scratch_dir
 
 PENDING, QUEUE, DIGITS = 4096, 256, 9
@@ -273,12 +273,44 @@ def instance_farthest(e: Experiment, n: int) -> list:
     return (order + [r.bag_id for r in rest.collect()])[:n]
 
 
+def _least(one: dict, two: dict, k: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(block, squared distances of its instances to the nearest of each cluster in the other block); both blocks' instances are in order of cluster.
+
+    Distances come from products of matrices; those so small that rounding would tell are taken from the differences.
+    """
+    read = lambda r: (np.frombuffer(r["c"], np.int32), np.frombuffer(r["x"], float).reshape(len(r["c"]) // 4, -1))
+    (c, x), (d, y) = read(one), read(two)
+    middle = x.mean(0)
+    p, q = x - middle, y - middle
+    pp, qq = np.square(p).sum(1), np.square(q).sum(1)
+    ends = lambda v: [(int(v[s]), s, e) for s, e in zip(*(lambda at: (at, [*at[1:], len(v)]))(np.flatnonzero(np.diff(v, prepend=-1)).tolist()), strict=True)]
+    here, there = np.full((len(p), k), np.inf), np.full((len(q), k), np.inf)
+    columns = ends(d)
+    for at in range(0, len(p), ROWS):
+        own = slice(at, at + ROWS)
+        m = p[own] @ q.T
+        m *= -2
+        m += pp[own, None]
+        m += qq
+        few = 1e-6 * (pp[own, None] + qq.max())
+        if (m < few).any():
+            for i, j in zip(*np.nonzero((m < few) & (c[own, None] != d)), strict=True):
+                m[i, j] = np.square(x[at + i] - y[j]).sum()
+        for j, s, e in columns:
+            here[own, j] = m[:, s:e].min(1)
+        for i, s, e in ends(c[own]):
+            np.minimum(there[:, i], m[s:e].min(0), out=there[:, i])
+    yield one["block"], here
+    if one["block"] != two["block"]:
+        yield two["block"], there
+
+
 def cluster_distances(assigned: DataFrame, k: int, compat: bool = False) -> np.ndarray:
     """The average Hausdorff distance between clusters, k x k.
 
-    Instances are packed into blocks. A task holds one block and takes the others one
-    after the other, so that each instance's least distance to every cluster is known
-    before anything is summed; sums by pair of clusters are all that is shuffled then.
+    Instances are packed into blocks, and all pairs of blocks are compared once, in tiles
+    (``tiles.paired``). A tile hands on each block's least distances to every cluster; these are brought
+    together block by block before anything is summed.
     """
     spark = assigned.sparkSession
     path = scratch_dir(spark, "blocks")
@@ -287,46 +319,37 @@ def cluster_distances(assigned: DataFrame, k: int, compat: bool = False) -> np.n
     dealt = assigned.select(F.pmod(F.xxhash64("bag_id", "segment_id"), F.lit(blocks)).cast("int").alias("block"), F.col("features").cast("array<double>").alias("features"), F.col("cluster").cast("int").alias("cluster"))
 
     def pack(t: pa.Table) -> pa.Table:
-        x = t.column("features").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        return pa.table({"block": t.column("block")[:1], "x": pa.array([x.tobytes()], pa.binary()), "c": pa.array([t.column("cluster").to_numpy().astype(np.int32).tobytes()], pa.binary())})
+        c = t.column("cluster").to_numpy().astype(np.int32)
+        order = np.argsort(c, kind="stable")
+        x = t.column("features").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(c), -1)
+        return pa.table({"block": t.column("block")[:1], "x": pa.array([x[order].tobytes()], pa.binary()), "c": pa.array([c[order].tobytes()], pa.binary())})
 
     dealt.groupBy("block").applyInArrow(pack, "block int, x binary, c binary").write.parquet(path)
     packed = spark.read.parquet(path)
-    every = [r[0] for r in packed.select("block").collect()]
-    pairs = spark.createDataFrame([(p,) for p in every], "p int").withColumn("q", F.explode(F.lit(every)))
-    x = pairs.join(packed.select(F.col("block").alias("p"), F.col("x").alias("xp"), F.col("c").alias("cp")), "p").join(packed.select(F.col("block").alias("q"), F.col("x").alias("xq"), F.col("c").alias("cq")), "q")
-    width = max(len(every), int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-    def summed(rows) -> Iterator[tuple]:
-        sums, counts = np.zeros((k, k)), np.zeros(k)
-        held, near, own = None, None, None
-
-        def close() -> None:
-            if held is not None:
-                np.add.at(sums, own, np.where(np.isfinite(near), near, 0.0))
-                np.add.at(counts, own, 1)
-
-        for p, xp, cp, xq, cq in rows:
-            if p != held:
-                close()
-                held, own = p, np.frombuffer(cp, np.int32)
-                a = np.frombuffer(xp, float).reshape(len(own), -1)
-                near = np.full((len(own), k), np.inf)
-            other = np.frombuffer(cq, np.int32)
-            b = np.frombuffer(xq, float).reshape(len(other), -1)
-            order = np.argsort(other, kind="stable")
-            found, starts = np.unique(other[order], return_index=True)
-            for at in range(0, len(a), ROWS):
-                d = np.stack([np.square(b[order] - v).sum(1) for v in a[at : at + ROWS]]) + (a.shape[1] if compat else 0)
-                near[at : at + ROWS, found] = np.minimum(near[at : at + ROWS, found], np.sqrt(np.minimum.reduceat(d, starts, axis=1)))
-        close()
-        for i in range(k):
-            if counts[i]:
-                yield from ((i, j, float(sums[i, j]), int(counts[i])) for j in range(k))
 
+    def least(pairs: list[tuple[dict, dict]]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[np.ndarray, bytes]] = {}
+        for one, two in pairs:
+            own = {one["block"]: one["c"], two["block"]: two["c"]}
+            for block, near in _least(one, two, k):
+                best[block] = (np.minimum(best[block][0], near) if block in best else near, own[block])
+        for block, (near, c) in best.items():
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "near": pa.array([near.tobytes()], pa.binary()), "c": pa.array([c], pa.binary())})
+
+    def summed(t: pa.Table) -> pa.Table:
+        own = np.frombuffer(t.column("c")[0].as_py(), np.int32)
+        near = np.full((len(own), k), np.inf)
+        for x in t.column("near"):
+            np.minimum(near, np.frombuffer(x.as_py(), float).reshape(len(own), k), out=near)
+        near = np.sqrt(np.maximum(near, 0) + (t.column("dim")[0].as_py() if compat else 0))
+        sums, counts = np.zeros((k, k)), np.bincount(own, minlength=k)
+        np.add.at(sums, own, np.where(np.isfinite(near), near, 0.0))
+        i, j = np.nonzero(np.ones((k, k)) * (counts[:, None] > 0))
+        return pa.table({"a": pa.array(i, pa.int32()), "b": pa.array(j, pa.int32()), "s": sums[i, j], "n": pa.array(counts[i], pa.int64())})
+
+    dim = B.feature_dim(assigned) if compat else 0
+    got = tiles.paired(packed, n, blocks, least, "block int, near binary, c binary").withColumn("dim", F.lit(dim)).groupBy("block").applyInArrow(summed, "a int, b int, s double, n bigint").groupBy("a", "b").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     sums, counts = np.zeros((k, k)), np.zeros(k)
-    rows = x.select("p", "xp", "cp", "xq", "cq", "q").repartition(width, "p").sortWithinPartitions("p", "q").drop("q").rdd.mapPartitions(summed)
-    got = spark.createDataFrame(rows, "a int, b int, s double, n bigint").groupBy("a", "b").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     for r in got.collect():  # k x k
         sums[r.a, r.b], counts[r.a] = r.s, r.n
     apart = (sums + sums.T) / np.maximum(counts[:, None] + counts[None], 1)
