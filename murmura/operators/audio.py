@@ -3,7 +3,9 @@
 Tables: ``audio(path, sample_rate, samples)``, ``images(path, w, h, data)`` with one
 byte to a pixel and row 0 the lowest frequency. Rows are independent, so every step
 is an Arrow-batched function without a shuffle; steps in a row run in one stage.
-Rows of audio are long: batches are taken a few rows at a time.
+Rows of audio are long, and a batch takes up to 10,000 rows whatever their length. It
+never spans partitions, though: readers of files cut those by bytes, and tables of
+recordings that are made from short rows are first dealt out by ``dealt``.
 """
 
 from __future__ import annotations
@@ -23,6 +25,13 @@ from murmura.session import cut
 
 IMAGES = "path string, w int, h int, data binary"
 BLUR = 3
+#: Rows of audio or images to a partition.
+FEW = 512
+
+
+def dealt(df: DataFrame, rows: int = FEW) -> DataFrame:
+    """``df`` in partitions of ``rows`` rows at most about, so that no batch is longer. For rows that are still short: they are shuffled, evenly whatever their keys."""
+    return df.repartition(max(1, -(-df.count() // rows)))
 
 
 def _image(r) -> np.ndarray:
@@ -161,17 +170,25 @@ def tile_components(tiles: DataFrame) -> DataFrame:
 def segment_table(images: DataFrame, mask_images: DataFrame) -> DataFrame:
     """(path, segment_id, rect, features): the 38 features of every segment that is large enough."""
     both = images.join(mask_images.select("path", F.col("data").alias("mask")), "path")
+    return _segments(both, lambda r: np.frombuffer(r.mask, np.uint8).reshape(r.h, r.w))
+
+
+def bright_segments(images: DataFrame, at: float) -> DataFrame:
+    """``segment_table`` with the images' own ``masks`` at a brightness: they are made where the images are, without a join."""
+    return _segments(images, lambda r: image.threshold(_image(r), at))
+
 
+def _segments(images: DataFrame, mask) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for r in b.itertuples():
-                found = image.segment_features(_image(r), np.frombuffer(r.mask, np.uint8).reshape(r.h, r.w))
+                found = image.segment_features(_image(r), mask(r))
                 if not found:
                     continue
                 rects = [dict(zip(("min_x", "max_x", "min_y", "max_y"), rect, strict=True)) for rect, _ in found]
                 yield pd.DataFrame({"path": r.path, "segment_id": range(len(found)), "rect": rects, "features": [f for _, f in found]})
 
-    return both.mapInPandas(run, "path string, segment_id int, rect struct<min_x:int,max_x:int,min_y:int,max_y:int>, features array<double>")
+    return images.mapInPandas(run, "path string, segment_id int, rect struct<min_x:int,max_x:int,min_y:int,max_y:int>, features array<double>")
 
 
 def mfcc_table(audio: DataFrame, low_hz: float, high_hz: float, window: int = signal.WINDOW, step: int = signal.STEP) -> DataFrame:

@@ -109,12 +109,15 @@ def classifier_chains(spark, sf_dir):
 
 
 def _signals(spark, sf_dir):
-    """A rising tone over faint noise for each vector, which gives its pitch: recordings of half a second."""
-    s = views.segments(spark, sf_dir)
-    pitch = 600 + F.floor(F.abs(F.get("features", F.lit(0))) * 4000)
+    """A rising tone over faint noise for each vector, which gives its pitch: recordings of half a second, few to a partition."""
+    from murmura.operators import audio
+
+    own = F.concat_ws("-", F.lit("rec"), "bag_id", "segment_id").alias("path")
+    s = audio.dealt(views.segments(spark, sf_dir).select(own, (600 + F.floor(F.abs(F.get("features", F.lit(0))) * 4000)).alias("pitch")))
+    pitch = F.col("pitch")
     t = F.sequence(F.lit(0), F.lit(7999))
     tone = F.transform(t, lambda i: F.when((i > 2000) & (i < 5500), 0.5 * F.sin(i * (pitch + i * 0.3) * (2 * 3.141592653589793 / 16000))).otherwise(0.002 * F.sin(i * i * 0.37)).cast("float"))
-    return s.select(F.concat_ws("-", F.lit("rec"), "bag_id", "segment_id").alias("path"), F.lit(16000).alias("sample_rate"), tone.alias("samples"))
+    return s.select("path", F.lit(16000).alias("sample_rate"), tone.alias("samples"))
 
 
 @query("spectrogram_images")
@@ -130,8 +133,7 @@ def segment_table(spark, sf_dir):
     """Segments of those images, cut at half of full brightness, with their 38 features."""
     from murmura.operators import audio
 
-    images = audio.spectrograms(_signals(spark, sf_dir))
-    return audio.segment_table(images, audio.masks(images, 0.35)).select("path", "segment_id", "rect.*", F.transform("features", lambda x: F.round(x, 6)).alias("features"))
+    return audio.bright_segments(audio.spectrograms(_signals(spark, sf_dir)), 0.35).select("path", "segment_id", "rect.*", F.transform("features", lambda x: F.round(x, 6)).alias("features"))
 
 
 @query("competition_baseline")

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from murmura.functions import image
 from murmura.operators import audio
@@ -84,3 +85,20 @@ def test_features_of_a_segment(spark, seed):
     assert np.allclose(row.features[:22], want[:22], atol=1e-6)
     assert np.allclose(row.features[22:], want[22:], atol=0.02)  # a gradient on the edge between two directions may go either way
     assert (plain_blur(img, 3) == image.blur(img, 3)).mean() > 0.999
+
+
+def test_recordings_come_few_to_a_partition(spark, sf, tmp_path):
+    """A batch never spans partitions, so this bounds what a task of ``segment_table`` holds."""
+    from murmura.plans import models
+
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    spark.range(3 * audio.FEW).crossJoin(e.select("embedding", "label").limit(1)).withColumnRenamed("id", "vec_id").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    made = models._signals(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in made) == 3 * audio.FEW and max(r["count"] for r in made) <= audio.FEW
+
+
+def test_bright_segments_are_those_of_masks(spark):
+    rng = np.random.default_rng(0)
+    images = spark.createDataFrame([(f"r{i}", 50, 40, bytearray((np.kron(rng.integers(0, 2, (2, 2)), np.ones((20, 25))) * 200).astype(np.uint8).tobytes())) for i in range(8)], audio.IMAGES)
+    want = audio.segment_table(images, audio.masks(images, 0.35)).orderBy("path", "segment_id").collect()
+    assert len(want) > 4 and audio.bright_segments(images, 0.35).orderBy("path", "segment_id").collect() == want
