@@ -117,10 +117,11 @@ class Covered:
         """(bag_id, score): the sum of a bag's ``depth`` largest distances; ``within``: an instance taken covers those left in its bag."""
         rows, found = self.rows(), None
         for i in range(depth):
-            best = rows.groupBy("bag_id").agg(F.max(F.struct("near", "segment_id", "features")).alias("b"))  # the last of equals
-            own = best.select("bag_id", F.least("b.near", F.lit(FAR)).alias(f"s{i}"))
+            last = i + 1 == depth  # then only the distance counts, which needs no sorting
+            best = rows.groupBy("bag_id").agg(F.max("near").alias("near") if last else F.max(F.struct("near", "segment_id", "features")).alias("b"))  # the last of equals
+            own = best.select("bag_id", F.least("near" if last else "b.near", F.lit(FAR)).alias(f"s{i}"))
             found = own if found is None else found.join(own, "bag_id", "left")
-            if i + 1 < depth:
+            if not last:
                 taken = best.select("bag_id", F.col("b.segment_id").alias("taken"), F.col("b.features").alias("by"))
                 rows = rows.join(taken, "bag_id").filter(F.col("segment_id") != F.col("taken"))
                 if within:
@@ -428,7 +429,8 @@ def experiment(bags: DataFrame, instances: DataFrame, methods: list[str], n: int
     for rep in range(repetitions):
         whole = Experiment(bags, instances, seed=seed + rep)
         own = cut(bags.filter(whole.chance(1) < SUBSAMPLE) if bootstrap else bags)
-        e = Experiment(own, cut(instances.join(own.select("bag_id"), "bag_id", "left_semi")), None, k, seed + rep)
+        part = instances.join(own.select("bag_id"), "bag_id", "left_semi").repartition("bag_id", "segment_id")  # a file may be a task's alone
+        e = Experiment(own, cut(part), None, k, seed + rep)
         for method in methods:
             c = curve(own, METHODS[method](e, n)).select(F.lit(method).alias("method"), F.lit(rep).alias("repetition"), "i", "n_known")
             out = c if out is None else out.unionByName(c)

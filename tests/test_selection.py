@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import plain_discovery as D
 from murmura.operators import bags as B
@@ -120,3 +121,31 @@ def test_nearest_bags(spark):
     compared = sum(r.candidates for r in got.values())
     assert compared < 0.25 * len(bags) * (len(bags) - 1)
     assert B.nearest_bags(df.limit(0)).count() == 0 and B.nearest_bags(df.filter("bag_id = 3")).count() == 0
+
+
+@pytest.mark.parametrize("digits", [None, 9])
+def test_rounds_of_lloyd_need_no_search_by_rows(spark, monkeypatch, digits):
+    """Sums of tasks equal those of SQL; a center without members has none, and equal distances go to the first."""
+    rng = np.random.default_rng(7)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.round(rng.normal(size=(700, 5)), 1))]
+    df = spark.createDataFrame(rows, "id int, features array<double>").repartition(3).cache()
+    centers = [rows[0][1], rows[1][1], rows[1][1], [99.0] * 5, rows[2][1]]
+    got, want = B._member_sums(df, centers, "features", digits), B._odd_member_sums(df, centers, "features", digits)
+    assert sorted(got) == sorted(want) == [0, 1, 4]
+    for c, (t, n, m) in want.items():
+        assert got[c][1] == n and got[c][0] == pytest.approx(t) and got[c][2] == pytest.approx(m)
+    odd = df.unionByName(spark.createDataFrame([(900, None), (901, [1.0, None, 0.0, 0.0, 0.0])], df.schema))
+    assert B.lloyd(odd, centers[:2], 2, digits=digits)[1] == 2
+    with monkeypatch.context() as m:
+        m.setattr(B, "nearest", None)
+        made, rounds = B.lloyd(df, centers[:2], digits=digits)
+    assert 1 < rounds < 100 and B.lloyd(df, made, digits=digits)[0] == made
+
+
+def test_instances_of_an_experiment_leave_their_one_task(spark, monkeypatch):
+    """Instances that come as one partition are spread by their keys."""
+    seen = []
+    monkeypatch.setitem(S.METHODS, "seen", lambda e, n: seen.append(e.instances.select(F.spark_partition_id().alias("p")).distinct().count()) or [])
+    x = spark.range(40_000).selectExpr("id DIV 5 AS bag_id", "id % 5 AS segment_id", "transform(sequence(1, 32), i -> rand(1) + i) AS features", "array(0) AS labels").coalesce(1).cache()
+    S.experiment(x.select("bag_id", "labels").distinct(), x.drop("labels"), ["seen"], 2, 1)
+    assert seen[0] > 1
